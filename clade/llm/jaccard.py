@@ -3,16 +3,18 @@
 Documents become sets of word shingles (64-bit hashes). Equal sets collapse
 into one class. The classes are partitioned into groups of similar sets (equal
 min-hash, taken over a set's frequent tokens where it has some; split where a
-min-hash is common, so that a group stays bounded). The
-matrix of groups against tokens holds, for every group, the union of its
-tokens. Two groups are compared only if they share a token of the members'
-prefixes (the rarest tokens of a set, enough of them that any pair at the
-threshold shares one). A comparison first bounds every query document by its
-overlap with the other group's whole union and opens the group only for those
-whose bound reaches the threshold; members are then intersected exactly.
-
-Nothing is approximate: the partition, the order of tokens and the sketch of
-frequent tokens change the work, never the links.
+min-hash is common, so that a group stays bounded). The matrix has two forms: a
+relation of tokens against the groups whose members' prefixes hold them (the
+prefix of a set is so many of its rarest tokens that any pair at the threshold
+shares one), and, for each group, the union of its members' tokens as a bitmap.
+
+A set queries the groups that it shares a prefix token with. Its overlap with
+a group is bounded by the group's union, then by the members' own bitmaps; a
+group is opened, that is tokens are read, only for the pairs within the bound,
+and those are intersected exactly until all that can be linked is connected.
+
+Nothing is approximate: the partition, the order of tokens, the bitmaps and the
+sketch of frequent tokens change the work, never the links.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bitmap, by_row, components, digest16, in_bitmap, lists, mixed, only, release, stored
+from .common import WordHashes, bitmap, by_row, components, digest16, in_bitmap, lists, mixed, only, stored
 
 #: A group's expected members and tokens at most; groups beyond are split by a hash.
 GROUP_MEMBERS, GROUP_TOKENS = 256, 131_072
@@ -45,6 +47,23 @@ def need(n, pct: int):
     return (pct * n + 99) // 100
 
 
+def set_bits(tokens: np.ndarray) -> bytes:
+    """Tokens as a bitmap of a power of two of bits, 4 to 8 a token."""
+    size = max(64, 1 << (4 * max(len(tokens), 1) - 1).bit_length())
+    out = np.zeros(size, np.uint8)
+    out[(tokens & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def at_size(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) at another power of two: folded, or
+    repeated, so that a token's bit is set in either."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return np.tile(bits, (1, words // bits.shape[1]))
+
+
 def _profile(k: int, pct: int):
     def run(batches):
         words = WordHashes()
@@ -68,14 +87,17 @@ def _prefixes(k: int, pct: int, frequent):
         words, bits = WordHashes(), frequent.value
         for b in batches:
             for lo, sets in shingle_sets(b.column(1), k, words):
-                low, prefix = [], []
+                low, prefix, bits_ = [], [], [set_bits(s) for s in sets]
                 for s in sets:
                     x = s.view(np.int64)
                     common = in_bitmap(bits, x)
                     # copies of one text agree on its common tokens more than on those of their edits
                     low.append(int(mixed(s[common] if common.any() else s).min().view(np.int64)) if len(s) else 0)
                     prefix.append(np.concatenate([x[~common], x[common]])[: len(s) - need(len(s), pct) + 1] if len(s) else x)
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + len(sets)], pa.array([digest16(s.tobytes()) for s in sets], pa.binary()), pa.array(low, pa.int64()), lists(prefix, pa.int64())], ["doc_id", "sig", "low", "prefix"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0)[lo : lo + len(sets)], pa.array([digest16(s.tobytes()) for s in sets], pa.binary()), pa.array(low, pa.int64()), lists(prefix, pa.int64()), pa.array(bits_, pa.binary())],
+                    ["doc_id", "sig", "low", "prefix", "bits"],
+                )
 
     return run
 
@@ -87,116 +109,115 @@ def _tokens(k: int, marked):
             b = only(b, bits)
             for lo, sets in shingle_sets(b.column(1), k, words):
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[lo : lo + len(sets)], pa.array([digest16(s.tobytes()) for s in sets], pa.binary()), lists([s.view(np.int64) for s in sets], pa.int64())], ["doc_id", "sig", "tokens"]
+                    [b.column(0)[lo : lo + len(sets)], pa.array([digest16(s.tobytes()) for s in sets], pa.binary()), lists([np.sort(s.view(np.int64)) for s in sets], pa.int64())], ["doc_id", "sig", "tokens"]
                 )
 
     return run
 
 
-class Group:
-    """Members of a group: ids, set sizes n, and all their tokens in order with
-    the member each belongs to; union holds the distinct tokens."""
-
-    def __init__(self, ids, n, tok, own):
-        self.ids, self.n, self.tok, self.own = ids, n, tok, own
-        self.union = _distinct_sorted(tok)
-
-    def holding(self, tokens: np.ndarray):
-        """(column, member) of every occurrence of the given sorted tokens."""
-        lo = np.searchsorted(self.tok, tokens, "left")
-        many = np.searchsorted(self.tok, tokens, "right") - lo
-        column = np.repeat(np.arange(len(tokens)), many)
-        at = np.arange(len(column)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-        return column, self.own[at]
-
-
 def _distinct_sorted(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) > 1 else x
 
 
-def linked(q: Group, x: Group, pct: int):
-    """Index pairs (query, member) at the threshold. Bounds every query by its
-    overlap with the other group's union, then intersects only the queries
-    that reach what their size asks for."""
-    nothing = np.zeros(0, int), np.zeros(0, int)
-    small, large = (q.union, x.union) if len(q.union) <= len(x.union) else (x.union, q.union)
-    at = np.searchsorted(large, small)
-    at[at == len(large)] = 0
-    shared = small[large[at] == small]
-    if len(shared) < need(q.n.min(), pct):
-        return nothing
-    column, query = q.holding(shared)
-    opened = np.bincount(query, minlength=len(q.n)) >= need(q.n, pct)
-    if not opened.any():
-        return nothing
-    keep = opened[query]
-    column, query = column[keep], query[keep]
-    theirs, member = x.holding(shared)
-    common = np.zeros((len(q.n), len(x.n)), np.float32)
-    for at in range(0, len(shared), 4096):
-        width = min(4096, len(shared) - at)
-        sides = []
-        for c, o, rows in ((column, query, len(q.n)), (theirs, member, len(x.n))):
-            m = np.zeros((rows, width), np.float32)
-            lo, hi = np.searchsorted(c, [at, at + width])
-            m[o[lo:hi], c[lo:hi] - at] = 1
-            sides.append(m)
-        common += sides[0] @ sides[1].T
-    either = q.n[:, None] + x.n[None, :] - common
-    return np.nonzero((100 * common >= pct * either) & opened[:, None])
-
-
-def _packed(batches):
-    """Groups as sorted arrays, so that opening one costs no sort."""
-    for b in batches:
-        ids, n, tok, own = [], [], [], []
-        for i in range(b.num_rows):
-            rows = b.column(1)[i].values
-            ids.append(rows.field(0).to_numpy())
-            n.append(np.diff(rows.field(1).offsets.to_numpy()).astype(np.int64))
-            t, o = rows.field(1).flatten().to_numpy(), np.repeat(np.arange(len(n[-1]), dtype=np.int32), n[-1])
-            order = np.argsort(t, kind="stable")
-            tok.append(t[order])
-            own.append(o[order])
-        yield pa.RecordBatch.from_arrays([b.column(0), lists(ids, pa.int64()), lists(n, pa.int64()), lists(tok, pa.int64()), lists(own, pa.int32())], ["g", "ids", "n", "tok", "own"])
-
-
-def _forest(pairs):
-    """A spanning forest of the pairs: as few links as keep what they connect."""
-    root: dict[int, int] = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            yield a, b
+def _unpacked(members):
+    """Ids, set sizes and bitmaps of an Arrow list of (doc_id, n, bits)."""
+    rows = members.values
+    return rows.field(0).to_numpy(), rows.field(1).to_numpy(), [np.frombuffer(x, np.uint64) for x in rows.field(2).to_pylist()]
+
+
+def within_bound(q, x, pct: int):
+    """Index pairs (query, member) that may be at the threshold. A bit that the
+    query has and the other side lacks is at least one token that it lacks; so
+    the overlap is at most the set's size less the number of those bits."""
+    (_, qn, qb), (_, xn, xb) = q, x
+    none = np.zeros(0, np.int64)
+    out_q, out_x = [none], [none]
+    sizes = np.array([len(b) for b in xb])
+    for words in sorted({len(b) for b in qb}):
+        mine = np.array([i for i, b in enumerate(qb) if len(b) == words])
+        lo, hi = qn[mine].min(), qn[mine].max()
+        near = np.flatnonzero((pct * lo <= 100 * xn) & (pct * xn <= 100 * hi))
+        if len(near) == 0:
+            continue
+        theirs = np.empty((len(near), words), np.uint64)
+        for w in np.unique(sizes[near]):
+            at = np.flatnonzero(sizes[near] == w)
+            theirs[at] = at_size(np.stack([xb[near[i]] for i in at]), words)
+        union = ~np.bitwise_or.reduce(theirs, axis=0)
+        for i in mine:
+            if qn[i] - int(np.bitwise_count(qb[i] & union).sum()) < need(qn[i], pct):
+                continue  # the whole group is out of reach
+            most = np.minimum(qn[i] - np.bitwise_count(qb[i] & ~theirs).sum(axis=1, dtype=np.int64), xn[near] - np.bitwise_count(theirs & ~qb[i]).sum(axis=1, dtype=np.int64) if words <= sizes[near].min() else xn[near])
+            hit = near[(100 + pct) * most >= pct * (qn[i] + xn[near])]
+            out_q.append(np.full(len(hit), i))
+            out_x.append(hit)
+    return np.concatenate(out_q), np.concatenate(out_x)
+
+
+def _bound(pct: int):
+    def run(batches):
+        last, two = None, None  # rows arrive sorted by g
+        for b in batches:
+            for i, (g, part) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if g != last:
+                    last, two = g, _unpacked(b.column(3)[i])
+                one = _unpacked(b.column(2)[i])
+                q, x = within_bound(one, two, pct)
+                q, x = one[0][q], two[0][x]
+                q, x = q[q != x], x[q != x]
+                if len(q):
+                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([part], pa.int64()), lists([q], pa.int64()), lists([x], pa.int64())], ["g", "part", "q", "x"])
+
+    return run
 
 
 def _open(pct: int):
-    def group(column, i):
-        return Group(*(f[i].values.to_numpy() for f in (column.field(j) for j in range(4))))
+    """Intersects the pairs within the bound, but none that are already
+    connected through others: what comes out is a spanning forest."""
 
     def run(batches):
-        last, two = None, None  # rows arrive sorted by g2
         for b in batches:
-            for i, (g1, g2) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                if g2 != last:
-                    last, two = g2, group(b.column(3), i)
-                one = two if g1 == g2 else group(b.column(2), i)
-                q, x = linked(one, two, pct)
-                out = list(_forest((a, c) for a, c in zip(one.ids[q].tolist(), two.ids[x].tolist(), strict=True) if a != c))
+            for qs, xs, members in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                rows = members.values
+                sets: dict[int, list] = {}
+                for d, t in zip(rows.field(0).to_pylist(), rows.field(1), strict=True):
+                    sets.setdefault(d, []).append(t.values.to_numpy())
+                root = {d: d for d in sets}
+
+                def find(v):
+                    while root[v] != v:
+                        root[v] = root[root[v]]
+                        v = root[v]
+                    return v
+
+                out = []
+                for q, x in zip(qs.values.to_pylist(), xs.values.to_pylist(), strict=True):
+                    u, v = find(q), find(x)
+                    if u != v and any(similar(s, t, pct) for s in sets[q] for t in sets[x]):
+                        root[max(u, v)] = min(u, v)
+                        out.append((q, x))
                 if out:
                     yield pa.RecordBatch.from_pydict({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
     return run
 
 
+def similar(s: np.ndarray, t: np.ndarray, pct: int) -> bool:
+    """Whether two sets (sorted, distinct) are at the threshold."""
+    if len(s) > len(t):
+        s, t = t, s
+    if pct * len(t) > 100 * len(s):
+        return False
+    at = np.searchsorted(t, s)
+    common = int((t[np.minimum(at, len(t) - 1)] == s).sum())
+    return 100 * common >= pct * (len(s) + len(t) - common)
+
+
+def _parts():
+    """Into how many parts rows with a set size n go."""
+    return F.greatest(F.lit(1), F.ceil(F.count("*") / GROUP_MEMBERS), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("long")
+
+
 def near_duplicates(docs: DataFrame, ngram: int = 5, pct: int = 80) -> DataFrame:
     """Components of documents whose shingle sets have 100 * |A and B| >= pct * |A or B|.
 
@@ -216,37 +237,30 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, pct: int = 80) -> DataFrame
 
     reps = prof.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     reps = stored(reps, "classes")
-    pre = texts.mapInArrow(_prefixes(ngram, pct, bits), "doc_id long, sig binary, low long, prefix array<long>")
+    pre = texts.mapInArrow(_prefixes(ngram, pct, bits), "doc_id long, sig binary, low long, prefix array<long>, bits binary")
     pre = stored(pre.join(reps, ["doc_id", "sig"]).dropDuplicates(["doc_id", "sig"]), "prefixes")
-    size = pre.groupBy("low").agg(
-        F.greatest(F.lit(1), F.ceil(F.count("*") / GROUP_MEMBERS), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("long").alias("parts")
-    )
-    pre = pre.join(size, "low").withColumn("g", F.xxhash64("low", F.pmod(F.xxhash64("sig"), F.col("parts"))))
-    groups = stored(pre.select("doc_id", "sig", "g"), "groups")
-
-    index = pre.select(F.explode("prefix").alias("t"), "g", "n")
-    several = index.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("t")
-    matrix = index.join(several, "t").groupBy("t", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    other = matrix.select("t", F.col("g").alias("g2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
-    pairs = (
-        matrix.join(other, "t")
-        .where(f"g < g2 and {pct} * least <= 100 * most2 and {pct} * least2 <= 100 * most")
-        .select(F.col("g").alias("g1"), "g2")
-        .distinct()
-    )
-    alone = groups.groupBy("g").count().where("count > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
-    pairs = stored(pairs.unionByName(alone), "pairs")
-
-    wanted = pairs.select(F.col("g1").alias("g")).union(pairs.select("g2")).distinct()
-    members = stored(groups.join(wanted, "g", "left_semi").select("doc_id", "sig", "g"), "members")
-    marked = spark.sparkContext.broadcast(bitmap(members, "doc_id"))
-    tokens = texts.mapInArrow(_tokens(ngram, marked), "doc_id long, sig binary, tokens array<long>")
-    packs = tokens.join(members, ["doc_id", "sig"]).dropDuplicates(["doc_id", "sig"]).groupBy("g").agg(F.collect_list(F.struct("doc_id", "tokens")).alias("members"))
-    packs = stored(packs.mapInArrow(_packed, "g long, ids array<long>, n array<long>, tok array<long>, own array<int>"), "packs")
-    body = F.struct("ids", "n", "tok", "own")
-    left = packs.select(F.col("g").alias("g1"), body.alias("m1"))
-    right = packs.select(F.col("g").alias("g2"), body.alias("m2"))
-    opened = pairs.join(left, "g1").join(right, "g2").select("g1", "g2", F.when(F.col("g1") != F.col("g2"), F.col("m1")).alias("m1"), "m2")
+    parts = pre.groupBy("low").agg(_parts().alias("parts"))
+    groups = stored(pre.join(parts, "low").withColumn("g", F.xxhash64("low", F.pmod(F.xxhash64("sig"), F.col("parts")))).select("doc_id", "n", "g", "prefix", "bits"), "groups")
+
+    index = groups.select(F.explode("prefix").alias("t"), "doc_id", "n", "g")
+    index = index.join(index.groupBy("t").count().where("count > 1").select("t"), "t")
+    matrix = index.groupBy("t", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("held"))
+    query = index.withColumnRenamed("g", "own")
+    asked = query.join(matrix, "t").where(f"(own < g or (own = g and held > 1)) and {pct} * least <= 100 * n and {pct} * n <= 100 * most")
+    asked = stored(asked.select("doc_id", "n", "g").distinct(), "asked")
+
+    member = F.struct("doc_id", "n", "bits")
+    bitmaps = groups.join(asked.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.collect_list(member).alias("members"))
+    blocks = asked.join(asked.groupBy("g").agg(_parts().alias("parts")), "g").select("doc_id", "g", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
+    blocks = blocks.join(groups.select("doc_id", "n", "bits"), "doc_id").groupBy("g", "part").agg(F.collect_list(member).alias("queries"))
+    near = blocks.join(bitmaps, "g").select("g", "part", "queries", "members").mapInArrow(_bound(pct), "g long, part long, q array<long>, x array<long>")
+    near = stored(near.withColumn("id", F.monotonically_increasing_id()), "near")
+
+    wanted = near.select("id", F.explode(F.array_distinct(F.concat("q", "x"))).alias("doc_id"))
+    marked = spark.sparkContext.broadcast(bitmap(wanted, "doc_id"))
+    tokens = texts.mapInArrow(_tokens(ngram, marked), "doc_id long, sig binary, tokens array<long>").join(reps.select("doc_id", "sig"), ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"])
+    packs = wanted.join(tokens, "doc_id").groupBy("id").agg(F.collect_list(F.struct("doc_id", "tokens")).alias("members"))
+    opened = near.join(packs, "id").select("q", "x", "members")
     links = components(opened.mapInArrow(_open(pct), "a long, b long"))
 
     home = reps.select("sig", F.col("doc_id").alias("rep")).join(links, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("home"))

@@ -4,11 +4,12 @@ trained by full-batch gradient steps over a small labelled table."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Hash buckets, n-gram length, gradient steps, step size, L2 penalty.
-BUCKETS, GRAM, STEPS, RATE, PENALTY = 1024, 4, 30, 8.0, 1e-3
+BUCKETS, GRAM, STEPS, RATE, PENALTY = 1024, 4, 12, 12.0, 1e-3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (host, path of the rule with its slash, verdict)
@@ -66,7 +67,8 @@ def train(labelled: DataFrame) -> list[float]:
     rows = labelled.where("label is not null").select(
         F.monotonically_increasing_id().alias("row"), F.col("label").cast("double").alias("label"), buckets(F.coalesce("host", F.lit("")), F.coalesce("path", F.lit(""))).alias("f")
     )
-    rows = rows.withColumn("unit", 1 / F.sqrt(F.size("f").cast("double"))).cache()
+    # one partition: the table is small by contract, and a step is then one task without a shuffle
+    rows = rows.withColumn("unit", 1 / F.sqrt(F.size("f").cast("double"))).coalesce(1).cache()
     n = max(rows.count(), 1)
     weights = [0.0] * (BUCKETS + 1)
     for _ in range(STEPS):
@@ -80,7 +82,7 @@ def train(labelled: DataFrame) -> list[float]:
 
 
 def probability(features: Column, weights: list[float]) -> Column:
-    table = F.lit(weights)
+    table = F.lit(np.array(weights))  # one literal, not one a number
     unit = 1 / F.sqrt(F.size(features).cast("double"))
     total = F.aggregate(features, F.lit(0.0), lambda acc, b: acc + F.get(table, b)) * unit + F.lit(weights[BUCKETS])
     return 1 / (1 + F.exp(-total))
