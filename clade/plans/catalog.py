@@ -1,6 +1,479 @@
-"""Registered queries of the clustering operators, with their SQL."""
+"""Registered queries of the clustering operators over the driver's tables,
+and the SQL that says the same. Vectors stand in for sequences, labels for
+clusters; several tables stand in for assignments and sizes. Doubles are
+rounded to six places on both sides."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clade.functions import sequences as seqs
+from clade.operators import cluster, distance, graph, metrics, query_analysis
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+#: Thresholds for the unit vectors of the embeddings table, whose distances lie about 1.4.
+CLOSE, LUMP = 1.05, 1.15
+
+_V = "v AS (SELECT vec_id AS idx, label AS c, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+_P = _V + ", p AS (SELECT a.idx AS i, b.idx AS j, list_distance(a.e, b.e) AS d, a.c AS ci, b.c AS cj FROM v a JOIN v b ON a.idx < b.idx)"
+_K = _P + ", k AS (SELECT least(ci, cj) AS c1, greatest(ci, cj) AS c2, i, j, d FROM p)"
+_E = _P + ", e AS (SELECT i AS src, j AS dst, d AS distance FROM p UNION ALL SELECT j, i, d FROM p)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _items(spark, d):
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def _assign(spark, d):
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("label").alias("cluster_id"))
+
+
+def _pairs(spark, d):
+    return distance.labelled(distance.vector_pairs(_items(spark, d)), _assign(spark, d))
+
+
+def _edges(spark, d):
+    return distance.directed(distance.vector_pairs(_items(spark, d))).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("d").alias("distance"))
+
+
+def _r(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*[(F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# ---- distances and percentiles --------------------------------------------------------
+
+
+@query(f"WITH {_P} SELECT i, j, round(d, 6) AS d FROM p WHERE ci = cj")
+def intra_pairs(spark, d):
+    return _r(_pairs(spark, d).where(metrics.same()).select("i", "j", "d"))
+
+
+@query(
+    f"WITH {_P} SELECT q AS percentile, round(u, 6) AS intra_upper, round(l, 6) AS inter_lower, round(l - u, 6) AS gap_size, l - u > 0 AS gap_exists FROM ("
+    + " UNION ALL ".join(f"SELECT CAST({q} AS INTEGER) AS q, quantile_cont(d, {q / 100}) FILTER (ci = cj) AS u, quantile_cont(d, {(100 - q) / 100}) FILTER (ci <> cj) AS l FROM p" for q in (90, 95))
+    + ")"
+)
+def gap_metrics(spark, d):
+    return _r(metrics.gap_metrics(_pairs(spark, d)))
+
+
+_PS = (5, 10, 25, 50, 75, 90, 95, 99, 100)
+
+
+@query(
+    f"WITH {_P}, s AS (SELECT CASE WHEN ci = cj THEN 'intra' ELSE 'inter' END AS side, d FROM p) "
+    + " UNION ALL ".join(f"SELECT side, CAST({q} AS INTEGER) AS percentile, round(quantile_cont(d, {q / 100}), 6) AS value FROM s GROUP BY side" for q in _PS)
+)
+def percentile_vector(spark, d):
+    return _r(metrics.percentile_vector(_pairs(spark, d), _PS))
+
+
+@query(
+    f"WITH {_P}, s AS (SELECT ci AS cluster_id, count(*) AS n_distances, "
+    + ", ".join(f"round(quantile_cont(d, {q / 100}), 6) AS p{q}" for q in (5, 25, 50, 75, 95))
+    + ", round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std FROM p WHERE ci = cj GROUP BY ci) SELECT label AS cluster_id, count(*) AS n_sequences, any_value(coalesce(n_distances, 0)) AS n_distances, "
+    + ", ".join(f"any_value({c}) AS {c}" for c in ("p5", "p25", "p50", "p75", "p95", "mean", "std"))
+    + " FROM embeddings LEFT JOIN s ON label = s.cluster_id GROUP BY label"
+)
+def cluster_summary(spark, d):
+    return _r(metrics.cluster_summary(_pairs(spark, d), _assign(spark, d)))
+
+
+@query(f"WITH {_K} SELECT c1, c2, round(quantile_cont(d, 0.95), 6) AS linkage, count(*) AS n FROM k WHERE c1 < c2 GROUP BY c1, c2")
+def complete_linkage(spark, d):
+    return _r(metrics.linkage(_pairs(spark, d), 95))
+
+
+@query(
+    f"""WITH {_K}, two AS (SELECT DISTINCT c1, c2 FROM k WHERE c1 < c2),
+a AS (SELECT two.c1, two.c2, k.d FROM two JOIN k ON (k.c1 = two.c1 AND k.c2 = two.c2) OR (k.c1 = k.c2 AND (k.c1 = two.c1 OR k.c1 = two.c2))),
+l AS (SELECT c1, c2, list_sort(list(d)) AS x, count(*) AS n FROM a GROUP BY c1, c2)
+SELECT c1, c2, round(x[1 + least(CAST(floor(n * 90 / 100) AS BIGINT), n - 1)], 6) AS spread, n FROM l"""
+)
+def merged_spread(spark, d):
+    return _r(metrics.merged_spread(_pairs(spark, d), 90))
+
+
+@query(
+    f"""WITH {_K}, two AS (SELECT DISTINCT c1 AS m1, c2 AS m2 FROM k WHERE c1 < c2)
+SELECT m1 AS c1, m2 AS c2, round(quantile_cont(d, 0.05) FILTER (NOT (c1 = c2 OR (c1 = m1 AND c2 = m2))) - quantile_cont(d, 0.95) FILTER (c1 = c2 OR (c1 = m1 AND c2 = m2)), 6) AS gap_size
+FROM two, k GROUP BY m1, m2"""
+)
+def gap_after_merge(spark, d):
+    return _r(metrics.gap_after_merge(_pairs(spark, d), 95))
+
+
+_LOCAL = f"""WITH {_K}, low AS (SELECT c1, c2, quantile_cont(d, 0.1) AS l90, quantile_cont(d, 0.05) AS l95, min(d) AS l100 FROM k WHERE c1 < c2 GROUP BY c1, c2),
+both_ AS (SELECT * FROM low UNION ALL SELECT c2, c1, l90, l95, l100 FROM low),
+near AS (SELECT c1 AS c, min(l90) AS n90, min(l95) AS n95, min(l100) AS n100 FROM both_ GROUP BY c1),
+own AS (SELECT c1 AS c, quantile_cont(d, 0.9) AS u90, quantile_cont(d, 0.95) AS u95, max(d) AS u100 FROM k WHERE c1 = c2 GROUP BY c1),
+g AS (SELECT label AS cluster_id, coalesce(n90 - coalesce(u90, 0), {LUMP}) + coalesce(n95 - coalesce(u95, 0), {LUMP}) + coalesce(n100 - coalesce(u100, 0), {LUMP}) AS local_gap
+FROM (SELECT DISTINCT label FROM embeddings) LEFT JOIN near ON label = near.c LEFT JOIN own ON label = own.c)"""
+
+
+@query(_LOCAL + " SELECT cluster_id, round(local_gap, 6) AS local_gap FROM g")
+def local_gap(spark, d):
+    return _r(metrics.local_gaps(_pairs(spark, d), _assign(spark, d), LUMP))
+
+
+@query(_LOCAL + " SELECT count(*) AS num_clusters, round(CASE WHEN count(*) <= 1 THEN 0 ELSE sum(local_gap) / pow(count(*), 0.5) END, 6) AS score FROM g")
+def local_gap_score(spark, d):
+    return _r(metrics.local_score(metrics.local_gaps(_pairs(spark, d), _assign(spark, d), LUMP), 0.5))
+
+
+@query(
+    f"""WITH {_P}, s AS (SELECT ci AS c, i AS idx, d FROM p WHERE ci = cj UNION ALL SELECT ci, j, d FROM p WHERE ci = cj),
+t AS (SELECT c, idx, sum(d) AS total FROM s GROUP BY c, idx)
+SELECT c AS cluster_id, arg_min(idx, total) AS medoid, round(min(total), 6) AS total, count(*) AS size FROM t GROUP BY c"""
+)
+def medoids(spark, d):
+    return _r(metrics.medoids(_pairs(spark, d), _assign(spark, d)))
+
+
+@query(f"WITH {_P}, o AS (SELECT i AS idx, d FROM p WHERE ci <> cj UNION ALL SELECT j, d FROM p WHERE ci <> cj) SELECT idx, round(min(d), 6) AS nearest FROM o GROUP BY idx")
+def nearest_outside(spark, d):
+    return _r(metrics.nearest_outside(_pairs(spark, d)))
+
+
+@query(f"WITH {_P}, h AS (SELECT floor(d / 0.05) * 0.05 AS b, count(*) AS n FROM p WHERE ci = cj GROUP BY 1) SELECT round(b, 6) AS bin_start, n AS count, round(n / sum(n) OVER (), 6) AS frequency FROM h")
+def distance_histogram(spark, d):
+    return _r(metrics.histogram(_pairs(spark, d).where(metrics.same()), "d", 0.05))
+
+
+@query(
+    """WITH x AS (SELECT p_retailprice AS v FROM part), m AS (SELECT min(v) AS lo, max(v) AS hi FROM x),
+c AS (SELECT CAST(least(floor((v - lo) / (hi - lo) * 50), 49) AS INTEGER) AS bin, count(*) AS n FROM x, m GROUP BY 1)
+SELECT CAST(b AS INTEGER) AS bin, round(lo + b * (hi - lo) / 50, 6) AS bin_start, coalesce(n, 0) AS count FROM range(50) t(b) CROSS JOIN m LEFT JOIN c ON c.bin = b"""
+)
+def equal_bins(spark, d):
+    return _r(metrics.equal_bins(_t(spark, d, "part"), "p_retailprice", 50))
+
+
+_NEAR = f"""WITH {_K}, o AS (SELECT c1, c2, d FROM k WHERE c1 < c2 UNION ALL SELECT c2, c1, d FROM k WHERE c1 < c2),
+n AS (SELECT c1, c2, row_number() OVER (PARTITION BY c1 ORDER BY min(d), c2) AS r FROM o GROUP BY c1, c2),
+pool AS (SELECT o.c1 AS c, quantile_cont(d, 0.05) AS l, count(DISTINCT o.c2) AS nn FROM o JOIN n ON o.c1 = n.c1 AND o.c2 = n.c2 AND r <= 3 GROUP BY o.c1),
+own AS (SELECT c1 AS c, quantile_cont(d, 0.95) AS u FROM k WHERE c1 = c2 GROUP BY c1),
+g AS (SELECT label AS cluster_id, coalesce(l - coalesce(u, 0), {LUMP}) AS gap, coalesce(u, 0) AS intra_upper, coalesce(l, {LUMP}) AS inter_lower, s AS cluster_size, coalesce(nn, 0) AS num_neighbors
+FROM (SELECT label, count(*) AS s FROM embeddings GROUP BY label) LEFT JOIN pool ON label = pool.c LEFT JOIN own ON label = own.c)"""
+
+
+@query(_NEAR + " SELECT cluster_id, round(gap, 6) AS gap, round(intra_upper, 6) AS intra_upper, round(inter_lower, 6) AS inter_lower, cluster_size, num_neighbors FROM g")
+def neighbourhood_metrics(spark, d):
+    return _r(metrics.neighbourhood_metrics(_pairs(spark, d), _assign(spark, d), 95, LUMP))
+
+
+@query(
+    _NEAR + """ SELECT round(avg(gap), 6) AS mean_gap, round(sum(gap * cluster_size) / sum(cluster_size), 6) AS weighted_gap, round(avg(CASE WHEN gap > 0 THEN 1.0 ELSE 0.0 END), 6) AS gap_coverage,
+round(coalesce(sum(cluster_size) FILTER (gap > 0), 0) / sum(cluster_size), 6) AS gap_coverage_sequences, count(*) AS num_clusters FROM g"""
+)
+def convergence_metrics(spark, d):
+    return _r(metrics.aggregate_metrics(metrics.neighbourhood_metrics(_pairs(spark, d), _assign(spark, d), 95, LUMP)))
+
+
+# ---- graph ---------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {_E}, r AS (SELECT src, dst, distance, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rnk, sum(CASE WHEN distance <= {CLOSE} THEN 1 ELSE 0 END) OVER (PARTITION BY src) AS near FROM e)
+SELECT src, dst, round(distance, 6) AS distance, CAST(rnk AS INTEGER) AS rnk FROM r WHERE CASE WHEN near >= 5 THEN distance <= {CLOSE} ELSE rnk <= 5 END"""
+)
+def knn_graph(spark, d):
+    return _r(graph.knn(_edges(spark, d), 5, CLOSE))
+
+
+@query(f"WITH {_P} SELECT i AS a, j AS b, round(d, 6) AS distance FROM p WHERE d <= {CLOSE}")
+def close_pairs(spark, d):
+    return _r(graph.close_pairs(_edges(spark, d), CLOSE))
+
+
+@query(
+    f"""WITH {_E}, w AS (SELECT src, dst, distance, dst % 7 + 1 AS size, src % 7 + 1 AS seed FROM e WHERE distance <= {LUMP}),
+i AS (SELECT *, seed + sum(size) OVER (PARTITION BY src ORDER BY distance, dst ROWS UNBOUNDED PRECEDING) AS s FROM w WHERE distance <= {CLOSE}),
+i2 AS (SELECT * FROM i WHERE s <= 20), u AS (SELECT src, max(s) AS used FROM i2 GROUP BY src),
+o AS (SELECT w.src, w.dst, coalesce(used, seed) + sum(size) OVER (PARTITION BY w.src ORDER BY distance, dst ROWS UNBOUNDED PRECEDING) AS s FROM w LEFT JOIN u ON w.src = u.src WHERE distance > {CLOSE})
+SELECT src, dst AS cluster_id, 'core' AS zone FROM i2 UNION ALL SELECT src, dst, 'context' FROM o WHERE s <= 20 UNION ALL SELECT vec_id, vec_id, 'seed' FROM embeddings"""
+)
+def refinement_scopes(spark, d):
+    sizes = _items(spark, d).select(F.col("idx").alias("cluster_id"), (F.col("idx") % 7 + 1).alias("size"))
+    return graph.scopes(_edges(spark, d), sizes, CLOSE, LUMP, 20)
+
+
+@query(
+    """WITH m AS (SELECT doc_id AS cluster_id, source || '/' || lang AS s FROM documents WHERE doc_id % 10 = 0),
+e AS (SELECT DISTINCT a.s AS x, b.s AS y FROM m a JOIN m b ON split_part(a.s, '/', 1) = split_part(b.s, '/', 1) AND a.s <> b.s)
+SELECT a.cluster_id AS src, b.cluster_id AS dst, 0.5 AS distance FROM e JOIN m a ON a.s = x JOIN m b ON b.s = y
+UNION ALL SELECT a.cluster_id, b.cluster_id, 0.0 FROM m a JOIN m b ON a.s = b.s AND a.cluster_id <> b.cluster_id"""
+)
+def medoid_fan_out(spark, d):
+    m = _t(spark, d, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("cluster_id"), F.concat_ws("/", "source", "lang").alias("seq"), "source")
+    x = m.select(F.col("seq").alias("src_seq"), "source").distinct()
+    e = x.join(x.withColumnRenamed("src_seq", "dst_seq"), "source").where("src_seq <> dst_seq").select("src_seq", "dst_seq", F.lit(0.5).alias("distance"))
+    return graph.fan_out(e, m.select("cluster_id", "seq"))
+
+
+@query(
+    """WITH s AS (SELECT item_id AS idx, list_distinct(list_transform(range(1, greatest(length(text) - 7, 1) + 1), lambda p: substr(text, p, 8))) AS g FROM benchmark),
+e AS (SELECT idx, len(g) AS n, unnest(g) AS t FROM s)
+SELECT i, j, shared, round(identity, 6) AS identity FROM (SELECT a.idx AS i, b.idx AS j, count(*) AS shared, count(*) / least(a.n, b.n) AS identity FROM e a JOIN e b ON a.t = b.t AND a.idx < b.idx GROUP BY a.idx, b.idx, a.n, b.n) WHERE identity >= 0.02"""
+)
+def kmer_similarity(spark, d):
+    return _r(distance.shingle_jaccard(_t(spark, d, "benchmark").select(F.col("item_id").alias("idx"), "text"), 8, 0.02))
+
+
+# ---- partitions, conflicts, mappings ----------------------------------------------------------
+
+
+@query(
+    """WITH r AS (SELECT source AS a, lang AS b FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL), c AS (SELECT a, b, count(*) AS n FROM r GROUP BY a, b),
+x AS (SELECT a, sum(n) AS x FROM c GROUP BY a), y AS (SELECT b, sum(n) AS y FROM c GROUP BY b), t AS (SELECT CAST(sum(n) AS DOUBLE) AS t FROM c),
+mi AS (SELECT sum(n / t * ln(t * n / (x * y))) AS mi FROM c JOIN x USING (a) JOIN y USING (b), t),
+ha AS (SELECT sum(-(x / t) * ln(x / t)) AS ha FROM x, t), hb AS (SELECT sum(-(y / t) * ln(y / t)) AS hb FROM y, t),
+o AS (SELECT x, y, t, unnest(range(CAST(greatest(1, x + y - t) AS BIGINT), CAST(least(x, y) AS BIGINT) + 1)) AS k FROM x, y, t),
+emi AS (SELECT sum(k / t * ln(t * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(t - x - y + k + 1))) AS e FROM o)
+SELECT round((mi - e) / ((ha + hb) / 2 - e), 6) AS ami FROM mi, ha, hb, emi"""
+)
+def adjusted_mutual_information(spark, d):
+    return _r(metrics.adjusted_mutual_information(_t(spark, d, "documents").select(F.col("source").alias("a"), F.col("lang").alias("b"))))
+
+
+def _sizes(spark, d):
+    return _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("cluster_id")).agg(F.count("*").alias("size"))
+
+
+_SIZES = "WITH s AS (SELECT o_custkey AS cluster_id, count(*) AS size FROM orders GROUP BY 1)"
+
+
+@query(
+    _SIZES + ", b AS (SELECT CASE WHEN size <= 10 THEN '1-10' WHEN size <= 50 THEN '11-50' WHEN size <= 100 THEN '51-100' ELSE '>100' END AS bucket, count(*) AS n FROM s GROUP BY 1) "
+    "SELECT x AS bucket, coalesce(n, 0) AS count, round(100.0 * coalesce(n, 0) / (SELECT count(*) FROM s), 6) AS pct FROM (VALUES ('1-10'), ('11-50'), ('51-100'), ('>100')) v(x) LEFT JOIN b ON bucket = x"
+)
+def size_distribution(spark, d):
+    return _r(metrics.size_distribution(_sizes(spark, d)))
+
+
+@query(_SIZES + " SELECT max(size) AS largest, min(size) AS smallest, list_sort(list(size))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median, round(avg(size), 6) AS mean FROM s")
+def size_summary(spark, d):
+    return _r(metrics.size_summary(_sizes(spark, d)))
+
+
+@query(_SIZES + " SELECT cluster_id, size, format('cluster_{:05d}', row_number() OVER (ORDER BY size DESC, cluster_id)) AS new_id FROM s")
+def renumbered(spark, d):
+    return metrics.renumbered(_sizes(spark, d))
+
+
+def _supply(spark, d, where="true"):
+    return _t(spark, d, "lineitem").where(where).select(F.col("l_partkey").alias("seq_id"), F.col("l_suppkey").alias("cluster_id")).distinct()
+
+
+@query("SELECT l_partkey AS seq_id, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS cluster_ids FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
+def conflicts(spark, d):
+    return metrics.conflicts(_supply(spark, d)).select("seq_id", F.array_join(F.transform("cluster_ids", lambda x: x.cast("string")), ",").alias("cluster_ids"))
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT l_partkey AS s, l_suppkey AS c FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_partkey AS s, l_suppkey AS c FROM lineitem WHERE l_returnflag = 'A'),
+cn AS (SELECT s FROM n GROUP BY s HAVING count(*) > 1), cb AS (SELECT s FROM b GROUP BY s HAVING count(*) > 1)
+SELECT (SELECT count(DISTINCT s) FROM n) AS unique_sequences, (SELECT count(*) FROM n) AS assignments, (SELECT count(*) FROM cn) AS conflicts, (SELECT count(*) FROM cn WHERE s NOT IN (SELECT s FROM cb)) AS new_conflicts,
+(SELECT count(*) FROM cn WHERE s IN (SELECT s FROM cb)) AS unresolved_conflicts, (SELECT count(*) FROM cb WHERE s NOT IN (SELECT s FROM cn)) AS resolved_conflicts"""
+)
+def conflict_verification(spark, d):
+    return metrics.verification(_supply(spark, d, "l_returnflag = 'R'"), _supply(spark, d, "l_returnflag = 'A'"))
+
+
+@query(
+    """WITH b AS (SELECT c_custkey AS s, c_nationkey AS old_id FROM customer), a AS (SELECT c_custkey AS s, c_mktsegment AS new_id FROM customer WHERE c_nationkey <> 3),
+z AS (SELECT old_id, count(*) AS old_size FROM b GROUP BY 1), o AS (SELECT old_id, new_id, count(*) AS overlap FROM b JOIN a USING (s) GROUP BY 1, 2),
+j AS (SELECT z.old_id, new_id, old_size, overlap, count(new_id) OVER (PARTITION BY z.old_id) AS parts FROM z LEFT JOIN o ON z.old_id = o.old_id)
+SELECT old_id, new_id, old_size, overlap, round(100.0 * overlap / old_size, 6) AS pct, CASE WHEN parts = 0 THEN 'removed' WHEN parts > 1 THEN 'split' WHEN 100.0 * overlap / old_size >= 99 THEN 'renamed' ELSE 'partial' END AS kind,
+CAST(row_number() OVER (PARTITION BY old_id ORDER BY overlap DESC, new_id) AS INTEGER) AS rank FROM j"""
+)
+def cluster_mapping(spark, d):
+    c = _t(spark, d, "customer")
+    before = c.select(F.col("c_custkey").alias("seq_id"), F.col("c_nationkey").alias("cluster_id"))
+    after = c.where("c_nationkey <> 3").select(F.col("c_custkey").alias("seq_id"), F.col("c_mktsegment").alias("cluster_id"))
+    return _r(metrics.mapping(before, after))
+
+
+@query(
+    """WITH m AS (SELECT source, array_to_string(list_sort(list(DISTINCT CAST(doc_id AS VARCHAR))), ',') AS m FROM documents GROUP BY source)
+SELECT sha256(array_to_string(list_sort(list(m)), '|')) AS signature, count(*) AS clusters FROM m"""
+)
+def partition_signature(spark, d):
+    return metrics.signature(_t(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.col("source").alias("cluster_id")))
+
+
+@query(
+    """WITH c AS (SELECT o_custkey AS cluster_id, min(CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey % 5 ELSE 0 END) AS least_times, count(*) AS size FROM orders GROUP BY 1)
+SELECT *, CAST(row_number() OVER (ORDER BY least_times, size DESC, cluster_id) AS INTEGER) AS rank FROM c"""
+)
+def seed_priority(spark, d):
+    o = _t(spark, d, "orders")
+    counts = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("seq_id"), (F.col("o_orderkey") % 5).alias("times"))
+    return metrics.priority(o.select(F.col("o_custkey").alias("cluster_id"), F.col("o_orderkey").alias("seq_id")), counts)
+
+
+# ---- sequences -----------------------------------------------------------------------------------
+
+
+#: Sequences are ASCII; engines differ in the capitals of other letters.
+def _ascii(c):
+    return F.regexp_replace(c, r"[^\x00-\x7F]", "")
+
+
+def _texts(spark, d):
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("idx"), _ascii("text").alias("seq"), F.col("source").alias("description"))
+
+
+@query(
+    r"""WITH u AS (SELECT upper(trim(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), ' ')) AS seq, min(doc_id) AS idx, count(*) AS n FROM documents GROUP BY 1)
+SELECT idx, 'seq_' || substr(sha256(seq), 1, 16) AS seq_id, sha256(seq) AS seq_sha, n AS copies FROM u"""
+)
+def sequence_dedup(spark, d):
+    return seqs.deduplicated(_texts(spark, d)).select("idx", "seq_id", F.sha2("seq", 256).alias("seq_sha"), F.size("descriptions").cast("long").alias("copies"))
+
+
+@query("SELECT substr(sha256(array_to_string(list_sort(list(substr(sha256(upper(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'))), 1, 16))), '')), 1, 12) AS db_key FROM benchmark")
+def database_key(spark, d):
+    return seqs.database_key(_t(spark, d, "benchmark").select(_ascii("text").alias("seq")))
+
+
+@query(
+    """WITH x AS (SELECT p_partkey AS idx, upper(substr(p_name, 1, 12)) AS s FROM part)
+SELECT idx, array_to_string(list_sort(list_filter(list_distinct(string_split(s, '')), lambda c: NOT contains('ATCGNRYKMSWBDHV-', c) AND c <> '')), '') AS bad FROM x"""
+)
+def invalid_letters(spark, d):
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.array_join(seqs.invalid_letters(F.substring("p_name", 1, 12)), "").alias("bad"))
+
+
+_ALN = "SELECT p_partkey AS idx, p_size % 5 AS scope_id, rpad(repeat('-', CAST(p_partkey % 7 AS INTEGER)) || replace(substr(p_name, 1, CAST(20 - p_partkey % 9 AS INTEGER)), ' ', '-'), 30, '-') AS aln FROM part"
+_MASK = "CASE WHEN regexp_matches(aln, '^-*$') THEN aln ELSE repeat('.', length(aln) - length(ltrim(aln, '-'))) || trim(aln, '-') || repeat('.', length(aln) - length(rtrim(aln, '-'))) END"
+
+
+def _aligned(spark, d):
+    lead, body = F.repeat(F.lit("-"), (F.col("p_partkey") % 7).cast("int")), F.replace(F.substr("p_name", F.lit(1), (20 - F.col("p_partkey") % 9).cast("int")), F.lit(" "), F.lit("-"))
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("idx"), (F.col("p_size") % 5).alias("scope_id"), F.rpad(F.concat(lead, body), 30, "-").alias("aln"))
+
+
+@query(f"WITH a AS ({_ALN}) SELECT idx, scope_id, {_MASK} AS aln FROM a")
+def masked_ends(spark, d):
+    return _aligned(spark, d).withColumn("aln", seqs.masked_ends(F.col("aln")))
+
+
+@query(
+    f"""WITH a AS ({_ALN}), m AS (SELECT idx, scope_id, {_MASK} AS aln FROM a), c AS (SELECT scope_id, unnest(range(1, 31)) AS pos, unnest(string_split(aln, '')) AS ch FROM m),
+n AS (SELECT scope_id, floor(0.5 * count(*)) AS need FROM m GROUP BY 1), v AS (SELECT scope_id, pos, count(*) FILTER (ch <> '.') AS cover FROM c GROUP BY 1, 2)
+SELECT v.scope_id, CAST(min(pos) AS INTEGER) AS first_col, CAST(max(pos) AS INTEGER) AS last_col FROM v JOIN n USING (scope_id) WHERE cover >= need GROUP BY 1"""
+)
+def covered_range(spark, d):
+    return seqs.covered_range(masked_ends(spark, d))
+
+
+@query(
+    f"""WITH a AS ({_ALN}), m AS (SELECT idx, {_MASK} AS s FROM a), p AS (SELECT x.idx AS i, y.idx AS j, x.s AS a, y.s AS b, length(replace(replace(x.s, '.', ''), '-', '')) AS la, length(replace(replace(y.s, '.', ''), '-', '')) AS lb FROM m x JOIN m y ON y.idx = x.idx + 1),
+o AS (SELECT i, j, la, lb, len(list_filter(range(1, 31), lambda k: substr(a, k, 1) NOT IN ('.', '-') AND substr(b, k, 1) NOT IN ('.', '-'))) AS n, len(list_filter(range(1, 31), lambda k: substr(a, k, 1) <> '.' AND substr(b, k, 1) <> '.' AND NOT (substr(a, k, 1) = '-' AND substr(b, k, 1) = '-'))) AS columns FROM p)
+SELECT i, j, CAST(n AS INTEGER) AS overlap, CAST(columns AS INTEGER) AS columns, la > 0 AND lb > 0 AND n > 0 AND n >= 0.5 * least(la, lb) AS is_valid FROM o"""
+)
+def overlap_gate(spark, d):
+    m = masked_ends(spark, d)
+    p = m.select(F.col("idx").alias("i"), F.col("aln").alias("a")).join(m.select((F.col("idx") - 1).alias("i"), F.col("idx").alias("j"), F.col("aln").alias("b")), "i")
+    letters = lambda c: F.length(F.regexp_replace(c, "[.-]", ""))
+    n = seqs.overlap(F.col("a"), F.col("b"))
+    return p.select("i", "j", n.alias("overlap"), F.size(seqs.columns_of(F.col("a"), F.col("b"))).alias("columns"), seqs.overlap_valid(n, letters("a"), letters("b")).alias("is_valid"))
+
+
+@query("SELECT CAST(floor(quantile_cont(length(text), 0.5)) AS INTEGER) AS normal_length FROM documents")
+def normal_length(spark, d):
+    return _t(spark, d, "documents").agg(seqs.normal_length(F.col("text")).alias("normal_length"))
+
+
+@query(
+    "WITH x AS (SELECT format('cluster_{:05d}', s_suppkey) || CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'C' ELSE 'R' || (s_suppkey % 4) END AS cluster_id FROM supplier) "
+    "SELECT cluster_id, CAST(regexp_extract(cluster_id, '^cluster_([0-9]+)', 1) AS INTEGER) AS number, nullif(regexp_extract(cluster_id, '^cluster_[0-9]+([ICR][0-9]*)', 1), '') AS suffix FROM x"
+)
+def cluster_ids(spark, d):
+    s = F.col("s_suppkey")
+    suffix = F.when(s % 3 == 0, F.lit("")).when(s % 3 == 1, F.lit("C")).otherwise(F.concat(F.lit("R"), (s % 4).cast("string")))
+    ids = _t(spark, d, "supplier").select(F.concat(F.format_string("cluster_%05d", s), suffix).alias("cluster_id"))
+    return ids.select("cluster_id", seqs.id_number(F.col("cluster_id")).alias("number"), seqs.id_suffix(F.col("cluster_id")).alias("suffix"))
+
+
+@query("WITH f AS (SELECT upper(trim(text, ' ')) AS k, min(doc_id) AS idx FROM documents GROUP BY 1) SELECT doc_id AS target_id, f.idx FROM documents d JOIN f ON upper(trim(d.text, ' ')) = f.k WHERE doc_id % 3 = 0 UNION ALL SELECT -1 - item_id, f.idx FROM benchmark b LEFT JOIN f ON upper(trim(b.text, ' ')) = f.k")
+def first_match(spark, d):
+    docs = _t(spark, d, "documents")
+    targets = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("target_id"), F.col("text").alias("seq")).unionByName(_t(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("target_id"), F.col("text").alias("seq")))
+    return seqs.first_match(targets, docs.select(F.col("doc_id").alias("idx"), F.col("text").alias("seq")))
+
+
+@query("SELECT p_partkey AS idx, CASE WHEN contains(p_name, ' ') THEN substr(p_name, instr(p_name, ' ') + 1) END AS description FROM part")
+def header_description(spark, d):
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("idx"), seqs.description(F.col("p_name")).alias("description"))
+
+
+# ---- clustering: sequential, checked by hand-computed results and invariants in tests -----------
+
+
+def _scoped(spark, d):
+    e = _t(spark, d, "embeddings").where("label is not null")
+    items = e.select(F.col("label").alias("scope_id"), F.col("vec_id").alias("idx"))
+    pairs = _pairs(spark, d).where(metrics.same()).select(F.col("ci").alias("scope_id"), "i", "j", "d")
+    return items, pairs
+
+
+@query()
+def gap_clusters_local(spark, d):
+    return _r(cluster.gap_clusters(*_scoped(spark, d), min_split=CLOSE, max_lump=LUMP, percentile=95, method="local"))
+
+
+@query()
+def gap_clusters_global(spark, d):
+    return _r(cluster.gap_clusters(*_scoped(spark, d), min_split=CLOSE, max_lump=LUMP, percentile=95, method="global"))
+
+
+@query()
+def gap_clusters_history(spark, d):
+    return _r(cluster.gap_history(*_scoped(spark, d), min_split=CLOSE, max_lump=LUMP))
+
+
+@query()
+def target_clusters(spark, d):
+    items, pairs = _scoped(spark, d)
+    return _r(cluster.target_clusters(items.withColumn("is_seed", F.col("idx") % 97 == 5), pairs, CLOSE, LUMP, 95))
+
+
+@query()
+def query_classification(spark, d):
+    return _r(query_analysis.classified(*_scoped(spark, d), CLOSE, LUMP))
+
+
+@query()
+def query_summary(spark, d):
+    return _r(query_analysis.summary(query_analysis.classified(*_scoped(spark, d), CLOSE, LUMP)))
+
+
+@query(
+    f"""WITH {_V}, q AS (SELECT c, min(idx) AS q FROM v GROUP BY c), t AS (SELECT v.c, v.idx, (1 - list_distance(v.e, w.e)) * 100 AS identity, v.idx % 3 = 0 AS member FROM v JOIN q USING (c) JOIN v w ON w.idx = q.q WHERE v.idx <> q.q)
+SELECT round(min(identity) FILTER (member), 6) AS intra_min, round(quantile_cont(identity, 0.05) FILTER (member), 6) AS intra_p5, round(quantile_cont(identity, 0.5) FILTER (member), 6) AS intra_median, round(quantile_cont(identity, 0.95) FILTER (member), 6) AS intra_p95,
+round(max(identity) FILTER (member), 6) AS intra_max, round(max(identity) FILTER (NOT member), 6) AS nearest_non_member, round(min(identity) FILTER (member) - max(identity) FILTER (NOT member), 6) AS gap_size, min(identity) FILTER (member) - max(identity) FILTER (NOT member) > 0 AS gap_exists FROM t"""
+)
+def query_gap(spark, d):
+    items, pairs = _scoped(spark, d)
+    q = items.groupBy("scope_id").agg(F.min("idx").alias("i"))
+    hits = pairs.join(q, ["scope_id", "i"]).select((F.col("j") % 3 == 0).alias("member"), metrics.identity(F.col("d")).alias("identity"))
+    return _r(metrics.query_gap(hits))
