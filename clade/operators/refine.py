@@ -132,13 +132,14 @@ def refine(sequences: DataFrame, assign: DataFrame, conf: Config | None = None)
         before_assign, assign = assign, spark.read.parquet(f"{root}/iter{it}")
         old_sig, new_sig = metrics.signature(before_assign).first().signature, metrics.signature(assign).first()
         after = {r.cluster_id: r.m for r in assign.groupBy("cluster_id").agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_set("seq_id"))), 256).alias("m")).collect()}
-        kept_marks = set(after.values())
-        for _, parts, sig in chosen:
-            if all(marks[p] in kept_marks for p in parts):
-                settled.add(sig)
+        # a scope's outcome is settled: the same partition met again as a scope is left alone
+        outcome: dict[str, list] = {}
         for cid, m in after.items():
             if cid not in sizes:
-                times[cid] = it
+                outcome.setdefault(cid.split("_")[2], []).append([m])
+        for c, _, _ in chosen:
+            settled.add(_signature(outcome.get(hashlib.sha256(c.encode()).hexdigest()[:12], [])))
+        times.update({cid: it for cid in after if cid not in sizes})
         number = it
         history.append({"iteration": it, "scopes": len(chosen), "clusters": new_sig.clusters})
         medoids.unpersist()
