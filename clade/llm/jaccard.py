@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bitmap, by_row, components, digest16, in_bitmap, lists, mixed, only, stored
+from .common import WordHashes, bitmap, by_row, components, digest16, in_bitmap, lists, mixed, only, release, stored
 
 #: A group's expected members and tokens at most; groups beyond are split by a hash.
 GROUP_MEMBERS, GROUP_TOKENS = 256, 131_072
@@ -262,6 +262,7 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, pct: int = 80) -> DataFrame
     packs = wanted.join(tokens, "doc_id").groupBy("id").agg(F.collect_list(F.struct("doc_id", "tokens")).alias("members"))
     opened = near.join(packs, "id").select("q", "x", "members")
     links = components(opened.mapInArrow(_open(pct), "a long, b long"))
+    release(pre, groups, asked, near)
 
     home = reps.select("sig", F.col("doc_id").alias("rep")).join(links, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("home"))
     out = prof.select("doc_id", "n", F.when(F.expr("n > 0 and doc_id is not null"), F.col("sig")).alias("sig")).join(home, "sig", "left")

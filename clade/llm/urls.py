@@ -89,7 +89,8 @@ def probability(features: Column, weights: list[float]) -> Column:
 
 
 def labelled_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LABELLED, "host string, path string, label int")
+    rows = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(y).alias("label")) for h, p, y in LABELLED])
+    return spark.range(1).select(F.inline(rows))
 
 
 def judged(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES) -> DataFrame:
