@@ -22,7 +22,7 @@ LABELLED = [
     (host, path, label)
     for label, hosts, paths in (
         (0, ("news.example.net", "www.library.example.com", "blog.writer.example.org", "docs.project.example.net"), ("/en/20145", "/article/history-of-tea", "/es/3071.html", "/wiki/Lattice", "/fr/essay/1999/", "/de/4711")),
-        (1, ("ads.example.net", "track.example.com", "m.shop.example.org", "casino.example.net"), ("/click?id=1", "/login", "/cart/checkout", "/banner/728x90.html", "/tag/free-bonus/", "/pixel.gif")),
+        (1, ("ads.example.net", "track.example.com", "m.shop.example.org", "casino.example.net"), ("/click/out", "/login", "/cart/checkout", "/banner/728x90.html", "/tag/free-bonus/", "/pixel.gif")),
     )
     for host in hosts
     for path in paths
