@@ -1 +1 @@
-
+"""Streams: none of the operators is incremental; inputs are whole tables."""
