@@ -144,6 +144,8 @@ def _verify(least: float):
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of rows, scaled by powers of two first, so that no square over- or underflows."""
+    x, y = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]) for v in (x, y))
     return np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
 
 

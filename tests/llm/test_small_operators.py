@@ -65,6 +65,11 @@ def test_e8_decoding_is_nearest():
     assert np.allclose(lattice.decode_e8(p), p)
 
 
+def test_cosine_of_huge_and_tiny_vectors():
+    x = np.array([[3.0, 4.0], [3e300, 4e300], [3e-300, 4e-300]])
+    assert lattice.cosine(x, x[::-1]) == pytest.approx([1, 1, 1])
+
+
 def test_links_against_brute_force(spark):
     r = np.random.default_rng(4)
     rows = []
