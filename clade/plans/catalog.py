@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clade.functions import sequences as seqs
-from clade.operators import cluster, distance, graph, metrics, query_analysis
+from clade.operators import cluster, distance, graph, metrics, query_analysis, search
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -237,6 +237,17 @@ def kmer_similarity(spark, d):
     return _r(distance.shingle_jaccard(_t(spark, d, "benchmark").select(F.col("item_id").alias("idx"), "text"), 8, 0.02))
 
 
+@query(
+    """WITH s AS (SELECT item_id AS id, upper(trim(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), ' ')) AS t FROM benchmark),
+e AS (SELECT id, t, len(g) AS n, unnest(g) AS g FROM (SELECT id, t, list_distinct(list_transform(range(1, greatest(length(t) - 7, 1) + 1), lambda p: substr(t, p, 8))) AS g FROM s)),
+h AS (SELECT b.t FROM e a JOIN e b ON a.g = b.g WHERE a.id % 4 = 0 GROUP BY a.id, b.id, a.n, b.n, b.t HAVING count(*) / least(a.n, b.n) >= 0.02)
+SELECT id AS seq_id FROM s WHERE id % 4 = 0 OR t IN (SELECT t FROM h) OR t IN (SELECT t FROM s WHERE id % 4 = 0)"""
+)
+def neighbourhood(spark, d):
+    s = _t(spark, d, "benchmark").select(F.col("item_id").alias("seq_id"), _ascii("text").alias("seq"))
+    return search.neighbourhood(s, s.where("seq_id % 4 = 0"), 8, 0.02)
+
+
 # ---- partitions, conflicts, mappings ----------------------------------------------------------
 
 
