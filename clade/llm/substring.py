@@ -116,29 +116,31 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
 
 
 def _chained(batches):
+    """The chains of each document with each earlier holder, one row a holder."""
     for b in batches:
-        out = {"doc_id": [], "first_id": [], "xs": [], "ys": []}
-        for d, f, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+        xs, ys = [], []
+        for m in b.column(2):
             x, y = m.values.field(0).to_numpy(), m.values.field(1).to_numpy()
-            for path in chains(x, y):
-                out["doc_id"].append(d)
-                out["first_id"].append(f)
-                out["xs"].append(x[path])
-                out["ys"].append(y[path])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out["doc_id"], pa.int64()), pa.array(out["first_id"], pa.int64()), pa.array(out["xs"], pa.list_(pa.int32())), pa.array(out["ys"], pa.list_(pa.int32()))],
-            ["doc_id", "first_id", "xs", "ys"],
-        )
+            paths = chains(x, y)
+            xs.append([x[p] for p in paths])
+            ys.append([y[p] for p in paths])
+        kind = pa.list_(pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(xs, kind), pa.array(ys, kind)], ["doc_id", "first_id", "xs", "ys"])
 
 
 def grown(a: np.ndarray, c: np.ndarray) -> tuple[int, int]:
     """How far a run goes on along the diagonal, and how many words agree."""
-    n = min(len(a), len(c))
-    if n == 0:
+    most = min(len(a), len(c))
+    if most == 0:
         return 0, 0
-    same = a[:n] == c[:n]
-    s = np.cumsum(np.where(same, EQUAL, UNEQUAL))
-    low = np.flatnonzero(np.maximum.accumulate(np.maximum(s, 0)) - s > DROP)
+    n = min(most, 64)
+    while True:  # looks further only while the run goes on
+        same = a[:n] == c[:n]
+        s = np.cumsum(np.where(same, EQUAL, UNEQUAL))
+        low = np.flatnonzero(np.maximum.accumulate(np.maximum(s, 0)) - s > DROP)
+        if len(low) or n == most:
+            break
+        n = min(most, 4 * n)
     s = s[: low[0]] if len(low) else s
     if len(s) == 0 or s.max() <= 0:
         return 0, 0
@@ -183,10 +185,13 @@ def _aligned(k: int):
         for b in batches:
             cols = [[] for _ in range(7)]
             for d, f, xs, ys, x0, y0, wx, wy in zip(*(b.column(i) for i in range(8)), strict=True):
-                x0, y0 = x0.as_py(), y0.as_py()
-                s, e, fs, fe, agree = aligned(wx.values.to_numpy(), wy.values.to_numpy(), xs.values.to_numpy() - x0, ys.values.to_numpy() - y0, k)
-                for col, v in zip(cols, (d.as_py(), s + x0, e + x0, f.as_py(), fs + y0, fe + y0, agree), strict=True):
-                    col.append(int(v))
+                x0, y0, d, f = x0.as_py(), y0.as_py(), d.as_py(), f.as_py()
+                wx, wy = wx.values.to_numpy(), wy.values.to_numpy()
+                for px, py in zip(xs.values, ys.values, strict=True):
+                    s, e, fs, fe, agree = aligned(wx, wy, px.values.to_numpy() - x0, py.values.to_numpy() - y0, k)
+                    if e - s >= k:
+                        for col, v in zip(cols, (d, s + x0, e + x0, f, fs + y0, fe + y0, agree), strict=True):
+                            col.append(int(v))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "s", "e", "first_id", "fs", "fe", "agree"])
 
     return run
@@ -214,7 +219,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
         .select("seed", F.col("f.doc_id").alias("first_id"), F.col("f.pos").alias("y"))
     )
     matches = each.join(firsts, "seed").where("doc_id <> first_id").groupBy("doc_id", "first_id").agg(F.collect_list(F.struct(F.col("pos").alias("x"), "y")).alias("m"))
-    chain = stored(matches.mapInArrow(_chained, "doc_id long, first_id long, xs array<int>, ys array<int>"), "chains")
+    chain = stored(matches.mapInArrow(_chained, "doc_id long, first_id long, xs array<array<int>>, ys array<array<int>>"), "chains")
     release(seeds)
 
     both = chain.select("doc_id").union(chain.select("first_id")).distinct()
@@ -222,8 +227,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
     words = stored(texts.mapInArrow(_words(marked), "doc_id long, words array<int>").dropDuplicates(["doc_id"]), "words")
 
     def around(axis: str, off: str) -> list:
-        lo = F.greatest(F.lit(0), F.element_at(axis, 1) - MARGIN)
-        n = F.element_at(axis, -1) + k + MARGIN - lo
+        lo = F.greatest(F.lit(0), F.array_min(F.flatten(axis)) - MARGIN)
+        n = F.array_max(F.flatten(axis)) + k + MARGIN - lo
         return [lo.alias(off), F.slice("words", lo + 1, n).alias("w" + axis)]
 
     at = chain.join(words, "doc_id").select("doc_id", "first_id", "xs", "ys", *around("xs", "x0"))
