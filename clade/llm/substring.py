@@ -5,8 +5,8 @@ K + WINDOW - 1 words keeps at least one seed. Each seed points to its first
 holder (the smallest doc_id that has it): one match per occurrence, never the
 pairs within a group. Matches of a document with one holder are chained in
 order on both sides, with gap costs, through a Fenwick tree; each chain is then
-aligned word by word to find where the passage begins and ends and how much of
-it agrees.
+aligned word by word to find where its passages begin and end and how much of
+each agrees.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ K, WINDOW = 8, 12
 SEED_SCORE, GAP_COST, MARGIN = 8.0, 0.125, 64
 #: Alignment: score of equal words, of unequal ones; an end stops growing when it fell so far.
 EQUAL, UNEQUAL, DROP = 1, -2, 12
+ONE, NONE = 1 << 32, -(1 << 60)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -128,24 +129,35 @@ def _chained(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(xs, kind), pa.array(ys, kind)], ["doc_id", "first_id", "xs", "ys"])
 
 
-def grown(a: np.ndarray, c: np.ndarray) -> tuple[int, int]:
-    """How far a run goes on along the diagonal, and how many words agree."""
+def grown(a: np.ndarray, c: np.ndarray) -> tuple[int, int, int]:
+    """How far a run goes on, on either side, and how many words agree: the
+    best end of an alignment with gaps, row by row, over the columns that have
+    not fallen by more than DROP. A cell holds score * ONE + agreeing words."""
     most = min(len(a), len(c))
-    if most == 0:
-        return 0, 0
-    n = min(most, 64)
-    while True:  # looks further only while the run goes on
-        same = a[:n] == c[:n]
-        s = np.cumsum(np.where(same, EQUAL, UNEQUAL))
-        low = np.flatnonzero(np.maximum.accumulate(np.maximum(s, 0)) - s > DROP)
-        if len(low) or n == most:
+    n = 64
+    while n < most and (a[:n] == c[:n]).all():  # equal words need no table
+        n *= 4
+    unlike = np.flatnonzero(a[: min(n, most)] != c[: min(n, most)])
+    n = int(unlike[0]) if len(unlike) else most
+    best, end = n * (ONE * EQUAL + 1), (n, n, n)
+    lo, row = n, best + UNEQUAL * ONE * np.arange(min(DROP // -UNEQUAL, len(c) - n) + 1)
+    for i in range(n, len(a)):
+        hi = min(lo + len(row) + DROP // -UNEQUAL, len(c))  # the last column of the new row
+        new = np.full(hi - lo + 1, NONE)
+        new[: len(row)] = row + UNEQUAL * ONE
+        step = min(len(row), hi - lo)
+        same = c[lo : lo + step] == a[i]
+        new[1 : step + 1] = np.maximum(new[1 : step + 1], row[:step] + np.where(same, ONE * EQUAL + 1, UNEQUAL * ONE))
+        slope = UNEQUAL * ONE * np.arange(len(new))
+        new = np.maximum.accumulate(new - slope) + slope
+        top = int(new.argmax())
+        if new[top] > best:
+            best, end = int(new[top]), (i + 1, lo + top, int(new[top]) % ONE)
+        live = np.flatnonzero(new >= best - DROP * ONE)
+        if len(live) == 0:
             break
-        n = min(most, 4 * n)
-    s = s[: low[0]] if len(low) else s
-    if len(s) == 0 or s.max() <= 0:
-        return 0, 0
-    end = int(s.argmax()) + 1
-    return end, int(same[:end].sum())
+        row, lo = new[live[0] : live[-1] + 1], lo + int(live[0])
+    return end
 
 
 def common_words(a: np.ndarray, c: np.ndarray) -> int:
@@ -164,23 +176,47 @@ def common_words(a: np.ndarray, c: np.ndarray) -> int:
     return int(row[-1])
 
 
-def aligned(wx, wy, xs, ys, k: int):
-    """(start, end, start, end, agreeing words) of the passage round a chain;
-    xs and ys index wx and wy."""
-    left, agree = grown(wx[: xs[0]][::-1], wy[: ys[0]][::-1])
-    ex, ey = xs[0], ys[0]  # all before is settled
-    for a, c in zip(xs, ys, strict=True):
-        if a > ex or c > ey:
-            agree += common_words(wx[ex : max(ex, a)], wy[ey : max(ey, c)])
-        step = min(a + k - max(ex, a), c + k - max(ey, c))
-        if step > 0:
-            agree += step
-        ex, ey = max(ex, a + k), max(ey, c + k)
-    right, more = grown(wx[ex:], wy[ey:])
-    return xs[0] - left, ex + right, ys[0] - left, ey + right, agree + more
+def aligned(wx, wy, xs, ys, k: int, min_words: int, min_identity: float) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, start, end, agreeing words) of the passages of a chain; xs
+    and ys index wx and wy. The chain is a row of equal runs and the gaps
+    between them. A passage goes from one run to another, on into the words
+    beyond as far as they agree, and has min_words and min_identity by itself:
+    runs with unlike text between them are passages of their own. Passages
+    within others are left out."""
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(xs) != np.diff(ys)) | (np.diff(xs) > k)]))
+    last = np.concatenate([first[1:], [len(xs)]]) - 1
+    runs, ex, ey = [], 0, 0
+    for a, c, e in zip(xs[first].tolist(), ys[first].tolist(), (xs[last] + k).tolist(), strict=True):
+        n, cut = e - a, max(0, ex - a, ey - c) if runs else 0
+        if cut < n:
+            runs.append((a + cut, c + cut, n - cut))
+            ex, ey = a + n, c + n
+    a, c, n = np.array(runs).T
+    gaps = list(zip([0, *(a + n)], [*a, len(wx)], [0, *(c + n)], [*c, len(wy)], strict=True))  # before, between and after
+    before = np.array([grown(wx[p:q][::-1], wy[u:v][::-1]) for p, q, u, v in gaps[:-1]])
+    after = np.array([grown(wx[p:q], wy[u:v]) for p, q, u, v in gaps[1:]])
+    agree = np.cumsum(n + np.array([0] + [common_words(wx[p:q], wy[u:v]) for p, q, u, v in gaps[1:-1]]))
+    out, seen = [], -1
+    for i in range(len(a)):
+        if i and seen == len(a) - 1:
+            break
+        pick = None
+        for left in (before[i], np.zeros(3, int)):
+            for right in (after[i:], np.zeros((len(a) - i, 3), int)):
+                s, fs = a[i] - left[0], c[i] - left[1]
+                e, fe = (a + n)[i:] + right[:, 0], (c + n)[i:] + right[:, 1]
+                got = agree[i:] - agree[i] + n[i] + left[2] + right[:, 2]
+                fit = np.flatnonzero((e - s >= min_words) & (got >= min_identity * np.maximum(e - s, fe - fs)))
+                if len(fit) and (pick is None or fit[-1] + i > pick[0]):
+                    j = int(fit[-1])
+                    pick = (j + i, (int(s), int(e[j]), int(fs), int(fe[j]), int(got[j])))
+        if pick and pick[0] > seen:
+            seen = pick[0]
+            out.append(pick[1])
+    return out
 
 
-def _aligned(k: int):
+def _aligned(k: int, min_words: int, min_identity: float):
     def run(batches):
         for b in batches:
             cols = [[] for _ in range(7)]
@@ -188,8 +224,7 @@ def _aligned(k: int):
                 x0, y0, d, f = x0.as_py(), y0.as_py(), d.as_py(), f.as_py()
                 wx, wy = wx.values.to_numpy(), wy.values.to_numpy()
                 for px, py in zip(xs.values, ys.values, strict=True):
-                    s, e, fs, fe, agree = aligned(wx, wy, px.values.to_numpy() - x0, py.values.to_numpy() - y0, k)
-                    if e - s >= k:
+                    for s, e, fs, fe, agree in aligned(wx, wy, px.values.to_numpy() - x0, py.values.to_numpy() - y0, k, min_words, min_identity):
                         for col, v in zip(cols, (d, s + x0, e + x0, f, fs + y0, fe + y0, agree), strict=True):
                             col.append(int(v))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "s", "e", "first_id", "fs", "fe", "agree"])
@@ -234,8 +269,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
     at = chain.join(words, "doc_id").select("doc_id", "first_id", "xs", "ys", *around("xs", "x0"))
     at = at.join(words.withColumnRenamed("doc_id", "first_id"), "first_id").select("doc_id", "first_id", "xs", "ys", "x0", "wxs", *around("ys", "y0"))
     at = at.select("doc_id", "first_id", "xs", "ys", "x0", "y0", "wxs", "wys")
-    found = at.mapInArrow(_aligned(k), "doc_id long, s long, e long, first_id long, fs long, fe long, agree long")
-    found = found.withColumn("longer", F.greatest(F.col("e") - F.col("s"), F.col("fe") - F.col("fs"))).where(f"e - s >= {k} and agree >= {min_identity} * longer")
+    found = at.mapInArrow(_aligned(k, min_words, min_identity), "doc_id long, s long, e long, first_id long, fs long, fe long, agree long")
+    found = found.withColumn("longer", F.greatest(F.col("e") - F.col("s"), F.col("fe") - F.col("fs")))
 
     by = W.partitionBy("doc_id").orderBy("s", "e", "first_id")
     seen = F.max("e").over(by.rowsBetween(W.unboundedPreceding, -1))

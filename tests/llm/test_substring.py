@@ -110,3 +110,34 @@ def test_minimizers_keep_a_seed_in_every_window():
     pos, val = substring.minimizers(x, 12)
     want = {s + int(k) for s in range(len(x) - 11) for k in np.flatnonzero(x[s : s + 12] == x[s : s + 12].min())}
     assert set(pos.tolist()) == want and (x[pos] == val).all()
+
+
+def test_two_passages_with_unlike_text_between(spark):
+    r = random.Random(4)
+    one, two = words(r, 60), words(r, 60)
+    df = spark.createDataFrame([(d, " ".join(one + words(r, 80) + two)) for d in (1, 2)], "doc_id long, text string")
+    got = sorted((x.start_word, x.end_word, x.identity) for x in substring.repeated_passages(df).collect())
+    assert got == [(0, 60, 1.0), (140, 200, 1.0)]
+
+
+def brute_grown(a, c):
+    """Best score of an alignment of a prefix of each."""
+    row = [substring.UNEQUAL * j for j in range(len(c) + 1)]
+    best = 0
+    for i, w in enumerate(a):
+        new = [row[0] + substring.UNEQUAL]
+        for j, v in enumerate(c):
+            new.append(max(row[j] + (substring.EQUAL if w == v else substring.UNEQUAL), row[j + 1] + substring.UNEQUAL, new[j] + substring.UNEQUAL))
+        row, best = new, max(best, *new)
+    return best
+
+
+def test_growth_with_gaps():
+    r = np.random.default_rng(5)
+    for _ in range(100):
+        a = r.integers(0, 1000, 40)
+        c = np.insert(np.delete(a, r.integers(0, 40, 2)), int(r.integers(5, 30)), 5000)
+        c[r.integers(0, len(c), 2)] = 6000
+        i, j, agree = substring.grown(a, c)
+        assert max(brute_grown(a[:i], c[:j]), 0) == brute_grown(a, c) and agree <= min(i, j)
+    assert substring.grown(a, a) == (40, 40, 40) and substring.grown(a[:0], a) == (0, 0, 0)
