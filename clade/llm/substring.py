@@ -2,8 +2,10 @@
 
 Word k-mers are thinned to window minimizers, so that every exact run of
 K + WINDOW - 1 words keeps at least one seed. Each seed points to its first
-holder (the smallest doc_id that has it): one match per occurrence, never the
-pairs within a group. Matches of a document with one holder are chained in
+holder (the smallest doc_id that has it): one match per occurrence. Where no
+passage comes of that, a second round matches the occurrence with all other
+occurrences in earlier documents: pairs within a group, but only of what the
+first round left. Matches of a document with one holder are chained in
 order on both sides, with gap costs, through a Fenwick tree; each chain is then
 aligned word by word to find where its passages begin and end and how much of
 each agrees.
@@ -139,6 +141,9 @@ def grown(a: np.ndarray, c: np.ndarray) -> tuple[int, int, int]:
         n *= 4
     unlike = np.flatnonzero(a[: min(n, most)] != c[: min(n, most)])
     n = int(unlike[0]) if len(unlike) else most
+    reach = n + DROP // -UNEQUAL + 1
+    if set(a[n:reach].tolist()).isdisjoint(c[n:reach].tolist()):  # every way on falls by DROP
+        return n, n, n
     best, end = n * (ONE * EQUAL + 1), (n, n, n)
     lo, row = n, best + UNEQUAL * ONE * np.arange(min(DROP // -UNEQUAL, len(c) - n) + 1)
     for i in range(n, len(a)):
@@ -193,9 +198,15 @@ def aligned(wx, wy, xs, ys, k: int, min_words: int, min_identity: float) -> list
             ex, ey = a + n, c + n
     a, c, n = np.array(runs).T
     gaps = list(zip([0, *(a + n)], [*a, len(wx)], [0, *(c + n)], [*c, len(wy)], strict=True))  # before, between and after
-    before = np.array([grown(wx[p:q][::-1], wy[u:v][::-1]) for p, q, u, v in gaps[:-1]])
-    after = np.array([grown(wx[p:q], wy[u:v]) for p, q, u, v in gaps[1:]])
     agree = np.cumsum(n + np.array([0] + [common_words(wx[p:q], wy[u:v]) for p, q, u, v in gaps[1:-1]]))
+    left, right = grown(wx[: a[0]][::-1], wy[: c[0]][::-1]), grown(wx[ex:], wy[ey:])
+    s, e, fs, fe, got = int(a[0]) - left[0], ex + right[0], int(c[0]) - left[1], ey + right[1], int(agree[-1]) + left[2] + right[2]
+    if e - s < min_words:
+        return []
+    if got >= min_identity * max(e - s, fe - fs):
+        return [(s, e, fs, fe, got)]
+    before = np.array([left] + [grown(wx[p:q][::-1], wy[u:v][::-1]) for p, q, u, v in gaps[1:-1]])
+    after = np.array([grown(wx[p:q], wy[u:v]) for p, q, u, v in gaps[1:-1]] + [right])
     out, seen = [], -1
     for i in range(len(a)):
         if i and seen == len(a) - 1:
@@ -253,12 +264,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
         .where("f.doc_id <> last")
         .select("seed", F.col("f.doc_id").alias("first_id"), F.col("f.pos").alias("y"))
     )
-    matches = each.join(firsts, "seed").where("doc_id <> first_id").groupBy("doc_id", "first_id").agg(F.collect_list(F.struct(F.col("pos").alias("x"), "y")).alias("m"))
-    chain = stored(matches.mapInArrow(_chained, "doc_id long, first_id long, xs array<array<int>>, ys array<array<int>>"), "chains")
+    shared = stored(each.join(firsts, "seed").select("seed", "doc_id", F.col("pos").alias("x"), "first_id", "y"), "shared")
     release(seeds)
-
-    both = chain.select("doc_id").union(chain.select("first_id")).distinct()
-    marked = spark.sparkContext.broadcast(bitmap(both, "doc_id"))
+    marked = spark.sparkContext.broadcast(bitmap(shared.select("doc_id").distinct(), "doc_id"))
     words = stored(texts.mapInArrow(_words(marked), "doc_id long, words array<int>").dropDuplicates(["doc_id"]), "words")
 
     def around(axis: str, off: str) -> list:
@@ -266,19 +274,34 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
         n = F.array_max(F.flatten(axis)) + k + MARGIN - lo
         return [lo.alias(off), F.slice("words", lo + 1, n).alias("w" + axis)]
 
-    at = chain.join(words, "doc_id").select("doc_id", "first_id", "xs", "ys", *around("xs", "x0"))
-    at = at.join(words.withColumnRenamed("doc_id", "first_id"), "first_id").select("doc_id", "first_id", "xs", "ys", "x0", "wxs", *around("ys", "y0"))
-    at = at.select("doc_id", "first_id", "xs", "ys", "x0", "y0", "wxs", "wys")
-    found = at.mapInArrow(_aligned(k, min_words, min_identity), "doc_id long, s long, e long, first_id long, fs long, fe long, agree long")
-    found = found.withColumn("longer", F.greatest(F.col("e") - F.col("s"), F.col("fe") - F.col("fs")))
-
-    by = W.partitionBy("doc_id").orderBy("s", "e", "first_id")
-    seen = F.max("e").over(by.rowsBetween(W.unboundedPreceding, -1))
-    isle = found.withColumn("new", F.when(F.col("s") <= seen, 0).otherwise(1)).withColumn("isle", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    out = isle.groupBy("doc_id", "isle").agg(
-        F.min("s").alias("start_word"), F.max("e").alias("end_word"), (F.sum("agree") / F.sum("longer")).alias("identity"), F.array_sort(F.collect_set("first_id")).alias("first_ids")
-    )
-    out = out.withColumn("n_words", F.col("end_word") - F.col("start_word")).where(f"n_words >= {min_words}")
+    def passages(matches: DataFrame) -> DataFrame:
+        pairs = matches.groupBy("doc_id", "first_id").agg(F.collect_list(F.struct("x", "y")).alias("m"))
+        chain = stored(pairs.mapInArrow(_chained, "doc_id long, first_id long, xs array<array<int>>, ys array<array<int>>"), "chains")
+        at = chain.join(words, "doc_id").select("doc_id", "first_id", "xs", "ys", *around("xs", "x0"))
+        at = at.join(words.withColumnRenamed("doc_id", "first_id"), "first_id").select("doc_id", "first_id", "xs", "ys", "x0", "wxs", *around("ys", "y0"))
+        at = at.select("doc_id", "first_id", "xs", "ys", "x0", "y0", "wxs", "wys")
+        out = stored(at.mapInArrow(_aligned(k, min_words, min_identity), "doc_id long, s long, e long, first_id long, fs long, fe long, agree long"), "passages")
+        release(chain)
+        return out
+
+    def united(found: DataFrame) -> DataFrame:
+        by = W.partitionBy("doc_id").orderBy("s", "e", "first_id")
+        seen = F.max("e").over(by.rowsBetween(W.unboundedPreceding, -1))
+        isle = found.withColumn("new", F.when(F.col("s") <= seen, 0).otherwise(1)).withColumn("isle", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+        longer = F.greatest(F.col("e") - F.col("s"), F.col("fe") - F.col("fs"))
+        return isle.groupBy("doc_id", "isle").agg(
+            F.min("s").alias("start_word"), F.max("e").alias("end_word"), (F.sum("agree") / F.sum(longer)).alias("identity"), F.array_sort(F.collect_set("first_id")).alias("first_ids")
+        )
+
+    later = shared.where("doc_id <> first_id")
+    one = passages(later.select("doc_id", "first_id", "x", "y"))
+    spans = united(one).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    left = later.join(spans, "doc_id", "left").where(F.expr(f"spans is null or not exists(spans, p -> p.start_word <= x and x + {k} <= p.end_word)"))
+    left = left.select("seed", "doc_id", "x", F.col("first_id").alias("tried"), F.col("y").alias("tried_y"))
+    others = left.join(shared.select("seed", F.col("doc_id").alias("first_id"), F.col("x").alias("y")), "seed").where("first_id < doc_id and not (first_id = tried and y = tried_y)")
+    two = passages(others.select("doc_id", "first_id", "x", "y"))
+    release(shared, words)
+    out = united(one.unionByName(two)).withColumn("n_words", F.col("end_word") - F.col("start_word"))
     return out.select("doc_id", "start_word", "end_word", "n_words", "identity", "first_ids")
 
 

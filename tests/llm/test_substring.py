@@ -141,3 +141,25 @@ def test_growth_with_gaps():
         i, j, agree = substring.grown(a, c)
         assert max(brute_grown(a[:i], c[:j]), 0) == brute_grown(a, c) and agree <= min(i, j)
     assert substring.grown(a, a) == (40, 40, 40) and substring.grown(a[:0], a) == (0, 0, 0)
+
+
+def test_later_holders_are_tried(spark):
+    r = random.Random(6)
+    docs, want = {}, set()
+    for t in range(0, 60, 3):
+        one, two = words(r, 30), words(r, 30)
+        docs[t] = one + words(r, 100) + two
+        docs[t + 1] = words(r, 20) + one + two + words(r, 20)
+        docs[t + 2] = words(r, 5) + one + two + words(r, 40)
+        want.add((t + 2, 5, 65))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    got = substring.repeated_passages(df).collect()
+    assert {(x.doc_id, x.start_word, x.end_word) for x in got} == want and all(x.doc_id - 1 in x.first_ids for x in got)
+
+
+def test_lines_of_several_holders_are_no_passage(spark):
+    r = random.Random(7)
+    lines = [words(r, 25) for _ in range(5)]
+    docs = [words(r, 30) + line + words(r, 30) for line in lines] + [sum(lines, [])]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    assert substring.repeated_passages(df).count() == 0
