@@ -181,6 +181,23 @@ def common_words(a: np.ndarray, c: np.ndarray) -> int:
     return int(row[-1])
 
 
+def lengthened(wx, wy, s: int, e: int, fs: int, fe: int, agree: int, min_words: int, min_identity: float):
+    """A passage that is too short, gone on along the diagonals to agreeing
+    words further out, if it then has min_words and min_identity; else None.
+    The ends of growth are the best ones, not the furthest that are allowed."""
+    most = max(0, int(agree / min_identity) - (e - s)) + min_words  # more words than that are never allowed
+    n, m = min(s, fs, most), min(len(wx) - e, len(wy) - fe, most)
+    p = np.concatenate([[0], np.flatnonzero(wx[s - n : s][::-1] == wy[fs - n : fs][::-1]) + 1])
+    q = np.concatenate([[0], np.flatnonzero(wx[e : e + m] == wy[fe : fe + m]) + 1])
+    size = p[:, None] + q
+    got = agree + np.arange(len(p))[:, None] + np.arange(len(q))
+    fit = (e - s + size >= min_words) & (got >= min_identity * (max(e - s, fe - fs) + size))
+    if not fit.any():
+        return None
+    i, j = np.unravel_index(np.where(fit, size, -1).argmax(), size.shape)
+    return s - int(p[i]), e + int(q[j]), fs - int(p[i]), fe + int(q[j]), int(got[i, j])
+
+
 def aligned(wx, wy, xs, ys, k: int, min_words: int, min_identity: float) -> list[tuple[int, int, int, int, int]]:
     """(start, end, start, end, agreeing words) of the passages of a chain; xs
     and ys index wx and wy. The chain is a row of equal runs and the gaps
@@ -202,7 +219,8 @@ def aligned(wx, wy, xs, ys, k: int, min_words: int, min_identity: float) -> list
     left, right = grown(wx[: a[0]][::-1], wy[: c[0]][::-1]), grown(wx[ex:], wy[ey:])
     s, e, fs, fe, got = int(a[0]) - left[0], ex + right[0], int(c[0]) - left[1], ey + right[1], int(agree[-1]) + left[2] + right[2]
     if e - s < min_words:
-        return []
+        more = lengthened(wx, wy, s, e, fs, fe, got, min_words, min_identity)
+        return [more] if more else []
     if got >= min_identity * max(e - s, fe - fs):
         return [(s, e, fs, fe, got)]
     before = np.array([left] + [grown(wx[p:q][::-1], wy[u:v][::-1]) for p, q, u, v in gaps[1:-1]])
@@ -256,16 +274,11 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    seeds = stored(texts.mapInArrow(_seeds(k, window), "doc_id long, pos array<int>, seed array<long>").where("doc_id is not null and size(seed) > 0"), "seeds")
-    each = seeds.select("doc_id", F.explode(F.arrays_zip("seed", "pos")).alias("z")).select("doc_id", "z.seed", "z.pos")
-    firsts = (
-        each.groupBy("seed")
-        .agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.max("doc_id").alias("last"))
-        .where("f.doc_id <> last")
-        .select("seed", F.col("f.doc_id").alias("first_id"), F.col("f.pos").alias("y"))
-    )
-    shared = stored(each.join(firsts, "seed").select("seed", "doc_id", F.col("pos").alias("x"), "first_id", "y"), "shared")
-    release(seeds)
+    seeds = texts.mapInArrow(_seeds(k, window), "doc_id long, pos array<int>, seed array<long>").where("doc_id is not null and size(seed) > 0")
+    each = seeds.select("doc_id", F.explode(F.arrays_zip("seed", "pos")).alias("z")).select("doc_id", "z.seed", F.col("z.pos").alias("x"))
+    group = W.partitionBy("seed")
+    shared = each.withColumn("f", F.min(F.struct("doc_id", "x")).over(group)).withColumn("last", F.max("doc_id").over(group)).where("f.doc_id <> last")
+    shared = stored(shared.select("seed", "doc_id", "x", F.col("f.doc_id").alias("first_id"), F.col("f.x").alias("y")), "shared")
     marked = spark.sparkContext.broadcast(bitmap(shared.select("doc_id").distinct(), "doc_id"))
     words = stored(texts.mapInArrow(_words(marked), "doc_id long, words array<int>").dropDuplicates(["doc_id"]), "words")
 
@@ -297,8 +310,15 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
     one = passages(later.select("doc_id", "first_id", "x", "y"))
     spans = united(one).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     left = later.join(spans, "doc_id", "left").where(F.expr(f"spans is null or not exists(spans, p -> p.start_word <= x and x + {k} <= p.end_word)"))
-    left = left.select("seed", "doc_id", "x", F.col("first_id").alias("tried"), F.col("y").alias("tried_y"))
-    others = left.join(shared.select("seed", F.col("doc_id").alias("first_id"), F.col("x").alias("y")), "seed").where("first_id < doc_id and not (first_id = tried and y = tried_y)")
+    # of matches that follow one another on a diagonal the first is enough: runs grow
+    def behind(df: DataFrame) -> DataFrame:
+        by = W.partitionBy("doc_id").orderBy("x")
+        return df.withColumn("before", F.struct(F.lag("seed").over(by).alias("seed"), (F.col("x") - F.lag("x").over(by)).alias("step")))
+
+    left = behind(left).select("seed", "doc_id", "x", F.col("first_id").alias("tried"), F.col("y").alias("tried_y"), "before")
+    holders = behind(shared).select("seed", F.col("doc_id").alias("first_id"), F.col("x").alias("y"), F.col("before").alias("before_y"))
+    others = left.join(holders, "seed").where("first_id < doc_id and not (first_id = tried and y = tried_y)")
+    others = others.where(f"before.seed is null or before.step > {k} or not (before <=> before_y)")
     two = passages(others.select("doc_id", "first_id", "x", "y"))
     release(shared, words)
     out = united(one.unionByName(two)).withColumn("n_words", F.col("end_word") - F.col("start_word"))
