@@ -57,17 +57,16 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, most_langs: int = 256):
+def train(docs: DataFrame):
     """(languages, log-probabilities of buckets by language) from the text and
     lang of every document that isn't held out. A task adds up its own counts
     before the shuffle; the table that reaches the driver is languages x
-    BUCKETS. Beyond most_langs languages the rarest are left out."""
+    BUCKETS, for every language there is."""
     rows = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id").cast("long"))).select(F.col("lang").cast("string").alias("lang"), "text")
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()]
-    langs.sort()
+    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
     if not langs:
         return [], np.zeros((0, BUCKETS), np.float32)
-    got = rows.where(F.col("lang").isin(langs)).mapInArrow(_counted(langs), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.mapInArrow(_counted(langs), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((len(langs), BUCKETS), SMOOTH)
     counts[got["lang"].to_numpy(), got["bucket"].to_numpy()] += got["n"].to_numpy()
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)

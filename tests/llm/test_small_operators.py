@@ -277,3 +277,9 @@ def test_url_model_separates_its_table(spark):
     p = table.select("label", urls.probability(urls.buckets(F.col("host"), F.col("path")), w).alias("p")).collect()
     assert all((r.p >= 0.5) == (r.label == 1) for r in p)
     assert urls.train(table.limit(0)) == [0.0] * (urls.BUCKETS + 1)
+
+
+def test_every_language_is_trained(spark):
+    rows = [(d, f"l{d % 300:03}", f"text of language number {d % 300}") for d in range(3000)]
+    langs, logp = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(2))
+    assert len(langs) == len(logp) == 300
