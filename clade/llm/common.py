@@ -47,6 +47,12 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """n column names that df doesn't have, whatever the case of its names."""
+    used = {c.lower() for c in df.columns}
+    return [name for name in (f"_c{k}" for k in range(len(used) + n)) if name not in used][:n]
+
+
 # ---- bitmaps: a set of longs as 2^25 bits (4 MB), whatever the data's size ----
 
 BITMAP_BITS = 25

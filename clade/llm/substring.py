@@ -1,14 +1,21 @@
 """Substring dedup by collinear chaining.
 
-Word k-mers are thinned to window minimizers, so that every exact run of
-K + WINDOW - 1 words keeps at least one seed. Each seed points to its first
-holder (the smallest doc_id that has it): one match per occurrence. Where no
-passage comes of that, a second round matches the occurrence with all other
-occurrences in earlier documents: pairs within a group, but only of what the
-first round left. Matches of a document with one holder are chained in
-order on both sides, with gap costs, through a Fenwick tree; each chain is then
-aligned word by word to find where its passages begin and end and how much of
-each agrees.
+Texts become blocks of word hashes, about a megabyte of text each, or one long
+document. Seeds are pairs of three-word grams a few words apart (near pairs
+find passages with many changed words; far pairs tell passages from lines that
+many documents share). A block sends each distinct seed once, dealt by hash;
+where they meet, the first holder of each seed (smallest doc_id) is found and
+sent back to the blocks that hold it. So a seed in a third of all documents is
+one entry a block: no task gathers its holders, and no pairs of holders are made.
+
+A document's matches with one holder are chained in order on both sides, with
+gap costs, through a Fenwick tree; each chain is then aligned word by word to
+find where its passages begin and end and how much of each agrees.
+
+The first holder of a seed may have it in another passage. What that leaves is
+settled exactly for equal text: windows of min_words words whose seeds all have
+earlier holders, but no such run with one of them, go the same way as seeds.
+The first holder of such a window has all of its words.
 """
 
 from __future__ import annotations
@@ -21,17 +28,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bitmap, by_row, lists, only, release, stored
+from .common import WordHashes, free_names, kgrams, mixed, release, stored
 
-K, WINDOW = 8, 12
-#: Score of a seed, cost of a word of gap on either side, words looked at beyond a chain's ends.
-SEED_SCORE, GAP_COST, MARGIN = 8.0, 0.125, 64
+#: Words of a gram; of a seed's two grams, how far the second starts behind the
+#: first, and the window of which the smallest first gram is a seed.
+GRAM, NEAR, FAR = 3, (4, 7, 5), (20, 31, 16)
+#: Bytes of text in a block, entries that meet in one task.
+BLOCK_BYTES, BUCKET = 1 << 21, 1 << 19
+#: Score of a seed, cost of a word of gap on either side.
+SEED_SCORE, GAP_COST = 8.0, 0.125
 #: Alignment: score of equal words, of unequal ones; an end stops growing when it fell so far.
 EQUAL, UNEQUAL, DROP = 1, -2, 12
 ONE, NONE = 1 << 32, -(1 << 60)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+# ---- arrays in one binary value ----------------------------------------------------
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, byte by byte of their numbers, compressed."""
+    return pa.compress(b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, *kinds) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=n * sum(sizes), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for k, s in zip(kinds, sizes, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * s].reshape(s, n).T).view(k).reshape(n))
+        at += n * s
+    return out
+
+
+# ---- blocks and seeds --------------------------------------------------------------
+
+BLOCK = "ids array<long>, texts array<binary>, counts array<int>, n long, words binary"
+
+
+def _blocks(size: int):
+    def run(batches):
+        hashes = WordHashes()
+        for b in batches:
+            b = b.filter(b.column(0).is_valid())
+            for lo, h, counts in hashes(b.column(2), size):
+                ids = b.column(0)[lo : lo + len(counts)].to_numpy()
+                full = np.flatnonzero(counts)
+                order = full[np.argsort(ids[full], kind="stable")]  # in a block, place is by doc_id
+                start = np.cumsum(counts) - counts
+                n = counts[order]
+                at = np.repeat(start[order] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                if len(order):
+                    keys = b.column(1)[lo : lo + len(counts)].take(pa.array(order))
+                    yield pa.RecordBatch.from_pydict(
+                        {"ids": pa.array([ids[order]], pa.list_(pa.int64())), "texts": pa.array([keys.to_pylist()], pa.list_(pa.binary())), "counts": pa.array([n], pa.list_(pa.int32())), "n": [len(at)], "words": [packed(h[at].astype(np.uint32))]}
+                    )
+
+    return run
+
+
 def _sliding(f, x: np.ndarray, w: int) -> np.ndarray:
     """f (np.minimum or np.maximum) over all windows of w, by doubling."""
     have = 1
@@ -42,43 +97,251 @@ def _sliding(f, x: np.ndarray, w: int) -> np.ndarray:
     return x
 
 
-def minimizers(x: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the k-mers (hashes x) that are smallest in some
-    window: those that equal the largest minimum of the windows round them."""
+def minimizers(x: np.ndarray, window: int) -> np.ndarray:
+    """Positions of the hashes x that are smallest in some window: those that
+    equal the largest minimum of the windows round them."""
     if len(x) == 0:
-        return np.zeros(0, np.int32), x
+        return np.zeros(0, np.int64)
     w = min(window, len(x))
     low = _sliding(np.minimum, x, w)
     edge = np.zeros(w - 1, np.uint64)
-    at = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, low, edge]), w) == x)
-    return at.astype(np.int32), x[at]
+    return np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, low, edge]), w) == x)
+
+
+def linked_grams(words: np.ndarray, doc: np.ndarray, lo: int, hi: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and keys of the seeds of words (of document doc, in order): a
+    gram that is smallest in some window, and of the grams that start lo to hi
+    words behind it the one whose hash with it is smallest."""
+    x = kgrams(words, GRAM) if len(words) >= GRAM else words[:0]
+    n = len(x) - hi
+    if n <= 0:
+        return np.zeros(0, np.int64), words[:0]
+    best = mixed(x[lo : lo + n] ^ x[:n])
+    for o in range(lo + 1, hi + 1):
+        best = np.minimum(best, mixed(x[o : o + n] ^ x[:n]))
+    at = minimizers(x, window)
+    at = at[at < n]
+    at = at[doc[at] == doc[at + hi + GRAM - 1]]
+    return at, mixed(mixed(x[at]) + best[at] + np.uint64(lo))
+
+
+def window_keys(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of size words, by doubling."""
+    out, have = mixed(words + np.uint64(size)), 1
+    while have < size:
+        step = min(have, size - have)
+        out = mixed(out[:-step] + np.uint64(0x9E3779B97F4A7C15)) + out[step:]
+        have += step
+    return mixed(out)
+
+
+class Block:
+    """A stored block: ids, text keys and word counts by place, all words."""
+
+    def __init__(self, ids, texts, counts, n, words):
+        self.ids, self.texts, self.counts = ids.values.to_numpy(), texts.values, counts.values.to_numpy()
+        self.words = unpacked(words.as_py(), n.as_py(), np.uint32)[0]
+        self.start = np.cumsum(self.counts) - self.counts
+        self.doc = np.repeat(np.arange(len(self.ids)), self.counts)
+
+    def seeds(self):
+        """Positions and keys of near and far seeds."""
+        wide = mixed(self.words.astype(np.uint64))
+        return linked_grams(wide, self.doc, *NEAR), linked_grams(wide, self.doc, *FAR)
+
+    def windows(self, size: int):
+        """Position (by index) and key of every run of size words in one document."""
+        keys = window_keys(self.words.astype(np.uint64), size) if len(self.words) >= size else np.zeros(0, np.uint64)
+        at = np.flatnonzero(self.doc[: len(keys)] == self.doc[size - 1 :][: len(keys)])
+        return at, keys[at]
+
+    def of(self, place: int) -> np.ndarray:
+        return self.words[self.start[place] : self.start[place] + self.counts[place]]
+
+
+ENTRY = (np.uint64, np.int64, np.uint32, np.uint32, np.uint8)  # key, doc_id, place, word, whether several documents of the block have it
+ANSWER = (np.uint64, np.int64, np.int64, np.uint32, np.uint32)  # key, and the first holder's doc_id, block, place, word
+
+
+def entries(block: Block, number: int, at: np.ndarray, keys: np.ndarray, buckets: int):
+    """The distinct keys of a block with their first holder in it, by bucket."""
+    order = np.argsort(keys, kind="stable")
+    at, keys = at[order], keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(keys)]]) - 1
+    many = (block.ids[block.doc[at[first]]] != block.ids[block.doc[at[last]]]).astype(np.uint8)
+    at, keys = at[first], keys[first]
+    doc = block.doc[at]
+    cut = np.searchsorted(keys, (np.arange(1, buckets) * ((1 << 64) // buckets)).astype(np.uint64)) if buckets > 1 else np.zeros(0, np.int64)
+    out = {"bucket": [], "block": [], "n": [], "data": []}
+    for k, (a, z) in enumerate(zip([0, *cut.tolist()], [*cut.tolist(), len(keys)], strict=True)):
+        if a < z:
+            out["bucket"].append(k)
+            out["block"].append(number)
+            out["n"].append(z - a)
+            s = slice(a, z)
+            out["data"].append(packed(keys[s], block.ids[doc[s]], doc[s].astype(np.uint32), (at[s] - block.start[doc[s]]).astype(np.uint32), many[s]))
+    return out
 
 
-def _seeds(k: int, window: int):
+ENTRIES = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+
+
+def _seed_entries(buckets: int):
     def run(batches):
-        words = WordHashes()
         for b in batches:
-            for lo, h, counts in words(b.column(1)):
-                got = [minimizers(x if c >= k else x[:0], window) for x, c in zip(by_row(h, counts, k), counts.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[lo : lo + len(got)], lists([p for p, _ in got], pa.int32()), lists([x.view(np.int64) for _, x in got], pa.int64())], ["doc_id", "pos", "seed"]
-                )
+            for number, *row in zip(*(b.column(i) for i in range(6)), strict=True):
+                block = Block(*row)
+                (p, k), (q, j) = block.seeds()
+                both = np.concatenate([p, q])
+                order = np.argsort(both, kind="stable")
+                if len(both):
+                    yield pa.RecordBatch.from_pydict(entries(block, number.as_py(), both[order], np.concatenate([k, j])[order], buckets), ENTRIES)
 
     return run
 
 
-def _words(marked):
+def _first_holders(batches):
+    """Of the entries that meet in a bucket: for each block, the first holder of
+    its keys that another document has; and the holders' places (n < 0)."""
+    for b in batches:
+        for rows in b.column(0):
+            rows = rows.values
+            blocks, ns = rows.field(0).to_numpy(), rows.field(1).to_numpy()
+            parts = [unpacked(d, int(n), *ENTRY) for d, n in zip(rows.field(2).to_pylist(), ns, strict=True)]
+            key, doc, place, word, many = (np.concatenate(c) for c in zip(*parts, strict=True))
+            owner = np.repeat(np.arange(len(blocks)), ns)
+            order = np.lexsort((blocks[owner], doc, key))
+            k = key[order]
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.concatenate([first, [len(k)]]))
+            f = np.repeat(order[first], size)
+            hit = (doc[f] != doc[order]) | (many[order] > 0)
+            o, f = order[hit], f[hit]
+            by = np.argsort(owner[o], kind="stable")
+            o, f = o[by], f[by]
+            out = {"block": [], "n": [], "data": []}
+            for part in np.split(np.arange(len(o)), np.flatnonzero(np.diff(owner[o])) + 1) if len(o) else []:
+                out["block"].append(int(blocks[owner[o[part[0]]]]))
+                out["n"].append(len(part))
+                out["data"].append(packed(key[o[part]], doc[f[part]], blocks[owner[f[part]]], place[f[part]], word[f[part]]))
+            held = np.unique(np.stack([owner[f], place[f].astype(np.int64)], axis=1), axis=0) if len(f) else np.zeros((0, 2), np.int64)
+            for part in np.split(held, np.flatnonzero(np.diff(held[:, 0])) + 1) if len(held) else []:
+                out["block"].append(int(blocks[part[0, 0]]))
+                out["n"].append(-len(part))
+                out["data"].append(packed(part[:, 1].astype(np.uint32)))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]))
+
+
+def unsettled(p: np.ndarray, y: np.ndarray, holder: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Starts of the windows of size words of a document of n words that may be
+    equal to an earlier one which the first holders of its seeds don't show.
+    p: positions of its near seeds; y, holder: where the first holder has each,
+    holder -1 where the document itself is it or no other has it. Equal windows
+    have equal seeds and so equal first holders: both sides choose alike."""
+    reach = NEAR[1] + GRAM
+    if n < size or not len(p):
+        return np.zeros(0, np.int64)
+    good = holder >= 0
+    s = np.arange(n - size + 1)
+    a, b = np.searchsorted(p, s), np.searchsorted(p, s + size - reach, "right") - 1
+    bad = np.concatenate([[0], np.cumsum(~good)])
+    ok = (a <= b) & (bad[np.minimum(b, len(p) - 1) + 1] == bad[np.minimum(a, len(p))])
+    if not ok.any():
+        return s[:0]
+    run = np.cumsum(np.concatenate([[0], ~(good[1:] & good[:-1] & (holder[1:] == holder[:-1]) & (np.diff(y) == np.diff(p)))]))
+    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    last = np.concatenate([first[1:], [len(p)]]) - 1
+    begin, end = p[first], p[last] + reach
+    for r in np.flatnonzero((end - begin >= size) & good[first]):  # one holder shows min_words and nearly all of these
+        ok[max(0, begin[r] - reach) : max(0, end[r] - size + reach) + 1] = False
+    return s[ok]
+
+
+WORK = pa.schema(
+    [("bucket", pa.int64()), ("block", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary()), ("n", pa.int64()), ("data", pa.binary()), ("first_id", pa.int64()), ("m", pa.int64()), ("matches", pa.binary())]
+)
+
+
+def _matched(buckets: int, size: int, again: bool):
+    """Looks up the seeds of each block (again: its windows) in the answers. Out
+    come, as rows of one kind: a document with its matches with one holder
+    (block and place are the holder's), a holder (m is null), and entries of
+    windows that are not settled (bucket isn't null)."""
+
     def run(batches):
-        words, bits = WordHashes(), marked.value
         for b in batches:
-            b = only(b, bits)
-            for lo, h, counts in words(b.column(1)):
-                cut = np.split(h.astype(np.uint32).view(np.int32), np.cumsum(counts)[:-1])
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + len(cut)], lists(cut, pa.int32())], ["doc_id", "words"])
+            for number, *row, answers in zip(*(b.column(i) for i in range(7)), strict=True):
+                block, number, rows = Block(*row), number.as_py(), answers.values
+                ns, data = rows.field(0).to_numpy(), rows.field(1).to_pylist()
+                held = [unpacked(d, -int(n), np.uint32)[0] for d, n in zip(data, ns, strict=True) if n < 0]
+                got = [unpacked(d, int(n), *ANSWER) for d, n in zip(data, ns, strict=True) if n > 0]
+                out = {c: [] for c in WORK.names}
+
+                def add(**row):
+                    for c in WORK.names:
+                        out[c].append(row.get(c))
+
+                for place in np.unique(np.concatenate(held)).tolist() if held else []:
+                    w = block.of(place)
+                    add(block=number, place=place, n=len(w), data=packed(w))
+                if got:
+                    key, doc, at_block, place, word = (np.concatenate(c) for c in zip(*got, strict=True))
+                    order = np.argsort(key)
+                    key, doc, at_block, place, word = (c[order] for c in (key, doc, at_block, place, word))
+                    seeds = [block.windows(size)] if again else list(block.seeds())
+                    cols = [[], [], [], []]  # place here, word here, answer
+                    for which, (at, k) in enumerate(seeds):
+                        i = np.minimum(np.searchsorted(key, k), len(key) - 1)
+                        mine = block.doc[at]
+                        hit = (key[i] == k) & (doc[i] != block.ids[mine])
+                        if which == 0 and not again:
+                            near = at, np.where(hit, i, -1)
+                        for c, v in zip(cols, (mine, at - block.start[mine], i), strict=False):
+                            c.append(v[hit])
+                    mine, x, i = (np.concatenate(c) for c in cols[:3])
+                    order = np.lexsort((x, place[i], at_block[i], mine))
+                    mine, x, i = mine[order], x[order], i[order]
+                    y = word[i].astype(np.int64)
+                    step = (np.diff(mine) != 0) | (np.diff(at_block[i]) != 0) | (np.diff(place[i].astype(np.int64)) != 0)
+                    last, words = -1, b""
+                    for part in np.split(np.arange(len(i)), np.flatnonzero(step) + 1) if len(i) else []:
+                        d, j = int(mine[part[0]]), int(i[part[0]])
+                        px, py = x[part], y[part]
+                        # of matches one after another on a diagonal some are enough
+                        keep = np.ones(len(px), bool)
+                        if again:
+                            keep[1:] = (np.diff(px) != 1) | (np.diff(py) != 1) | (px[1:] % (size // 2) == 0)
+                            keep[:-1] |= (np.diff(px) != 1) | (np.diff(py) != 1)
+                            keep[-1] = True
+                        else:
+                            keep[1:] = (np.diff(px) != 0) | (np.diff(py) != 0)
+                        px, py = px[keep], py[keep]
+                        if d != last:
+                            last, words = d, packed(block.of(d))
+                        add(block=int(at_block[j]), place=int(place[j]), doc_id=int(block.ids[d]), text=block.texts[d].as_py(), n=int(block.counts[d]), data=words, first_id=int(doc[j]), m=len(px), matches=packed(px.astype(np.uint32), py.astype(np.uint32)))
+                    if not again:
+                        at, i = near
+                        left, ends = [], np.searchsorted(at, np.concatenate([block.start, [len(block.words)]]))
+                        name = np.unique(np.stack([at_block, place.astype(np.int64)]), axis=1, return_inverse=True)[1].reshape(-1)
+                        for d in np.unique(mine).tolist():
+                            s = slice(ends[d], ends[d + 1])
+                            h = np.where(i[s] >= 0, name[i[s]], -1)
+                            left.append(block.start[d] + unsettled(at[s] - block.start[d], word[i[s]].astype(np.int64), h, int(block.counts[d]), size))
+                        left = np.concatenate(left) if left else np.zeros(0, np.int64)
+                        if len(left):
+                            keys = window_keys(block.words.astype(np.uint64), size)[left]
+                            for e in zip(*(v for v in entries(block, number, left, keys, buckets).values()), strict=True):
+                                add(bucket=e[0], block=e[1], n=e[2], data=e[3])
+                yield pa.RecordBatch.from_pydict(out, WORK)
 
     return run
 
 
+# ---- chains and their alignment -----------------------------------------------------
+
+
 def chains(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
     """Collinear chains of the matches (x, y): disjoint, both sides increasing,
     best first. A chain scores SEED_SCORE a seed less GAP_COST a word of gap on
@@ -118,19 +381,6 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _chained(batches):
-    """The chains of each document with each earlier holder, one row a holder."""
-    for b in batches:
-        xs, ys = [], []
-        for m in b.column(2):
-            x, y = m.values.field(0).to_numpy(), m.values.field(1).to_numpy()
-            paths = chains(x, y)
-            xs.append([x[p] for p in paths])
-            ys.append([y[p] for p in paths])
-        kind = pa.list_(pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(xs, kind), pa.array(ys, kind)], ["doc_id", "first_id", "xs", "ys"])
-
-
 def grown(a: np.ndarray, c: np.ndarray) -> tuple[int, int, int]:
     """How far a run goes on, on either side, and how many words agree: the
     best end of an alignment with gaps, row by row, over the columns that have
@@ -166,19 +416,18 @@ def grown(a: np.ndarray, c: np.ndarray) -> tuple[int, int, int]:
 
 
 def common_words(a: np.ndarray, c: np.ndarray) -> int:
-    """Longest common subsequence of two gaps, by rows of a prefix maximum."""
-    if len(a) == 0 or len(c) == 0:
-        return 0
-    if len(a) == len(c):
-        same = int((a == c).sum())
-        if same >= len(a) - 2 or len(a) > 512:
-            return same
-    row = np.zeros(len(c) + 1, np.int32)
-    for w in a:
-        new = row.copy()
-        new[1:] = np.maximum(row[1:], np.where(c == w, row[:-1] + 1, 0))
-        row = np.maximum.accumulate(new)
-    return int(row[-1])
+    """Longest common subsequence of two gaps: a row of the table is the bits
+    of one number, a word of c one addition."""
+    where: dict = {}
+    for i, w in enumerate(a.tolist()):
+        where[w] = where.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for w in c.tolist():
+        if w in where:
+            u = row & where[w]
+            row = (row + u | row - u) & full
+    return len(a) - row.bit_count()
 
 
 def lengthened(wx, wy, s: int, e: int, fs: int, fe: int, agree: int, min_words: int, min_identity: float):
@@ -245,84 +494,76 @@ def aligned(wx, wy, xs, ys, k: int, min_words: int, min_identity: float) -> list
     return out
 
 
-def _aligned(k: int, min_words: int, min_identity: float):
+def _passages(k: int, min_words: int, min_identity: float):
+    """Chains of each document with each holder, and their passages."""
+
     def run(batches):
         for b in batches:
-            cols = [[] for _ in range(7)]
-            for d, f, xs, ys, x0, y0, wx, wy in zip(*(b.column(i) for i in range(8)), strict=True):
-                x0, y0, d, f = x0.as_py(), y0.as_py(), d.as_py(), f.as_py()
-                wx, wy = wx.values.to_numpy(), wy.values.to_numpy()
-                for px, py in zip(xs.values, ys.values, strict=True):
-                    for s, e, fs, fe, agree in aligned(wx, wy, px.values.to_numpy() - x0, py.values.to_numpy() - y0, k, min_words, min_identity):
-                        for col, v in zip(cols, (d, s + x0, e + x0, f, fs + y0, fe + y0, agree), strict=True):
-                            col.append(int(v))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "s", "e", "first_id", "fs", "fe", "agree"])
+            cols = [[] for _ in range(8)]
+            for d, text, n, data, f, m, matches, hn, hdata in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
+                wx, wy = unpacked(data, n, np.uint32)[0], unpacked(hdata, hn, np.uint32)[0]
+                x, y = (v.astype(np.int64) for v in unpacked(matches, m, np.uint32, np.uint32))
+                for path in chains(x, y):
+                    for s, e, fs, fe, agree in aligned(wx, wy, x[path], y[path], k, min_words, min_identity):
+                        for col, v in zip(cols, (d, text, s, e, f, fs, fe, agree), strict=True):
+                            col.append(v if isinstance(v, bytes) else int(v))
+            kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "text", "s", "e", "first_id", "fs", "fe", "agree"])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8, k: int = K, window: int = WINDOW) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) -> DataFrame:
     """Passages of at least min_words words that an earlier document (smaller
     doc_id) also has, with at least min_identity of the words agreeing.
 
     docs: any columns; doc_id (long) and text are read, whole. A row a passage:
-    doc_id, start_word, end_word (exclusive), n_words, identity (agreeing words
-    over the longer side, weighted by length), first_ids (sorted array of the
-    earlier documents it was found in). Words are compared with A-Z lower-cased.
-    Null, empty and short texts and null doc_ids have no passages; rows that
-    share a doc_id count as one document and do not repeat each other.
+    doc_id, text_md5 (of the row's text, as rows may share a doc_id), start_word,
+    end_word (exclusive), n_words, identity (agreeing words over the longer
+    side, weighted by length), first_ids (sorted array of the earlier documents
+    it was found in). Words are compared with A-Z lower-cased. Null, empty and
+    short texts and null doc_ids have no passages; an empty table gives none.
+    Rows that share a doc_id count as one document and do not repeat each
+    other; each has its own passages, equal rows the same ones once. Of several
+    equal holders the one with the smallest doc_id counts, then the first block.
+
+    Equal passages are always found. One that differs is found if one of its
+    seeds, as it stands, was first held by the document that has the passage.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    seeds = texts.mapInArrow(_seeds(k, window), "doc_id long, pos array<int>, seed array<long>").where("doc_id is not null and size(seed) > 0")
-    each = seeds.select("doc_id", F.explode(F.arrays_zip("seed", "pos")).alias("z")).select("doc_id", "z.seed", F.col("z.pos").alias("x"))
-    group = W.partitionBy("seed")
-    shared = each.withColumn("f", F.min(F.struct("doc_id", "x")).over(group)).withColumn("last", F.max("doc_id").over(group)).where("f.doc_id <> last")
-    shared = stored(shared.select("seed", "doc_id", "x", F.col("f.doc_id").alias("first_id"), F.col("f.x").alias("y")), "shared")
-    marked = spark.sparkContext.broadcast(bitmap(shared.select("doc_id").distinct(), "doc_id"))
-    words = stored(texts.mapInArrow(_words(marked), "doc_id long, words array<int>").dropDuplicates(["doc_id"]), "words")
-
-    def around(axis: str, off: str) -> list:
-        lo = F.greatest(F.lit(0), F.array_min(F.flatten(axis)) - MARGIN)
-        n = F.array_max(F.flatten(axis)) + k + MARGIN - lo
-        return [lo.alias(off), F.slice("words", lo + 1, n).alias("w" + axis)]
-
-    def passages(matches: DataFrame) -> DataFrame:
-        pairs = matches.groupBy("doc_id", "first_id").agg(F.collect_list(F.struct("x", "y")).alias("m"))
-        chain = stored(pairs.mapInArrow(_chained, "doc_id long, first_id long, xs array<array<int>>, ys array<array<int>>"), "chains")
-        at = chain.join(words, "doc_id").select("doc_id", "first_id", "xs", "ys", *around("xs", "x0"))
-        at = at.join(words.withColumnRenamed("doc_id", "first_id"), "first_id").select("doc_id", "first_id", "xs", "ys", "x0", "wxs", *around("ys", "y0"))
-        at = at.select("doc_id", "first_id", "xs", "ys", "x0", "y0", "wxs", "wys")
-        out = stored(at.mapInArrow(_aligned(k, min_words, min_identity), "doc_id long, s long, e long, first_id long, fs long, fe long, agree long"), "passages")
-        release(chain)
-        return out
-
-    def united(found: DataFrame) -> DataFrame:
-        by = W.partitionBy("doc_id").orderBy("s", "e", "first_id")
-        seen = F.max("e").over(by.rowsBetween(W.unboundedPreceding, -1))
-        isle = found.withColumn("new", F.when(F.col("s") <= seen, 0).otherwise(1)).withColumn("isle", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-        longer = F.greatest(F.col("e") - F.col("s"), F.col("fe") - F.col("fs"))
-        return isle.groupBy("doc_id", "isle").agg(
-            F.min("s").alias("start_word"), F.max("e").alias("end_word"), (F.sum("agree") / F.sum(longer)).alias("identity"), F.array_sort(F.collect_set("first_id")).alias("first_ids")
-        )
-
-    later = shared.where("doc_id <> first_id")
-    one = passages(later.select("doc_id", "first_id", "x", "y"))
-    spans = united(one).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
-    left = later.join(spans, "doc_id", "left").where(F.expr(f"spans is null or not exists(spans, p -> p.start_word <= x and x + {k} <= p.end_word)"))
-    # of matches that follow one another on a diagonal the first is enough: runs grow
-    def behind(df: DataFrame) -> DataFrame:
-        by = W.partitionBy("doc_id").orderBy("x")
-        return df.withColumn("before", F.struct(F.lag("seed").over(by).alias("seed"), (F.col("x") - F.lag("x").over(by)).alias("step")))
-
-    left = behind(left).select("seed", "doc_id", "x", F.col("first_id").alias("tried"), F.col("y").alias("tried_y"), "before")
-    holders = behind(shared).select("seed", F.col("doc_id").alias("first_id"), F.col("x").alias("y"), F.col("before").alias("before_y"))
-    others = left.join(holders, "seed").where("first_id < doc_id and not (first_id = tried and y = tried_y)")
-    others = others.where(f"before.seed is null or before.step > {k} or not (before <=> before_y)")
-    two = passages(others.select("doc_id", "first_id", "x", "y"))
-    release(shared, words)
-    out = united(one.unionByName(two)).withColumn("n_words", F.col("end_word") - F.col("start_word"))
-    return out.select("doc_id", "start_word", "end_word", "n_words", "identity", "first_ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("string"))).alias("key"), F.col("text").cast("string").alias("text"))
+    blocks = stored(texts.mapInArrow(_blocks(BLOCK_BYTES), BLOCK).withColumn("block", F.monotonically_increasing_id()).select("block", "ids", "texts", "counts", "n", "words"), "blocks")
+    words = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(1, words // (2 * BUCKET))
+
+    def looked_up(found: DataFrame, again: bool) -> DataFrame:
+        by_bucket = found.groupBy("bucket").agg(F.collect_list(F.struct("block", "n", "data")).alias("rows")).select("rows")
+        answers = by_bucket.mapInArrow(_first_holders, "block long, n long, data binary").groupBy("block").agg(F.collect_list(F.struct("n", "data")).alias("answers"))
+        at = blocks.join(answers, "block").select("block", "ids", "texts", "counts", "n", "words", "answers")
+        kind = "bucket long, block long, place long, doc_id long, text binary, n long, data binary, first_id long, m long, matches binary"
+        return stored(at.mapInArrow(_matched(buckets, min_words, again), kind), "work")
+
+    def passages(work: DataFrame, k: int) -> DataFrame:
+        asked = work.where("m is not null").select("block", "place", "doc_id", "text", "n", "data", "first_id", "m", "matches")
+        held = work.where("m is null and bucket is null").select("block", "place", F.col("n").alias("hn"), F.col("data").alias("hdata"))
+        both = asked.join(held, ["block", "place"]).select("doc_id", "text", "n", "data", "first_id", "m", "matches", "hn", "hdata")
+        return stored(both.mapInArrow(_passages(k, min_words, min_identity), "doc_id long, text binary, s long, e long, first_id long, fs long, fe long, agree long"), "passages")
+
+    seeds = blocks.select("block", "ids", "texts", "counts", "n", "words").mapInArrow(_seed_entries(buckets), "bucket long, block long, n long, data binary")
+    work = looked_up(seeds, False)
+    one = passages(work, GRAM)
+    more = looked_up(work.where("bucket is not null").select("bucket", "block", "n", "data"), True)
+    release(work, blocks)
+    two = passages(more, min_words)
+    release(more)
+
+    by = W.partitionBy("doc_id", "text").orderBy("s", "e", "first_id")
+    seen = F.max("e").over(by.rowsBetween(W.unboundedPreceding, -1))
+    isle = one.unionByName(two).withColumn("new", F.when(F.col("s") <= seen, 0).otherwise(1)).withColumn("isle", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    longer = F.greatest(F.col("e") - F.col("s"), F.col("fe") - F.col("fs"))
+    out = isle.groupBy("doc_id", "text", "isle").agg(
+        F.min("s").alias("start_word"), F.max("e").alias("end_word"), (F.sum("agree") / F.sum(longer)).alias("identity"), F.array_sort(F.collect_set("first_id")).alias("first_ids")
+    )
+    return out.select("doc_id", F.lower(F.hex("text")).alias("text_md5"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "identity", "first_ids")
 
 
 def without(text: str | None, spans) -> str | None:
@@ -340,20 +581,30 @@ def without(text: str | None, spans) -> str | None:
     return "".join(out) + text[here:]
 
 
-def _cut(batches):
-    for b in batches:
-        i, j = b.schema.names.index("text"), b.schema.names.index("__spans")
-        texts = [without(t, [(x["s"], x["e"]) for x in s] if s else None) for t, s in zip(b.column(i).to_pylist(), b.column(j).to_pylist(), strict=True)]
-        cols = [pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in b.schema.names if n != "__spans"]
-        yield pa.RecordBatch.from_arrays(cols, [n for n in b.schema.names if n != "__spans"])
+def _cut(name: str):
+    def run(batches):
+        for b in batches:
+            i, j = b.schema.names.index("text"), b.schema.names.index(name)
+            texts = [without(t, [(x["s"], x["e"]) for x in s] if s else None) for t, s in zip(b.column(i).to_pylist(), b.column(j).to_pylist(), strict=True)]
+            cols = [pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in b.schema.names if n != name]
+            yield pa.RecordBatch.from_arrays(cols, [n for n in b.schema.names if n != name])
+
+    return run
 
 
 def deduplicated(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) -> DataFrame:
     """docs with the repeated passages cut out of all but their first document;
-    every row and column stays, n_chars (if there) follows the text."""
-    spans = repeated_passages(docs, min_words, min_identity).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("__spans"))
-    spans = spans.withColumnRenamed("doc_id", "__doc")
-    out = docs.join(spans, docs["doc_id"].cast("long") == F.col("__doc"), "left").drop("__doc").mapInArrow(_cut, docs.schema)
+    every row and column stays, n_chars (if there) follows the text.
+
+    Spans belong to a doc_id and a text, so rows that share a doc_id lose only
+    what their own text repeats, and equal rows lose the same. Rows with a null
+    doc_id, null and empty texts stay as they are; other columns may have any
+    name. An empty table comes back empty.
+    """
+    who, what, cut = free_names(docs, 3)
+    spans = repeated_passages(docs, min_words, min_identity).groupBy(F.col("doc_id").alias(who), F.col("text_md5").alias(what))
+    spans = spans.agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias(cut))
+    out = docs.withColumns({who: F.col("doc_id").cast("long"), what: F.md5(F.col("text").cast("string"))}).join(spans, [who, what], "left").select(*docs.columns, cut).mapInArrow(_cut(cut), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
