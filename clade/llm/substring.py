@@ -394,24 +394,42 @@ def grown(a: np.ndarray, c: np.ndarray) -> tuple[int, int, int]:
     reach = n + DROP // -UNEQUAL + 1
     if set(a[n:reach].tolist()).isdisjoint(c[n:reach].tolist()):  # every way on falls by DROP
         return n, n, n
+    # plain numbers: a row has some DROP cells, too few for arrays to pay
+    a, c = a.tolist(), c.tolist()
+    step, wide = UNEQUAL * ONE, DROP // -UNEQUAL
     best, end = n * (ONE * EQUAL + 1), (n, n, n)
-    lo, row = n, best + UNEQUAL * ONE * np.arange(min(DROP // -UNEQUAL, len(c) - n) + 1)
+    lo, row = n, [best + step * j for j in range(min(wide, len(c) - n) + 1)]
     for i in range(n, len(a)):
-        hi = min(lo + len(row) + DROP // -UNEQUAL, len(c))  # the last column of the new row
-        new = np.full(hi - lo + 1, NONE)
-        new[: len(row)] = row + UNEQUAL * ONE
-        step = min(len(row), hi - lo)
-        same = c[lo : lo + step] == a[i]
-        new[1 : step + 1] = np.maximum(new[1 : step + 1], row[:step] + np.where(same, ONE * EQUAL + 1, UNEQUAL * ONE))
-        slope = UNEQUAL * ONE * np.arange(len(new))
-        new = np.maximum.accumulate(new - slope) + slope
-        top = int(new.argmax())
-        if new[top] > best:
-            best, end = int(new[top]), (i + 1, lo + top, int(new[top]) % ONE)
-        live = np.flatnonzero(new >= best - DROP * ONE)
-        if len(live) == 0:
+        w, least, new, left, before = a[i], best - DROP * ONE, [], NONE, NONE
+        for j, here in enumerate(row, lo):  # column j is behind word j - 1 of c
+            v = here + step
+            if before > NONE and before + (ONE * EQUAL + 1 if c[j - 1] == w else step) > v:
+                v = before + (ONE * EQUAL + 1 if c[j - 1] == w else step)
+            before = here
+            if left + step > v:
+                v = left + step
+            new.append(v)
+            left = v
+        j = lo + len(row)
+        if j <= len(c):
+            v = max(before + (ONE * EQUAL + 1 if c[j - 1] == w else step), left + step)
+            new.append(v)
+            while v + step >= least and lo + len(new) <= len(c):
+                v += step
+                new.append(v)
+        top = max(new)
+        if top > best:
+            j = new.index(top)
+            best, end = top, (i + 1, lo + j, top % ONE)
+            least = best - DROP * ONE
+        while new and new[-1] < least:
+            new.pop()
+        k = 0
+        while k < len(new) and new[k] < least:
+            k += 1
+        if k == len(new):
             break
-        row, lo = new[live[0] : live[-1] + 1], lo + int(live[0])
+        lo, row = lo + k, new[k:]
     return end
 
 
@@ -503,8 +521,12 @@ def _passages(k: int, min_words: int, min_identity: float):
             for d, text, n, data, f, m, matches, hn, hdata in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
                 wx, wy = unpacked(data, n, np.uint32)[0], unpacked(hdata, hn, np.uint32)[0]
                 x, y = (v.astype(np.int64) for v in unpacked(matches, m, np.uint32, np.uint32))
+                known: list = []
                 for path in chains(x, y):
+                    if any(s <= x[path[0]] and x[path[-1]] + k <= e for s, e in known):
+                        continue  # a better chain's passage has all of it
                     for s, e, fs, fe, agree in aligned(wx, wy, x[path], y[path], k, min_words, min_identity):
+                        known.append((s, e))
                         for col, v in zip(cols, (d, text, s, e, f, fs, fe, agree), strict=True):
                             col.append(v if isinstance(v, bytes) else int(v))
             kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 6]
