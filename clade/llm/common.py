@@ -45,6 +45,8 @@ def release(*tables: DataFrame) -> None:
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._clade_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:  # shuffle files of plans that are gone are deleted when the driver's JVM collects them
+        jvm.System.gc()
 
 
 def free_names(df: DataFrame, n: int) -> list[str]:

@@ -21,6 +21,7 @@ The first holder of such a window has all of its words.
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,11 @@ from .common import WordHashes, free_names, kgrams, mixed, release, stored
 GRAM, NEAR, FAR = 3, (4, 7, 5), (20, 31, 16)
 #: Bytes of text in a block, entries that meet in one task.
 BLOCK_BYTES, BUCKET = 1 << 21, 1 << 19
+#: Bits of a word's hash; bits of a key beyond those that count the words there are.
+WORD_BITS, SPARE_BITS = 24, 21
+#: Words beyond its outer matches that a document is first compared with; where
+#: a passage goes on there, it is compared whole.
+MARGIN = 100
 #: Score of a seed, cost of a word of gap on either side.
 SEED_SCORE, GAP_COST = 8.0, 0.125
 #: Alignment: score of equal words, of unequal ones; an end stops growing when it fell so far.
@@ -61,6 +67,22 @@ def unpacked(data: bytes, n: int, *kinds) -> list[np.ndarray]:
     return out
 
 
+def packed_words(words: np.ndarray) -> bytes:
+    """Many words as a list of terms, frequent ones first, and their numbers."""
+    terms, number, counts = np.unique(words, return_inverse=True, return_counts=True)
+    order = np.lexsort((terms, -counts))
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order))
+    steps = packed(np.diff(terms[order], prepend=np.uint32(0)))
+    return struct.pack("<qq", len(terms), len(steps)) + steps + packed(rank[number])
+
+
+def unpacked_words(data: bytes, n: int) -> np.ndarray:
+    m, size = struct.unpack_from("<qq", data)
+    steps = unpacked(data[16 : 16 + size], m, np.uint32)[0]
+    return np.cumsum(steps, dtype=np.uint32)[unpacked(data[16 + size :], n, np.uint32)[0]]
+
+
 # ---- blocks and seeds --------------------------------------------------------------
 
 BLOCK = "ids array<long>, texts array<binary>, counts array<int>, n long, words binary"
@@ -81,7 +103,7 @@ def _blocks(size: int):
                 if len(order):
                     keys = b.column(1)[lo : lo + len(counts)].take(pa.array(order))
                     yield pa.RecordBatch.from_pydict(
-                        {"ids": pa.array([ids[order]], pa.list_(pa.int64())), "texts": pa.array([keys.to_pylist()], pa.list_(pa.binary())), "counts": pa.array([n], pa.list_(pa.int32())), "n": [len(at)], "words": [packed(h[at].astype(np.uint32))]}
+                        {"ids": pa.array([ids[order]], pa.list_(pa.int64())), "texts": pa.array([keys.to_pylist()], pa.list_(pa.binary())), "counts": pa.array([n], pa.list_(pa.int32())), "n": [len(at)], "words": [packed_words((h[at] >> np.uint64(64 - WORD_BITS)).astype(np.uint32))]}
                     )
 
     return run
@@ -140,14 +162,15 @@ class Block:
 
     def __init__(self, ids, texts, counts, n, words):
         self.ids, self.texts, self.counts = ids.values.to_numpy(), texts.values, counts.values.to_numpy()
-        self.words = unpacked(words.as_py(), n.as_py(), np.uint32)[0]
+        self.words = unpacked_words(words.as_py(), n.as_py())
         self.start = np.cumsum(self.counts) - self.counts
         self.doc = np.repeat(np.arange(len(self.ids)), self.counts)
 
-    def seeds(self):
+    def seeds(self, bits: int):
         """Positions and keys of near and far seeds."""
         wide = mixed(self.words.astype(np.uint64))
-        return linked_grams(wide, self.doc, *NEAR), linked_grams(wide, self.doc, *FAR)
+        drop = np.uint64(64 - bits)
+        return [(at, keys >> drop << drop) for at, keys in (linked_grams(wide, self.doc, *NEAR), linked_grams(wide, self.doc, *FAR))]
 
     def windows(self, size: int):
         """Position (by index) and key of every run of size words in one document."""
@@ -188,12 +211,12 @@ def entries(block: Block, number: int, at: np.ndarray, keys: np.ndarray, buckets
 ENTRIES = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
 
 
-def _seed_entries(buckets: int):
+def _seed_entries(buckets: int, bits: int):
     def run(batches):
         for b in batches:
             for number, *row in zip(*(b.column(i) for i in range(6)), strict=True):
                 block = Block(*row)
-                (p, k), (q, j) = block.seeds()
+                (p, k), (q, j) = block.seeds(bits)
                 both = np.concatenate([p, q])
                 order = np.argsort(both, kind="stable")
                 if len(both):
@@ -260,11 +283,34 @@ def unsettled(p: np.ndarray, y: np.ndarray, holder: np.ndarray, n: int, size: in
 
 
 WORK = pa.schema(
-    [("bucket", pa.int64()), ("block", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary()), ("n", pa.int64()), ("data", pa.binary()), ("first_id", pa.int64()), ("m", pa.int64()), ("matches", pa.binary())]
+    [("bucket", pa.int64()), ("block", pa.int64()), ("place", pa.int64()), ("own_block", pa.int64()), ("own_place", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary()), ("lo", pa.int64()), ("left", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("first_id", pa.int64()), ("m", pa.int64()), ("matches", pa.binary())]
 )
 
 
-def _matched(buckets: int, size: int, again: bool):
+def asking(block: Block, number: int, d: int, to_block: int, to_place: int, first_id: int, x: np.ndarray, y: np.ndarray, margin: int | None) -> dict:
+    """A document's matches with one holder, and the words round them: lo words
+    are left out before those, left words after them."""
+    n = int(block.counts[d])
+    lo, hi = (0, n) if margin is None else (max(0, int(x.min()) - margin), min(n, int(x.max()) + margin))
+    return {
+        "block": to_block, "place": to_place, "own_block": number, "own_place": d, "doc_id": int(block.ids[d]), "text": block.texts[d].as_py(), "lo": lo, "left": n - hi, "n": hi - lo,
+        "data": packed(block.of(d)[lo:hi]), "first_id": first_id, "m": len(x), "matches": packed(x.astype(np.uint32), y.astype(np.uint32)),
+    }
+
+
+def _whole(batches):
+    """Documents that were compared in part, as asked again with all their words."""
+    for b in batches:
+        out = []
+        for number, *row, asked in zip(*(b.column(i) for i in range(7)), strict=True):
+            block = Block(*row)
+            for a in asked.as_py():
+                x, y = unpacked(a["matches"], a["m"], np.uint32, np.uint32)
+                out.append(asking(block, number.as_py(), a["own_place"], a["block"], a["place"], a["first_id"], x, y, None))
+        yield pa.RecordBatch.from_pylist([{"bucket": None, **r} for r in out], WORK)
+
+
+def _matched(buckets: int, bits: int, size: int, margin: int, again: bool):
     """Looks up the seeds of each block (again: its windows) in the answers. Out
     come, as rows of one kind: a document with its matches with one holder
     (block and place are the holder's), a holder (m is null), and entries of
@@ -290,22 +336,26 @@ def _matched(buckets: int, size: int, again: bool):
                     key, doc, at_block, place, word = (np.concatenate(c) for c in zip(*got, strict=True))
                     order = np.argsort(key)
                     key, doc, at_block, place, word = (c[order] for c in (key, doc, at_block, place, word))
-                    seeds = [block.windows(size)] if again else list(block.seeds())
-                    cols = [[], [], [], []]  # place here, word here, answer
+                    seeds = [block.windows(size)] if again else block.seeds(bits)
+                    cols: tuple = ([], [], [])  # place here, word here, answer
                     for which, (at, k) in enumerate(seeds):
                         i = np.minimum(np.searchsorted(key, k), len(key) - 1)
                         mine = block.doc[at]
                         hit = (key[i] == k) & (doc[i] != block.ids[mine])
                         if which == 0 and not again:
                             near = at, np.where(hit, i, -1)
-                        for c, v in zip(cols, (mine, at - block.start[mine], i), strict=False):
-                            c.append(v[hit])
-                    mine, x, i = (np.concatenate(c) for c in cols[:3])
+                        at, mine, i = at[hit], mine[hit], i[hit]
+                        # a key that comes back at once (words said over and over) has the same match: the first one stands
+                        order = np.lexsort((at, i, mine))
+                        back = (np.diff(mine[order]) == 0) & (np.diff(i[order]) == 0) & (np.diff(at[order]) < size)
+                        stands = order[np.concatenate([[True], ~back])] if len(order) else order
+                        for c, v in zip(cols, (mine[stands], (at - block.start[mine])[stands], i[stands]), strict=False):
+                            c.append(v)
+                    mine, x, i = (np.concatenate(c) for c in cols)
                     order = np.lexsort((x, place[i], at_block[i], mine))
                     mine, x, i = mine[order], x[order], i[order]
                     y = word[i].astype(np.int64)
                     step = (np.diff(mine) != 0) | (np.diff(at_block[i]) != 0) | (np.diff(place[i].astype(np.int64)) != 0)
-                    last, words = -1, b""
                     for part in np.split(np.arange(len(i)), np.flatnonzero(step) + 1) if len(i) else []:
                         d, j = int(mine[part[0]]), int(i[part[0]])
                         px, py = x[part], y[part]
@@ -318,9 +368,7 @@ def _matched(buckets: int, size: int, again: bool):
                         else:
                             keep[1:] = (np.diff(px) != 0) | (np.diff(py) != 0)
                         px, py = px[keep], py[keep]
-                        if d != last:
-                            last, words = d, packed(block.of(d))
-                        add(block=int(at_block[j]), place=int(place[j]), doc_id=int(block.ids[d]), text=block.texts[d].as_py(), n=int(block.counts[d]), data=words, first_id=int(doc[j]), m=len(px), matches=packed(px.astype(np.uint32), py.astype(np.uint32)))
+                        add(**asking(block, number, d, int(at_block[j]), int(place[j]), int(doc[j]), px, py, margin + (size if again else GRAM)))
                     if not again:
                         at, i = near
                         left, ends = [], np.searchsorted(at, np.concatenate([block.start, [len(block.words)]]))
@@ -512,29 +560,44 @@ def aligned(wx, wy, xs, ys, k: int, min_words: int, min_identity: float) -> list
     return out
 
 
+FOUND = pa.schema([(c, pa.binary() if c == "text" else pa.int64()) for c in ("doc_id", "text", "s", "e", "first_id", "fs", "fe", "agree")] + [(c, pa.int64()) for c in ("block", "place", "own_block", "own_place", "m")] + [("matches", pa.binary())])
+
+
 def _passages(k: int, min_words: int, min_identity: float):
-    """Chains of each document with each holder, and their passages."""
+    """Chains of each document with each holder, and their passages. Where one
+    comes close to the end of the words that were sent, though the document
+    goes on, the row is returned (m isn't null) to be asked again."""
 
     def run(batches):
         for b in batches:
-            cols = [[] for _ in range(8)]
-            for d, text, n, data, f, m, matches, hn, hdata in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
-                wx, wy = unpacked(data, n, np.uint32)[0], unpacked(hdata, hn, np.uint32)[0]
-                x, y = (v.astype(np.int64) for v in unpacked(matches, m, np.uint32, np.uint32))
+            out = {c: [] for c in FOUND.names}
+            for row in b.to_pylist():
+                lo, n = row["lo"], row["n"]
+                wx, wy = unpacked(row["data"], n, np.uint32)[0], unpacked(row["hdata"], row["hn"], np.uint32)[0]
+                x, y = (v.astype(np.int64) for v in unpacked(row["matches"], row["m"], np.uint32, np.uint32))
+                x -= lo
                 known: list = []
                 for path in chains(x, y):
-                    if any(s <= x[path[0]] and x[path[-1]] + k <= e for s, e in known):
+                    if any(p[0] <= x[path[0]] and x[path[-1]] + k <= p[1] for p in known):
                         continue  # a better chain's passage has all of it
-                    for s, e, fs, fe, agree in aligned(wx, wy, x[path], y[path], k, min_words, min_identity):
-                        known.append((s, e))
-                        for col, v in zip(cols, (d, text, s, e, f, fs, fe, agree), strict=True):
-                            col.append(v if isinstance(v, bytes) else int(v))
-            kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "text", "s", "e", "first_id", "fs", "fe", "agree"])
+                    known += aligned(wx, wy, x[path], y[path], k, min_words, min_identity)
+                close = min_words // 2
+                if any((lo and s < close) or (row["left"] and e > n - close) for s, e, *_ in known):
+                    known = []
+                    for c in FOUND.names:
+                        out[c].append(row.get(c))
+                for s, e, fs, fe, agree in known:
+                    for c, v in zip(FOUND.names, (row["doc_id"], row["text"], int(s) + lo, int(e) + lo, row["first_id"], int(fs), int(fe), int(agree), *[None] * 6), strict=True):
+                        out[c].append(v)
+            yield pa.RecordBatch.from_pydict(out, FOUND)
 
     return run
 
 
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'binary' if pa.types.is_binary(f.type) else 'long'}" for f in schema)
+
+
 def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) -> DataFrame:
     """Passages of at least min_words words that an earlier document (smaller
     doc_id) also has, with at least min_identity of the words agreeing.
@@ -557,30 +620,42 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
     words = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, words // (2 * BUCKET))
 
+    bits = min(64, SPARE_BITS + max(1, words).bit_length())
+    block_columns = ["block", "ids", "texts", "counts", "n", "words"]
+
     def looked_up(found: DataFrame, again: bool) -> DataFrame:
         by_bucket = found.groupBy("bucket").agg(F.collect_list(F.struct("block", "n", "data")).alias("rows")).select("rows")
         answers = by_bucket.mapInArrow(_first_holders, "block long, n long, data binary").groupBy("block").agg(F.collect_list(F.struct("n", "data")).alias("answers"))
-        at = blocks.join(answers, "block").select("block", "ids", "texts", "counts", "n", "words", "answers")
-        kind = "bucket long, block long, place long, doc_id long, text binary, n long, data binary, first_id long, m long, matches binary"
-        return stored(at.mapInArrow(_matched(buckets, min_words, again), kind), "work")
-
-    def passages(work: DataFrame, k: int) -> DataFrame:
-        asked = work.where("m is not null").select("block", "place", "doc_id", "text", "n", "data", "first_id", "m", "matches")
-        held = work.where("m is null and bucket is null").select("block", "place", F.col("n").alias("hn"), F.col("data").alias("hdata"))
-        both = asked.join(held, ["block", "place"]).select("doc_id", "text", "n", "data", "first_id", "m", "matches", "hn", "hdata")
-        return stored(both.mapInArrow(_passages(k, min_words, min_identity), "doc_id long, text binary, s long, e long, first_id long, fs long, fe long, agree long"), "passages")
-
-    seeds = blocks.select("block", "ids", "texts", "counts", "n", "words").mapInArrow(_seed_entries(buckets), "bucket long, block long, n long, data binary")
+        at = blocks.join(answers, "block").select(*block_columns, "answers")
+        return stored(at.mapInArrow(_matched(buckets, bits, min_words, MARGIN, again), _ddl(WORK)), "work")
+
+    def compared(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
+        holders = held.where("m is null and bucket is null").select("block", "place", F.col("n").alias("hn"), F.col("data").alias("hdata"))
+        both = asked.where("m is not null").drop("bucket").join(holders, ["block", "place"])
+        return stored(both.mapInArrow(_passages(k, min_words, min_identity), _ddl(FOUND)), "passages")
+
+    def passages(work: DataFrame, k: int) -> list[DataFrame]:
+        found = [compared(work, work, k)]
+        part = found[0].where("m is not null").select("own_block", F.struct("own_place", "block", "place", "first_id", "m", "matches").alias("asked"))
+        if part.take(1):
+            asked = part.groupBy(F.col("own_block").alias("block")).agg(F.collect_list("asked").alias("asked"))
+            found.append(compared(blocks.join(asked, "block").select(*block_columns, "asked").mapInArrow(_whole, _ddl(WORK)), work, k))
+        return [df.where("m is null").select("doc_id", "text", "s", "e", "first_id", "fs", "fe", "agree") for df in found]
+
+    seeds = blocks.select(*block_columns).mapInArrow(_seed_entries(buckets, bits), _ddl(ENTRIES))
     work = looked_up(seeds, False)
-    one = passages(work, GRAM)
+    found = passages(work, GRAM)
     more = looked_up(work.where("bucket is not null").select("bucket", "block", "n", "data"), True)
-    release(work, blocks)
-    two = passages(more, min_words)
-    release(more)
+    release(work)
+    found += passages(more, min_words)
+    release(more, blocks)
+    every = found[0]
+    for df in found[1:]:
+        every = every.unionByName(df)
 
     by = W.partitionBy("doc_id", "text").orderBy("s", "e", "first_id")
     seen = F.max("e").over(by.rowsBetween(W.unboundedPreceding, -1))
-    isle = one.unionByName(two).withColumn("new", F.when(F.col("s") <= seen, 0).otherwise(1)).withColumn("isle", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    isle = every.withColumn("new", F.when(F.col("s") <= seen, 0).otherwise(1)).withColumn("isle", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
     longer = F.greatest(F.col("e") - F.col("s"), F.col("fe") - F.col("fs"))
     out = isle.groupBy("doc_id", "text", "isle").agg(
         F.min("s").alias("start_word"), F.max("e").alias("end_word"), (F.sum("agree") / F.sum(longer)).alias("identity"), F.array_sort(F.collect_set("first_id")).alias("first_ids")

