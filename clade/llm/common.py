@@ -4,6 +4,7 @@ bitmaps, connected components, and word hashing."""
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 
@@ -16,12 +17,14 @@ _OWN_ROOT = None
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where
-    that setting is absent (tests on one machine)."""
+    """The shared folder of spark.checkpoint.dir. Where that setting is absent,
+    a temporary one on a session of one machine, an error on any other."""
     global _OWN_ROOT
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _OWN_ROOT is None:
         _OWN_ROOT = "file://" + tempfile.mkdtemp(prefix="clade-")
     return _OWN_ROOT
@@ -31,6 +34,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage
     ends there, and a lost executor costs a re-read, not a recomputation."""
     spark = df.sparkSession
+    spark.sparkContext._jvm.System.gc()  # shuffle files of plans that are gone are deleted when the driver's JVM collects them
     path = f"{scratch_root(spark)}/clade-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -45,8 +49,6 @@ def release(*tables: DataFrame) -> None:
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._clade_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:  # shuffle files of plans that are gone are deleted when the driver's JVM collects them
-        jvm.System.gc()
 
 
 def free_names(df: DataFrame, n: int) -> list[str]:

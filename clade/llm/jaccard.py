@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bitmap, by_row, components, digest16, in_bitmap, lists, mixed, only, release, stored
+from .common import WordHashes, bitmap, by_row, components, digest16, free_names, in_bitmap, lists, mixed, only, release, stored
 
 #: A group's expected members and tokens at most; groups beyond are split by a hash.
 GROUP_MEMBERS, GROUP_TOKENS = 256, 131_072
@@ -272,6 +272,20 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, pct: int = 80) -> DataFrame
 
 def deduplicated(docs: DataFrame, ngram: int = 5, pct: int = 80) -> DataFrame:
     """docs without near duplicates: of each component the row of the smallest
-    doc_id stays; all columns are kept. Rows with a null doc_id stay."""
-    keep = near_duplicates(docs, ngram, pct).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long") == F.col("__keep"), "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
+    doc_id stays; all columns are kept, whatever their names.
+
+    What is compared are the distinct (doc_id, text): rows that share a doc_id
+    but not the text are documents of their own, equal rows are one document
+    and stay or go together. Ties between texts of one doc_id go to the smaller
+    hash. Rows with a null doc_id stay, as do null and empty texts and those
+    without words, which link with nothing. An empty table comes back empty.
+    Distinct documents are told apart by a 64-bit hash.
+    """
+    (key,) = free_names(docs, 1)
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(own.alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("id"))
+    near = near_duplicates(rows, ngram, pct).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = rows.select(F.col("doc_id").alias("key"), "id").distinct()
+    stays = near.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first")).select(F.col("first.key").alias(key))
+    out = docs.withColumn(key, own).join(stays, key, "left_semi")
+    return out.where(F.col("doc_id").isNotNull()).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

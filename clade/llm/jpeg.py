@@ -382,24 +382,50 @@ def stored_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
+def _read(media: list[bytes]):
+    """(thumbnails, what is wrong) of each; if one is no baseline JPEG, each is read by itself."""
+    try:
+        return [(t, None) for t in thumbnails(media)]
+    except (ValueError, IndexError, KeyError, struct.error):
+        out = []
+        for m in media:
+            try:
+                out.append((thumbnails([m])[0], None))
+            except (ValueError, IndexError, KeyError, struct.error) as e:
+                out.append((None, str(e) or type(e).__name__))
+        return out
+
+
+def _steps(media: list) -> list[tuple[int, int]]:
+    """Runs of values of about a megabyte."""
+    out, lo, size = [], 0, 0
+    for i, m in enumerate(media):
+        if i > lo and size + len(m or b"") > 1 << 20:
+            out.append((lo, i))
+            lo, size = i, 0
+        size += len(m or b"")
+    return [*out, (lo, len(media))] if len(media) > lo else out
+
+
 def _features(batches):
     for b in batches:
         media = b.column(2).to_pylist()
-        for lo in range(0, len(media), 256):
-            part = media[lo : lo + 256]
-            thumbs = thumbnails([m or b"" for m in part])
-            payload = [b"".join(t.tobytes() for t in ts) for ts in thumbs]
-            feature = [";".join(f"{t.shape[1] * 8}x{t.shape[0] * 8}:{thumbnail_hash(t)}" for t in ts) for ts in thumbs]
+        for lo, hi in _steps(media):
+            part = media[lo:hi]
+            read = _read([m or b"" for m in part])
+            payload = [None if ts is None else b"".join(t.tobytes() for t in ts) for ts, _ in read]
+            feature = [None if ts is None else ";".join(f"{t.shape[1] * 8}x{t.shape[0] * 8}:{thumbnail_hash(t)}" for t in ts) for ts, _ in read]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": b.column(0)[lo : lo + len(part)],
-                    "n_bytes": b.column(1)[lo : lo + len(part)],
-                    "payload_bytes": pa.array([len(p) for p in payload], pa.int64()),
-                    "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in payload]),
-                    "tail_crc32": pa.array([zlib.crc32(p[-64:]) for p in payload], pa.int64()),
+                    "doc_id": b.column(0)[lo:hi],
+                    "n_bytes": b.column(1)[lo:hi],
+                    "payload_bytes": pa.array([None if p is None else len(p) for p in payload], pa.int64()),
+                    "payload_sha256": pa.array([None if p is None else hashlib.sha256(p).hexdigest() for p in payload], pa.string()),
+                    "tail_crc32": pa.array([None if p is None else zlib.crc32(p[-64:]) for p in payload], pa.int64()),
                     "media_bytes": pa.array([len(m or b"") for m in part], pa.int64()),
                     "media_sha256": pa.array([hashlib.sha256(m or b"").hexdigest() for m in part]),
-                    "feature": pa.array(feature),
+                    "feature": pa.array(feature, pa.string()),
+                    "error": pa.array([e for _, e in read], pa.string()),
                 }
             )
 
@@ -407,8 +433,10 @@ def _features(batches):
 def media_features(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media -> what reading the stored bytes back gives:
     payload_bytes, payload_sha256, tail_crc32 (of the last 64 bytes),
-    media_bytes, media_sha256, feature (size and thumbnail hash of each image).
-    A null or empty media value has no image and an empty payload. Values that
-    are no baseline JPEG fail."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    media_bytes, media_sha256, feature (size and thumbnail hash of each image),
+    error. A null or empty media value has no image and an empty payload. A
+    value that is no baseline JPEG has null features and says why in error,
+    which is null otherwise; the other rows don't suffer. Repeated rows come
+    back repeated, null ids too."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, schema)

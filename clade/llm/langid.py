@@ -142,7 +142,7 @@ def _predicted(langs: list[str], logp: np.ndarray):
     def run(batches):
         for b in batches:
             texts = b.column(1)
-            for lo, data, bounds in byte_runs(texts, RUN):
+            for lo, data, bounds in byte_runs(texts, max(1, RUN * 8 // max(8, len(langs)))):  # n-grams x languages stay as many
                 n = len(bounds) - 1
                 share = infer(*buckets(data, bounds), n, logp) if langs else np.zeros((n, 0))
                 pred, score, every = [], [], []

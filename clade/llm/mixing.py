@@ -12,6 +12,10 @@ documents of a source.) Newton steps on the convex dual each cost one
 aggregate over the documents. Rates are then rounded into whole copies by a
 hash of the document, and what rounding leaves of a source's target is worked
 off over documents whose size fits into the rest.
+
+All that a document's copies depend on is its size, its hash and one row of its
+source: the multiplier, and of each round of correction the rest and the last
+hash cell. So copies are worked out beside each row, and no document is joined.
 """
 
 from __future__ import annotations
@@ -25,6 +29,9 @@ from .common import release, stored
 #: Copies of a document at most; Newton steps at most, and the relative error
 #: at which they end; rounds of correction, and their hash cells.
 MOST, NEWTON, CLOSE, ROUNDS, CELLS = 3, 25, 1e-9, 6, 256
+#: A table of sources of up to so many rows is broadcast; beyond, it is joined
+#: by source and SALT, so that no source's documents meet in one task.
+SMALL, SALT = 20_000, 64
 
 
 def word_count(text):
@@ -62,8 +69,23 @@ def mixed(docs: DataFrame, cycle: int = 3, most: int = MOST) -> DataFrame:
     take part (null is a source); repeated rows share their hash and are drawn
     alike. Nothing depends on partitioning or order: reruns agree.
     """
-    docs_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.xxhash64("doc_id", "text").alias("h"))
-    rows = stored(docs_, "sizes")
+    rows = stored(_weighed(docs), "sizes")
+    state = _balanced(rows, cycle, most)
+    out = _taken(rows, state, most, "source", "size", "h")
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _weighed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), _hash().alias("h"))
+
+
+def _hash():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
+
+
+def _balanced(rows: DataFrame, cycle: int, most: int) -> DataFrame:
+    """(source, size, h) -> a row a source: source, source_size, target, lam,
+    and rounds, an array of salt, rest and last cell."""
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     state = stored(targets(sums, cycle, most).withColumn("lam", F.lit(0.0)), "targets")
 
@@ -71,9 +93,10 @@ def mixed(docs: DataFrame, cycle: int = 3, most: int = MOST) -> DataFrame:
     for _ in range(NEWTON):
         rate = F.least(F.exp("lam"), F.lit(float(most)))
         slope = F.when(F.exp(F.col("lam")) <= most, F.exp("lam")).otherwise(0.0)
-        at = _with(rows, state.select("source", "lam")).groupBy("source").agg(F.sum(F.col("size") * rate).alias("got"), F.sum(F.col("size") * slope).alias("slope"))
+        # the documents of a source have one rate: sizes are summed before the rate is known
+        at = _with(sums, state.select("source", "lam"), "source").groupBy("source").agg(F.sum(F.col("source_size") * rate).alias("got"), F.sum(F.col("source_size") * slope).alias("slope"))
         off = F.col("got") - F.col("target")
-        step = _with(state, at).withColumn("off", F.when(F.col("target") > 0, F.abs(off) / F.col("target")).otherwise(0.0))
+        step = _with(state, at, "source").withColumn("off", F.when(F.col("target") > 0, F.abs(off) / F.col("target")).otherwise(0.0))
         step = step.withColumn("lam", F.when(F.col("off") <= CLOSE, F.col("lam")).when(F.col("slope") > 0, F.col("lam") - F.greatest(F.lit(-2.0), F.least(F.lit(2.0), off / F.col("slope")))).otherwise(F.log(F.lit(float(most)))))
         new = stored(step.select("source", "source_size", "target", "lam", "off"), "dual")
         release(state)
@@ -81,46 +104,73 @@ def mixed(docs: DataFrame, cycle: int = 3, most: int = MOST) -> DataFrame:
         if (state.agg(F.max("off")).first()[0] or 0.0) <= CLOSE:
             break
 
-    u = (F.pmod(F.xxhash64("h", F.lit(0)), F.lit(1 << 52)) / float(1 << 52)).cast("double")
+    kind = "array<struct<salt:int,rest:bigint,last:int>>"
+    new = stored(state.select("source", "source_size", "target", "lam", F.from_json(F.lit("[]"), kind).alias("rounds")), "rounds")
+    release(state)
+    state = new
+    for salt in range(1, ROUNDS + 1):
+        at = stored(_taken(rows, state, most, "source", "size", "h").select("source", "size", "h", "target", "copies", "rounds"), "at")
+        rest = at.groupBy("source").agg(F.round(F.first("target") - F.sum(F.col("copies") * F.col("size"))).cast("long").alias("rest"))
+        cell = F.when(_fits(F.col("size"), F.col("copies"), F.col("rest"), most), _cell(F.col("h"), F.lit(salt)))
+        cells = _with(at, rest, "source").withColumn("cell", cell).where("cell is not null").groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+        # as many whole cells as the rest has room for
+        so_far = F.sum("words").over(W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, 0))
+        last = cells.withColumn("so_far", so_far).where("so_far <= abs(rest)").groupBy("source").agg(F.max("cell").alias("last"))
+        side = rest.join(last.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").select("source", "rest", F.coalesce("last", F.lit(-1)).alias("last"))
+        step = F.array(F.struct(F.lit(salt).alias("salt"), "rest", "last"))
+        new = stored(_with(state, side, "source").select("source", "source_size", "target", "lam", F.concat("rounds", step).alias("rounds")), "rounds")
+        release(state, at)
+        state = new
+    return state
+
+
+def _cell(h, salt):
+    return F.pmod(F.xxhash64(h, salt), F.lit(CELLS)).cast("int")
+
+
+def _fits(size, copies, rest, most: int):
+    """Whether a copy more (or less) of a document fits into what its source
+    still lacks (or has too much)."""
+    return (size > 0) & (size <= F.abs(rest)) & F.when(rest > 0, copies < most).otherwise(copies > 0)
+
+
+def _taken(rows: DataFrame, state: DataFrame, most: int, source: str, size: str, h: str) -> DataFrame:
+    """rows with the columns of their source's state, and copies."""
     rate = F.when(F.col("source_size") == 0, 1.0).otherwise(F.least(F.exp("lam"), F.lit(float(most))))
-    near = F.round("rate", 9)
-    drawn = _with(rows, state.select("source", "source_size", "target", "lam")).withColumn("rate", rate)
-    drawn = drawn.withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.least(F.lit(most), F.floor(near).cast("int") + (u < near - F.floor(near)).cast("int"))))
-    drawn = stored(drawn.select("doc_id", "source", "size", "h", "source_size", "target", "copies"), "copies")
+    near = F.round(rate, 9)
+    u = (F.pmod(F.xxhash64(h, F.lit(0)), F.lit(1 << 52)) / float(1 << 52)).cast("double")
+    drawn = F.least(F.lit(most), F.floor(near).cast("int") + (u < near - F.floor(near)).cast("int")).cast("int")
+
+    def corrected(copies, r):
+        within = _fits(F.col(size), copies, r["rest"], most) & (_cell(F.col(h), r["salt"]) <= r["last"])
+        return (copies + F.when(within, F.when(r["rest"] > 0, 1).otherwise(-1)).otherwise(0)).cast("int")
 
-    for i in range(1, ROUNDS + 1):
-        new = stored(_corrected(drawn, i, most), "copies")
-        release(drawn)
-        drawn = new
-    return drawn.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    copies = F.when(F.col(size) == 0, F.lit(1)).otherwise(F.aggregate("rounds", drawn, corrected))
+    return _with(rows, state, source).withColumn("copies", copies.cast("int"))
 
 
-def _with(rows: DataFrame, by_source: DataFrame) -> DataFrame:
-    """Null-safe join on source; adaptive execution splits a hot source, whose
-    other side is one row."""
+def _with(rows: DataFrame, by_source: DataFrame, source: str) -> DataFrame:
+    """Null-safe join of rows with a table that has a row a source: broadcast
+    where it is counted to be small, else by source and a salt of the row."""
     side = by_source.withColumnRenamed("source", "__source")
-    return rows.join(side, rows["source"].eqNullSafe(side["__source"])).drop("__source")
-
-
-def _corrected(drawn: DataFrame, salt: int, most: int) -> DataFrame:
-    """One copy more (or less) of documents that fit into what a source still
-    lacks (or has too much), in hash cells, as many as fit whole."""
-    rest = drawn.groupBy("source").agg(F.round(F.first("target") - F.sum(F.col("copies") * F.col("size"))).cast("long").alias("rest"))
-    cell = F.pmod(F.xxhash64("h", F.lit(salt)), F.lit(CELLS)).cast("int")
-    fits = (F.col("size") > 0) & (F.col("size") <= F.abs("rest")) & F.when(F.col("rest") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
-    at = _with(drawn, rest).withColumn("cell", F.when(fits, cell))
-    cells = at.where("cell is not null").groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    # largest cells first, so that small ones fill what is left
-    so_far = F.sum("words").over(W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, 0))
-    chosen = cells.withColumn("so_far", so_far).where("so_far <= abs(rest)").groupBy("source").agg(F.max("cell").alias("last"))
-    side = chosen.withColumnRenamed("source", "__source")
-    out = at.join(side, at["source"].eqNullSafe(side["__source"]), "left")
-    change = F.when(F.col("cell") <= F.col("last"), F.when(F.col("rest") > 0, 1).otherwise(-1)).otherwise(0)
-    return out.select("doc_id", "source", "size", "h", "source_size", "target", (F.col("copies") + change).cast("int").alias("copies"))
+    if by_source.limit(SMALL + 1).count() <= SMALL:
+        return rows.join(F.broadcast(side), rows[source].eqNullSafe(side["__source"])).drop("__source")
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALT)).cast("int"))
+    side = side.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return salted.join(side, salted[source].eqNullSafe(side["__source"]) & (F.col("__salt") == F.col("__salt2"))).drop("__source", "__salt", "__salt2")
 
 
 def resampled(docs: DataFrame, cycle: int = 3, most: int = MOST) -> DataFrame:
-    """docs with every row as often as the mix takes it; all columns stay."""
-    copies = mixed(docs.select("doc_id", "text", "source"), cycle, most).groupBy(F.col("doc_id").alias("__doc")).agg(F.max("copies").alias("__copies"))
-    out = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")))
-    return out.withColumn("__n", F.explode(F.sequence(F.lit(1), "__copies"))).where("__copies > 0").select(*[out[c] for c in docs.columns])
+    """docs with every row as often as the mix takes it; all columns stay.
+
+    Every row has its own copies, whatever ids it shares with others; equal
+    rows (doc_id, text, source) are drawn alike. Null and empty texts have no
+    words and come once; null ids and sources take part. Other columns may have
+    any name. An empty table comes back empty.
+    """
+    names = docs.columns
+    state = _balanced(_weighed(docs), cycle, most)
+    # a struct, so that no column of docs meets one of the mix
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), _hash().alias("h"))
+    out = _taken(rows, state, most, "source", "size", "h").where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("n")).select(*[F.col(f"row.`{c}`") for c in names])

@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import _SPACE, WordHashes, byte_runs, lists
 
-#: The training sample: documents at most (those with the smallest hashed ids,
-#: each with up to LINES lines), rounds of relabelling, gradient steps, rate, penalty.
-SAMPLE, LINES, ROUNDS, STEPS, RATE, PENALTY = 3000, 400, 2, 120, 0.1, 1e-3
+#: The training sample: documents and bytes of text at most (of the smallest
+#: hashed ids those that fit, whole), rounds of relabelling, gradient steps, rate, penalty.
+SAMPLE, SAMPLE_BYTES, ROUNDS, STEPS, RATE, PENALTY = 3000, 24_000_000, 2, 120, 0.1, 1e-3
 
 _KINDS = np.zeros((6, 256), np.float32)  # letters, capitals, digits, other printables, bytes of non-ASCII letters, white space
 _KINDS[0, 97:123] = _KINDS[1, 65:91] = _KINDS[2, 48:58] = _KINDS[4, 128:] = 1
@@ -187,7 +187,8 @@ def fit(x: np.ndarray, size: np.ndarray, counts: np.ndarray, good: np.ndarray) -
     for _ in range(30):  # Newton steps of the logistic regression
         p = _sigmoid(design @ a)
         h = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-        a -= np.linalg.solve(h, design.T @ (p - t) + 1e-3 * (a - [-1.0, 0.0]))
+        step = np.linalg.solve(h, design.T @ (p - t) + 1e-3 * (a - [-1.0, 0.0]))
+        a -= step / max(1.0, np.abs(step).max() / 2)  # classes that are apart have no finite optimum to jump to
     model.slope, model.offset = float(min(a[0], 0.0)), float(a[1])
     return model
 
@@ -198,13 +199,12 @@ def _line_rows(batches):
         for lo, data, bounds in byte_runs(b.column(2)):
             x, size, counts = features(data, bounds)
             ends = np.cumsum(counts)
-            rows = [(int(e - min(c, LINES)), int(e - c + min(c, LINES))) for e, c in zip(ends, counts, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0)[lo : lo + len(counts)],
                     b.column(1)[lo : lo + len(counts)],
-                    lists([x[e - c : e][:LINES].reshape(-1) for e, c in zip(ends, counts, strict=True)], pa.float64()),
-                    lists([size[e - c : e][:LINES] for e, c in zip(ends, counts, strict=True)], pa.float64()),
+                    lists([x[e - c : e].reshape(-1) for e, c in zip(ends, counts, strict=True)], pa.float64()),
+                    lists([size[e - c : e] for e, c in zip(ends, counts, strict=True)], pa.float64()),
                 ],
                 ["doc_id", "good", "x", "size"],
             )
@@ -216,12 +216,19 @@ def held_out(doc_id) -> F.col:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most sample labelled documents (smallest hashed ids, not held
-    out), at most LINES lines of each: what reaches the driver is bounded."""
+    """Fit on a bounded sample of labelled documents that are not held out: the
+    sample smallest hashed ids, without those that no longer fit into
+    SAMPLE_BYTES. Each is learned from whole."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("good"))
     picked = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(picked, "doc_id").select("doc_id", "good", "text").mapInArrow(_line_rows, "doc_id long, good int, x array<double>, size array<double>")
+    room, fits = SAMPLE_BYTES, []
+    for r in texts.join(picked, "doc_id").groupBy("doc_id", "good").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # sample rows at most
+        if (r.n or 0) <= room:
+            room -= r.n or 0
+            fits.append((r.doc_id, r.good))
+    chosen = docs.sparkSession.createDataFrame(fits, "doc_id long, good int")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text").mapInArrow(_line_rows, "doc_id long, good int, x array<double>, size array<double>")
     got = rows.toArrow().sort_by([("doc_id", "ascending")])
     sizes, xs = got["size"].combine_chunks(), got["x"].combine_chunks()
     if len(got) == 0:

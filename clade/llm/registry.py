@@ -14,42 +14,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learned from those that are not held out. Nulls, empties and repeats as in quality.scored."""
     return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op2_ngram_jaccard_tgm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents at 90 % of their three-word shingles. Nulls, empties and repeats as in jaccard.near_duplicates."""
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), ngram=3, pct=90)
 
 
 def op3_substring_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that an earlier document has. Nulls, empties and repeats as in substring.repeated_passages."""
     return substring.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
 def op4_warc_content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, written and read back. Nulls, ties and repeats as in warc.write_archive."""
     return warc.archived(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_embedding_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of one label at cosine 0.93. Nulls, zeros and repeats as in lattice.linked."""
     return lattice.linked(_table(spark, sf_dir, "embeddings"))
 
 
 def op6_sentencepiece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded text of every document. Nulls, empties and repeats as in pieces.encoded."""
     return pieces.encoded(_table(spark, sf_dir, "documents"), ids=False)
 
 
 def op7_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document. Nulls, empties and repeats as in mixing.mixed."""
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out. Nulls, empties and repeats as in langid.identified."""
     return langid.identified(_table(spark, sf_dir, "documents")).withColumn("languages", F.to_json("languages"))
 
 
 def op9_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every text gives when stored as JPEG and read back. Nulls, empties and repeats as in jpeg.stored_media and jpeg.media_features."""
     return jpeg.media_features(jpeg.stored_media(_table(spark, sf_dir, "documents")))
 
 
 def op10_url_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every url. Nulls, ties and repeats as in urls.judged."""
     return urls.judged(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -116,10 +126,12 @@ FROM o
 """
 
 LATTICE_SQL = """
-WITH RECURSIVE v AS (
+WITH RECURSIVE every AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+), v AS (
+  SELECT * FROM every WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), links AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.93 ELSE false END
 ), reach AS (
   SELECT vec_id AS node, vec_id AS other FROM embeddings
   UNION

@@ -1,6 +1,6 @@
 """Substring dedup by collinear chaining.
 
-Texts become blocks of word hashes, about a megabyte of text each, or one long
+Texts become blocks of word hashes, about a megabyte of text, or one long
 document. Seeds are pairs of three-word grams a few words apart (near pairs
 find passages with many changed words; far pairs tell passages from lines that
 many documents share). A block sends each distinct seed once, dealt by hash;
@@ -35,12 +35,12 @@ from .common import WordHashes, free_names, kgrams, mixed, release, stored
 #: first, and the window of which the smallest first gram is a seed.
 GRAM, NEAR, FAR = 3, (4, 7, 5), (20, 31, 16)
 #: Bytes of text in a block, entries that meet in one task.
-BLOCK_BYTES, BUCKET = 1 << 21, 1 << 19
+BLOCK_BYTES, BUCKET = 1 << 20, 1 << 19
 #: Bits of a word's hash; bits of a key beyond those that count the words there are.
 WORD_BITS, SPARE_BITS = 24, 21
-#: Words beyond its outer matches that a document is first compared with; where
-#: a passage goes on there, it is compared whole.
-MARGIN = 100
+#: A document with fewer matches than SURE is first compared by the words up to
+#: MARGIN beyond its outer ones; where a passage goes on there, it is compared whole.
+SURE, MARGIN = 4, 100
 #: Score of a seed, cost of a word of gap on either side.
 SEED_SCORE, GAP_COST = 8.0, 0.125
 #: Alignment: score of equal words, of unequal ones; an end stops growing when it fell so far.
@@ -368,7 +368,7 @@ def _matched(buckets: int, bits: int, size: int, margin: int, again: bool):
                         else:
                             keep[1:] = (np.diff(px) != 0) | (np.diff(py) != 0)
                         px, py = px[keep], py[keep]
-                        add(**asking(block, number, d, int(at_block[j]), int(place[j]), int(doc[j]), px, py, margin + (size if again else GRAM)))
+                        add(**asking(block, number, d, int(at_block[j]), int(place[j]), int(doc[j]), px, py, None if len(px) >= SURE else margin + (size if again else GRAM)))
                     if not again:
                         at, i = near
                         left, ends = [], np.searchsorted(at, np.concatenate([block.start, [len(block.words)]]))
@@ -566,7 +566,8 @@ FOUND = pa.schema([(c, pa.binary() if c == "text" else pa.int64()) for c in ("do
 def _passages(k: int, min_words: int, min_identity: float):
     """Chains of each document with each holder, and their passages. Where one
     comes close to the end of the words that were sent, though the document
-    goes on, the row is returned (m isn't null) to be asked again."""
+    goes on, the row is returned (m isn't null, s and e are those ends) to be
+    asked again."""
 
     def run(batches):
         for b in batches:
@@ -584,8 +585,8 @@ def _passages(k: int, min_words: int, min_identity: float):
                 close = min_words // 2
                 if any((lo and s < close) or (row["left"] and e > n - close) for s, e, *_ in known):
                     known = []
-                    for c in FOUND.names:
-                        out[c].append(row.get(c))
+                    for c, v in {c: row.get(c) for c in FOUND.names}.items():
+                        out[c].append(lo if c == "s" else lo + n if c == "e" else v)
                 for s, e, fs, fe, agree in known:
                     for c, v in zip(FOUND.names, (row["doc_id"], row["text"], int(s) + lo, int(e) + lo, row["first_id"], int(fs), int(fe), int(agree), *[None] * 6), strict=True):
                         out[c].append(v)
@@ -636,7 +637,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
 
     def passages(work: DataFrame, k: int) -> list[DataFrame]:
         found = [compared(work, work, k)]
-        part = found[0].where("m is not null").select("own_block", F.struct("own_place", "block", "place", "first_id", "m", "matches").alias("asked"))
+        # what a passage with a holder that was compared covers needs no other holder
+        clear = found[0].where("m is null").select("doc_id", "text", F.col("s").alias("from"), F.col("e").alias("to")).distinct()
+        part = found[0].where("m is not null").alias("p").join(clear.alias("c"), F.expr("p.doc_id = c.doc_id and p.text = c.text and c.from <= p.s and p.e <= c.to"), "left_anti")
+        part = part.select("own_block", F.struct("own_place", "block", "place", "first_id", "m", "matches").alias("asked"))
         if part.take(1):
             asked = part.groupBy(F.col("own_block").alias("block")).agg(F.collect_list("asked").alias("asked"))
             found.append(compared(blocks.join(asked, "block").select(*block_columns, "asked").mapInArrow(_whole, _ddl(WORK)), work, k))

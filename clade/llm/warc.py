@@ -66,7 +66,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     the largest page_id is the response and the others revisit it; records of
     smaller payloads are all responses. The payload is html in UTF-8, empty if
     null. Rows with a null page_id are responses. Repeated rows with the
-    largest page_id are responses, each of them. Null urls leave their line out.
+    largest page_id are responses, each of them. Null urls leave their line out;
+    CR and LF are taken out of urls, as a header line can't hold them.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     facts = rows.select("page_id", "url", F.sha2("payload", 256).alias("address"), base32_sha1(F.col("payload")).alias("sha1"), F.length("payload").cast("long").alias("n"))
