@@ -3,6 +3,7 @@ bitmaps, connected components, and word hashing."""
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 import tempfile
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_ROOT = None
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,7 +38,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     spark.sparkContext._jvm.System.gc()  # shuffle files of plans that are gone are deleted when the driver's JVM collects them
     path = f"{scratch_root(spark)}/clade-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, "8m")  # rows that hold whole texts or words: fewer of them go to Python at a time
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._clade_path = path
     return out
@@ -91,6 +98,26 @@ def only(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
     return batch.filter(pa.array(hit))
 
 
+# ---- memory of Python workers ---------------------------------------------------
+
+
+def tidy(run):
+    """A mapInArrow function that gives freed memory back when a task ends:
+    workers are used again, and the next operator's tables come on top."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return wrapped
+
+
 # ---- connected components -----------------------------------------------------
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bitmap, by_row, components, digest16, free_names, in_bitmap, lists, mixed, only, release, stored
+from .common import WordHashes, bitmap, by_row, components, digest16, free_names, in_bitmap, lists, mixed, only, release, stored, tidy
 
 #: A group's expected members and tokens at most; groups beyond are split by a hash.
 GROUP_MEMBERS, GROUP_TOKENS = 256, 131_072
@@ -231,13 +231,13 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, pct: int = 80) -> DataFrame
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    prof = stored(texts.mapInArrow(_profile(ngram, pct), "doc_id long, n long, sig binary, prefix array<long>"), "profile")
+    prof = stored(texts.mapInArrow(tidy(_profile(ngram, pct)), "doc_id long, n long, sig binary, prefix array<long>"), "profile")
     frequent = prof.select(F.explode("prefix").alias("t")).groupBy("t").count().where(F.col("count") >= FREQUENT)
     bits = spark.sparkContext.broadcast(bitmap(frequent, "t"))
 
     reps = prof.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     reps = stored(reps, "classes")
-    pre = texts.mapInArrow(_prefixes(ngram, pct, bits), "doc_id long, sig binary, low long, prefix array<long>, bits binary")
+    pre = texts.mapInArrow(tidy(_prefixes(ngram, pct, bits)), "doc_id long, sig binary, low long, prefix array<long>, bits binary")
     pre = stored(pre.join(reps, ["doc_id", "sig"]).dropDuplicates(["doc_id", "sig"]), "prefixes")
     parts = pre.groupBy("low").agg(_parts().alias("parts"))
     groups = stored(pre.join(parts, "low").withColumn("g", F.xxhash64("low", F.pmod(F.xxhash64("sig"), F.col("parts")))).select("doc_id", "n", "g", "prefix", "bits"), "groups")
@@ -253,15 +253,15 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, pct: int = 80) -> DataFrame
     bitmaps = groups.join(asked.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.collect_list(member).alias("members"))
     blocks = asked.join(asked.groupBy("g").agg(_parts().alias("parts")), "g").select("doc_id", "g", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
     blocks = blocks.join(groups.select("doc_id", "n", "bits"), "doc_id").groupBy("g", "part").agg(F.collect_list(member).alias("queries"))
-    near = blocks.join(bitmaps, "g").select("g", "part", "queries", "members").mapInArrow(_bound(pct), "g long, part long, q array<long>, x array<long>")
+    near = blocks.join(bitmaps, "g").select("g", "part", "queries", "members").mapInArrow(tidy(_bound(pct)), "g long, part long, q array<long>, x array<long>")
     near = stored(near.withColumn("id", F.monotonically_increasing_id()), "near")
 
     wanted = near.select("id", F.explode(F.array_distinct(F.concat("q", "x"))).alias("doc_id"))
     marked = spark.sparkContext.broadcast(bitmap(wanted, "doc_id"))
-    tokens = texts.mapInArrow(_tokens(ngram, marked), "doc_id long, sig binary, tokens array<long>").join(reps.select("doc_id", "sig"), ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"])
+    tokens = texts.mapInArrow(tidy(_tokens(ngram, marked)), "doc_id long, sig binary, tokens array<long>").join(reps.select("doc_id", "sig"), ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"])
     packs = wanted.join(tokens, "doc_id").groupBy("id").agg(F.collect_list(F.struct("doc_id", "tokens")).alias("members"))
     opened = near.join(packs, "id").select("q", "x", "members")
-    links = components(opened.mapInArrow(_open(pct), "a long, b long"))
+    links = components(opened.mapInArrow(tidy(_open(pct)), "a long, b long"))
     release(pre, groups, asked, near)
 
     home = reps.select("sig", F.col("doc_id").alias("rep")).join(links, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("home"))

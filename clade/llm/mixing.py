@@ -71,7 +71,7 @@ def mixed(docs: DataFrame, cycle: int = 3, most: int = MOST) -> DataFrame:
     """
     rows = stored(_weighed(docs), "sizes")
     state = _balanced(rows, cycle, most)
-    out = _taken(rows, state, most, "source", "size", "h")
+    out = _taken(rows, state, most)
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -86,7 +86,8 @@ def _hash():
 def _balanced(rows: DataFrame, cycle: int, most: int) -> DataFrame:
     """(source, size, h) -> a row a source: source, source_size, target, lam,
     and rounds, an array of salt, rest and last cell."""
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sums")
+    small = _small(sums)
     state = stored(targets(sums, cycle, most).withColumn("lam", F.lit(0.0)), "targets")
 
     # Newton on the dual: f(lam) = sum size * min(most, exp(lam)) - target
@@ -94,9 +95,9 @@ def _balanced(rows: DataFrame, cycle: int, most: int) -> DataFrame:
         rate = F.least(F.exp("lam"), F.lit(float(most)))
         slope = F.when(F.exp(F.col("lam")) <= most, F.exp("lam")).otherwise(0.0)
         # the documents of a source have one rate: sizes are summed before the rate is known
-        at = _with(sums, state.select("source", "lam"), "source").groupBy("source").agg(F.sum(F.col("source_size") * rate).alias("got"), F.sum(F.col("source_size") * slope).alias("slope"))
+        at = _with(sums, state.select("source", "lam"), small).groupBy("source").agg(F.sum(F.col("source_size") * rate).alias("got"), F.sum(F.col("source_size") * slope).alias("slope"))
         off = F.col("got") - F.col("target")
-        step = _with(state, at, "source").withColumn("off", F.when(F.col("target") > 0, F.abs(off) / F.col("target")).otherwise(0.0))
+        step = _with(state, at, small).withColumn("off", F.when(F.col("target") > 0, F.abs(off) / F.col("target")).otherwise(0.0))
         step = step.withColumn("lam", F.when(F.col("off") <= CLOSE, F.col("lam")).when(F.col("slope") > 0, F.col("lam") - F.greatest(F.lit(-2.0), F.least(F.lit(2.0), off / F.col("slope")))).otherwise(F.log(F.lit(float(most)))))
         new = stored(step.select("source", "source_size", "target", "lam", "off"), "dual")
         release(state)
@@ -106,20 +107,20 @@ def _balanced(rows: DataFrame, cycle: int, most: int) -> DataFrame:
 
     kind = "array<struct<salt:int,rest:bigint,last:int>>"
     new = stored(state.select("source", "source_size", "target", "lam", F.from_json(F.lit("[]"), kind).alias("rounds")), "rounds")
-    release(state)
+    release(state, sums)
     state = new
     for salt in range(1, ROUNDS + 1):
-        at = stored(_taken(rows, state, most, "source", "size", "h").select("source", "size", "h", "target", "copies", "rounds"), "at")
+        at = _taken(rows, state, most, small).select("source", "size", "h", "target", "copies")
         rest = at.groupBy("source").agg(F.round(F.first("target") - F.sum(F.col("copies") * F.col("size"))).cast("long").alias("rest"))
         cell = F.when(_fits(F.col("size"), F.col("copies"), F.col("rest"), most), _cell(F.col("h"), F.lit(salt)))
-        cells = _with(at, rest, "source").withColumn("cell", cell).where("cell is not null").groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+        cells = _with(at, rest, small).withColumn("cell", cell).where("cell is not null").groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
         # as many whole cells as the rest has room for
         so_far = F.sum("words").over(W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, 0))
         last = cells.withColumn("so_far", so_far).where("so_far <= abs(rest)").groupBy("source").agg(F.max("cell").alias("last"))
         side = rest.join(last.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").select("source", "rest", F.coalesce("last", F.lit(-1)).alias("last"))
         step = F.array(F.struct(F.lit(salt).alias("salt"), "rest", "last"))
-        new = stored(_with(state, side, "source").select("source", "source_size", "target", "lam", F.concat("rounds", step).alias("rounds")), "rounds")
-        release(state, at)
+        new = stored(_with(state, side, small).select("source", "source_size", "target", "lam", F.concat("rounds", step).alias("rounds")), "rounds")
+        release(state)
         state = new
     return state
 
@@ -134,30 +135,35 @@ def _fits(size, copies, rest, most: int):
     return (size > 0) & (size <= F.abs(rest)) & F.when(rest > 0, copies < most).otherwise(copies > 0)
 
 
-def _taken(rows: DataFrame, state: DataFrame, most: int, source: str, size: str, h: str) -> DataFrame:
-    """rows with the columns of their source's state, and copies."""
+def _taken(rows: DataFrame, state: DataFrame, most: int, small: bool | None = None) -> DataFrame:
+    """rows (source, size, h) with the columns of their source's state, and copies."""
+    size, h = F.col("size"), F.col("h")
     rate = F.when(F.col("source_size") == 0, 1.0).otherwise(F.least(F.exp("lam"), F.lit(float(most))))
     near = F.round(rate, 9)
     u = (F.pmod(F.xxhash64(h, F.lit(0)), F.lit(1 << 52)) / float(1 << 52)).cast("double")
     drawn = F.least(F.lit(most), F.floor(near).cast("int") + (u < near - F.floor(near)).cast("int")).cast("int")
 
     def corrected(copies, r):
-        within = _fits(F.col(size), copies, r["rest"], most) & (_cell(F.col(h), r["salt"]) <= r["last"])
+        within = _fits(size, copies, r["rest"], most) & (_cell(h, r["salt"]) <= r["last"])
         return (copies + F.when(within, F.when(r["rest"] > 0, 1).otherwise(-1)).otherwise(0)).cast("int")
 
-    copies = F.when(F.col(size) == 0, F.lit(1)).otherwise(F.aggregate("rounds", drawn, corrected))
-    return _with(rows, state, source).withColumn("copies", copies.cast("int"))
+    copies = F.when(size == 0, F.lit(1)).otherwise(F.aggregate("rounds", drawn, corrected))
+    return _with(rows, state, _small(state) if small is None else small).withColumn("copies", copies.cast("int"))
+
+
+def _small(by_source: DataFrame) -> bool:
+    return by_source.limit(SMALL + 1).count() <= SMALL
 
 
-def _with(rows: DataFrame, by_source: DataFrame, source: str) -> DataFrame:
+def _with(rows: DataFrame, by_source: DataFrame, small: bool) -> DataFrame:
     """Null-safe join of rows with a table that has a row a source: broadcast
-    where it is counted to be small, else by source and a salt of the row."""
+    where it was counted to be small, else by source and a salt of the row."""
     side = by_source.withColumnRenamed("source", "__source")
-    if by_source.limit(SMALL + 1).count() <= SMALL:
-        return rows.join(F.broadcast(side), rows[source].eqNullSafe(side["__source"])).drop("__source")
+    if small:
+        return rows.join(F.broadcast(side), rows["source"].eqNullSafe(side["__source"])).drop("__source")
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALT)).cast("int"))
     side = side.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return salted.join(side, salted[source].eqNullSafe(side["__source"]) & (F.col("__salt") == F.col("__salt2"))).drop("__source", "__salt", "__salt2")
+    return salted.join(side, salted["source"].eqNullSafe(side["__source"]) & (F.col("__salt") == F.col("__salt2"))).drop("__source", "__salt", "__salt2")
 
 
 def resampled(docs: DataFrame, cycle: int = 3, most: int = MOST) -> DataFrame:
@@ -169,8 +175,10 @@ def resampled(docs: DataFrame, cycle: int = 3, most: int = MOST) -> DataFrame:
     any name. An empty table comes back empty.
     """
     names = docs.columns
-    state = _balanced(_weighed(docs), cycle, most)
+    sizes = stored(_weighed(docs).select("source", "size", "h"), "sizes")
+    state = _balanced(sizes, cycle, most)
+    release(sizes)
     # a struct, so that no column of docs meets one of the mix
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), _hash().alias("h"))
-    out = _taken(rows, state, most, "source", "size", "h").where("copies > 0")
+    out = _taken(rows, state, most).where("copies > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("n")).select(*[F.col(f"row.`{c}`") for c in names])

@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 MARK = "▁"
 CHUNK = re.compile(r" *[^ ]+| +")
 #: Distinct chunks kept by a task, and the longest that is kept.
-TABLE, LONGEST = 400_000, 64
+TABLE, LONGEST = 150_000, 64
 
 
 def separable(processor) -> bool:
@@ -126,7 +128,7 @@ def encoded(docs: DataFrame, model_path: str | None = None, ids: bool = True, de
     with open(model_path or default_model(), "rb") as f:
         model = f.read()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(model, ids, decoded), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_encoded(model, ids, decoded)), schema)
 
 
 def decoded(tokens: DataFrame, model_path: str | None = None) -> DataFrame:

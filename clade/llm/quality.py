@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, WordHashes, byte_runs, lists
+from .common import _SPACE, WordHashes, byte_runs, lists, tidy
 
 #: The training sample: documents and bytes of text at most (of the smallest
 #: hashed ids those that fit, whole), rounds of relabelling, gradient steps, rate, penalty.
@@ -260,7 +260,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     """
     model = train(docs, labels, sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = texts.mapInArrow(_scored(model), "doc_id long, score double")
+    out = texts.mapInArrow(tidy(_scored(model)), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -277,4 +277,4 @@ def kept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 s = model.score(*features(data, bounds))
                 yield b.slice(lo, len(s)).filter(pa.array(s >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -1,6 +1,6 @@
 """Substring dedup by collinear chaining.
 
-Texts become blocks of word hashes, about a megabyte of text, or one long
+Texts become blocks of word hashes, about half a megabyte of text, or one long
 document. Seeds are pairs of three-word grams a few words apart (near pairs
 find passages with many changed words; far pairs tell passages from lines that
 many documents share). A block sends each distinct seed once, dealt by hash;
@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, free_names, kgrams, mixed, release, stored
+from .common import WordHashes, free_names, kgrams, mixed, release, stored, tidy
 
 #: Words of a gram; of a seed's two grams, how far the second starts behind the
 #: first, and the window of which the smallest first gram is a seed.
 GRAM, NEAR, FAR = 3, (4, 7, 5), (20, 31, 16)
 #: Bytes of text in a block, entries that meet in one task.
-BLOCK_BYTES, BUCKET = 1 << 20, 1 << 19
+BLOCK_BYTES, BUCKET = 1 << 19, 1 << 19
 #: Bits of a word's hash; bits of a key beyond those that count the words there are.
 WORD_BITS, SPARE_BITS = 24, 21
 #: A document with fewer matches than SURE is first compared by the words up to
@@ -92,7 +92,6 @@ def _blocks(size: int):
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            b = b.filter(b.column(0).is_valid())
             for lo, h, counts in hashes(b.column(2), size):
                 ids = b.column(0)[lo : lo + len(counts)].to_numpy()
                 full = np.flatnonzero(counts)
@@ -225,36 +224,52 @@ def _seed_entries(buckets: int, bits: int):
     return run
 
 
+def runs(batches):
+    """Tables of the rows with one value of the first column; rows arrive in its
+    order, so that no list of them is made before they get here."""
+    held, last = [], None
+    for b in batches:
+        key = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if a < z:
+                if held and key[a] != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(b.slice(a, z - a))
+                last = key[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _first_holders(batches):
     """Of the entries that meet in a bucket: for each block, the first holder of
     its keys that another document has; and the holders' places (n < 0)."""
-    for b in batches:
-        for rows in b.column(0):
-            rows = rows.values
-            blocks, ns = rows.field(0).to_numpy(), rows.field(1).to_numpy()
-            parts = [unpacked(d, int(n), *ENTRY) for d, n in zip(rows.field(2).to_pylist(), ns, strict=True)]
-            key, doc, place, word, many = (np.concatenate(c) for c in zip(*parts, strict=True))
-            owner = np.repeat(np.arange(len(blocks)), ns)
-            order = np.lexsort((blocks[owner], doc, key))
-            k = key[order]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            size = np.diff(np.concatenate([first, [len(k)]]))
-            f = np.repeat(order[first], size)
-            hit = (doc[f] != doc[order]) | (many[order] > 0)
-            o, f = order[hit], f[hit]
-            by = np.argsort(owner[o], kind="stable")
-            o, f = o[by], f[by]
-            out = {"block": [], "n": [], "data": []}
-            for part in np.split(np.arange(len(o)), np.flatnonzero(np.diff(owner[o])) + 1) if len(o) else []:
-                out["block"].append(int(blocks[owner[o[part[0]]]]))
-                out["n"].append(len(part))
-                out["data"].append(packed(key[o[part]], doc[f[part]], blocks[owner[f[part]]], place[f[part]], word[f[part]]))
-            held = np.unique(np.stack([owner[f], place[f].astype(np.int64)], axis=1), axis=0) if len(f) else np.zeros((0, 2), np.int64)
-            for part in np.split(held, np.flatnonzero(np.diff(held[:, 0])) + 1) if len(held) else []:
-                out["block"].append(int(blocks[part[0, 0]]))
-                out["n"].append(-len(part))
-                out["data"].append(packed(part[:, 1].astype(np.uint32)))
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]))
+    for rows in runs(batches):
+        blocks, ns = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        parts = [unpacked(d, int(n), *ENTRY) for d, n in zip(rows.column(3).to_pylist(), ns, strict=True)]
+        key, doc, place, word, many = (np.concatenate(c) for c in zip(*parts, strict=True))
+        owner = np.repeat(np.arange(len(blocks)), ns)
+        order = np.lexsort((blocks[owner], doc, key))
+        k = key[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(np.concatenate([first, [len(k)]]))
+        f = np.repeat(order[first], size)
+        hit = (doc[f] != doc[order]) | (many[order] > 0)
+        o, f = order[hit], f[hit]
+        by = np.argsort(owner[o], kind="stable")
+        o, f = o[by], f[by]
+        out = {"block": [], "n": [], "data": []}
+        for part in np.split(np.arange(len(o)), np.flatnonzero(np.diff(owner[o])) + 1) if len(o) else []:
+            out["block"].append(int(blocks[owner[o[part[0]]]]))
+            out["n"].append(len(part))
+            out["data"].append(packed(key[o[part]], doc[f[part]], blocks[owner[f[part]]], place[f[part]], word[f[part]]))
+        held = np.unique(np.stack([owner[f], place[f].astype(np.int64)], axis=1), axis=0) if len(f) else np.zeros((0, 2), np.int64)
+        for part in np.split(held, np.flatnonzero(np.diff(held[:, 0])) + 1) if len(held) else []:
+            out["block"].append(int(blocks[part[0, 0]]))
+            out["n"].append(-len(part))
+            out["data"].append(packed(part[:, 1].astype(np.uint32)))
+        yield pa.RecordBatch.from_pydict(out, pa.schema([("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]))
 
 
 def unsettled(p: np.ndarray, y: np.ndarray, holder: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -317,10 +332,11 @@ def _matched(buckets: int, bits: int, size: int, margin: int, again: bool):
     windows that are not settled (bucket isn't null)."""
 
     def run(batches):
-        for b in batches:
-            for number, *row, answers in zip(*(b.column(i) for i in range(7)), strict=True):
-                block, number, rows = Block(*row), number.as_py(), answers.values
-                ns, data = rows.field(0).to_numpy(), rows.field(1).to_pylist()
+        for rows in runs(batches):
+            if rows.num_rows > 1 and rows.column(1)[0].as_py() == 0:  # the block comes first, then its answers
+                number = rows.column(0)[0].as_py()
+                block, rows = Block(*(rows.column(i)[0] for i in range(2, 7))), rows.slice(1)
+                ns, data = rows.column(5).to_numpy(), rows.column(6).to_pylist()
                 held = [unpacked(d, -int(n), np.uint32)[0] for d, n in zip(data, ns, strict=True) if n < 0]
                 got = [unpacked(d, int(n), *ANSWER) for d, n in zip(data, ns, strict=True) if n > 0]
                 out = {c: [] for c in WORK.names}
@@ -572,7 +588,7 @@ def _passages(k: int, min_words: int, min_identity: float):
     def run(batches):
         for b in batches:
             out = {c: [] for c in FOUND.names}
-            for row in b.to_pylist():
+            for row in (row for at in range(0, b.num_rows, 64) for row in b.slice(at, 64).to_pylist()):
                 lo, n = row["lo"], row["n"]
                 wx, wy = unpacked(row["data"], n, np.uint32)[0], unpacked(row["hdata"], row["hn"], np.uint32)[0]
                 x, y = (v.astype(np.int64) for v in unpacked(row["matches"], row["m"], np.uint32, np.uint32))
@@ -616,8 +632,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
     Equal passages are always found. One that differs is found if one of its
     seeds, as it stands, was first held by the document that has the passage.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("string"))).alias("key"), F.col("text").cast("string").alias("text"))
-    blocks = stored(texts.mapInArrow(_blocks(BLOCK_BYTES), BLOCK).withColumn("block", F.monotonically_increasing_id()).select("block", "ids", "texts", "counts", "n", "words"), "blocks")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("string"))).alias("key"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    blocks = stored(texts.mapInArrow(tidy(_blocks(BLOCK_BYTES)), BLOCK).withColumn("block", F.monotonically_increasing_id()).select("block", "ids", "texts", "counts", "n", "words"), "blocks")
     words = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, words // (2 * BUCKET))
 
@@ -625,15 +641,18 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
     block_columns = ["block", "ids", "texts", "counts", "n", "words"]
 
     def looked_up(found: DataFrame, again: bool) -> DataFrame:
-        by_bucket = found.groupBy("bucket").agg(F.collect_list(F.struct("block", "n", "data")).alias("rows")).select("rows")
-        answers = by_bucket.mapInArrow(_first_holders, "block long, n long, data binary").groupBy("block").agg(F.collect_list(F.struct("n", "data")).alias("answers"))
-        at = blocks.join(answers, "block").select(*block_columns, "answers")
-        return stored(at.mapInArrow(_matched(buckets, bits, min_words, MARGIN, again), _ddl(WORK)), "work")
+        by_bucket = found.select("bucket", "block", "n", "data").repartition("bucket").sortWithinPartitions("bucket")
+        answers = by_bucket.mapInArrow(tidy(_first_holders), "block long, n long, data binary")
+        rest = {"ids": "array<long>", "texts": "array<binary>", "counts": "array<int>"}
+        answers = answers.select("block", F.lit(1).alias("part"), *[F.lit(None).cast(t).alias(c) for c, t in rest.items()], "n", F.col("data").alias("words"))
+        at = blocks.select("block", F.lit(0).alias("part"), *block_columns[1:]).unionByName(answers).repartition("block").sortWithinPartitions("block", "part")
+        return stored(at.mapInArrow(tidy(_matched(buckets, bits, min_words, MARGIN, again)), _ddl(WORK)), "work")
 
     def compared(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
         holders = held.where("m is null and bucket is null").select("block", "place", F.col("n").alias("hn"), F.col("data").alias("hdata"))
-        both = asked.where("m is not null").drop("bucket").join(holders, ["block", "place"])
-        return stored(both.mapInArrow(_passages(k, min_words, min_identity), _ddl(FOUND)), "passages")
+        # a merge join puts a shuffle between two Python steps, so that a task has one worker
+        both = asked.where("m is not null").drop("bucket").join(holders.hint("merge"), ["block", "place"])
+        return stored(both.mapInArrow(tidy(_passages(k, min_words, min_identity)), _ddl(FOUND)), "passages")
 
     def passages(work: DataFrame, k: int) -> list[DataFrame]:
         found = [compared(work, work, k)]
@@ -643,10 +662,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
         part = part.select("own_block", F.struct("own_place", "block", "place", "first_id", "m", "matches").alias("asked"))
         if part.take(1):
             asked = part.groupBy(F.col("own_block").alias("block")).agg(F.collect_list("asked").alias("asked"))
-            found.append(compared(blocks.join(asked, "block").select(*block_columns, "asked").mapInArrow(_whole, _ddl(WORK)), work, k))
+            found.append(compared(blocks.join(asked, "block").select(*block_columns, "asked").mapInArrow(tidy(_whole), _ddl(WORK)), work, k))
         return [df.where("m is null").select("doc_id", "text", "s", "e", "first_id", "fs", "fe", "agree") for df in found]
 
-    seeds = blocks.select(*block_columns).mapInArrow(_seed_entries(buckets, bits), _ddl(ENTRIES))
+    seeds = blocks.select(*block_columns).mapInArrow(tidy(_seed_entries(buckets, bits)), _ddl(ENTRIES))
     work = looked_up(seeds, False)
     found = passages(work, GRAM)
     more = looked_up(work.where("bucket is not null").select("bucket", "block", "n", "data"), True)
@@ -705,7 +724,7 @@ def deduplicated(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8
     who, what, cut = free_names(docs, 3)
     spans = repeated_passages(docs, min_words, min_identity).groupBy(F.col("doc_id").alias(who), F.col("text_md5").alias(what))
     spans = spans.agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias(cut))
-    out = docs.withColumns({who: F.col("doc_id").cast("long"), what: F.md5(F.col("text").cast("string"))}).join(spans, [who, what], "left").select(*docs.columns, cut).mapInArrow(_cut(cut), docs.schema)
+    out = docs.withColumns({who: F.col("doc_id").cast("long"), what: F.md5(F.col("text").cast("string"))}).join(spans, [who, what], "left").select(*docs.columns, cut).mapInArrow(tidy(_cut(cut)), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -31,7 +31,7 @@ def test_resampling_of_repeated_ids(spark):
     many: dict = {}
     for x in got.collect():
         many[x.doc_id, x.text, x.source] = many.get((x.doc_id, x.text, x.source), 0) + 1
-    rates = mixing._taken(mixing._weighed(df), mixing._balanced(mixing._weighed(df), 3, 3), 3, "source", "size", "h")
+    rates = mixing._taken(mixing._weighed(df), mixing._balanced(mixing._weighed(df), 3, 3), 3)
     want = {x.h: x.copies for x in rates.collect()}
     keys = df.select("doc_id", "text", "source", mixing._hash().alias("k")).collect()
     assert many == {(k.doc_id, k.text, k.source): want[k.k] for k in keys if want[k.k]}
