@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 ALPHABET = "ATCGNRYKMSWBDHV-"
 
 
+def capitals(seq: Column) -> Column:
+    """a-z as A-Z, as nucleotide codes are ASCII; other letters stay as they are."""
+    return F.translate(seq, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def normalised(seq: Column) -> Column:
-    return F.upper(F.trim(seq))
+    return capitals(F.trim(seq))
 
 
 def content_id(seq: Column) -> Column:
@@ -22,7 +27,7 @@ def content_id(seq: Column) -> Column:
 
 def database_key(sequences: DataFrame, seq: str = "seq") -> DataFrame:
     """12 hex digits that name a set of sequences, whatever their order."""
-    h = F.substring(F.sha2(F.upper(seq), 256), 1, 16)
+    h = F.substring(F.sha2(capitals(F.col(seq)), 256), 1, 16)
     return sequences.select(h.alias("h")).agg(F.substring(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))), 256), 1, 12).alias("db_key"))
 
 

@@ -16,33 +16,54 @@ from clade.functions import kernels
 BLOCK = 512
 
 
+def _usable(items: DataFrame, vector: str):
+    """Vectors without nulls; others take part in no pair."""
+    v = F.col(vector).cast("array<double>")
+    return items.withColumn(vector, v).where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+
+
 def vector_pairs(items: DataFrame, idx: str = "idx", vector: str = "v", block: int = BLOCK) -> DataFrame:
     """Euclidean distances of all pairs of items (idx long, v array<double>).
-
-    Items are dealt into blocks of about `block`; a row goes once to every pair
-    of blocks that it takes part in, and each pair of blocks is one vectorised
-    kernel call. All pairs are the result, so their number is what bounds it:
-    use scopes (scoped_vector_pairs) beyond some 100,000 items."""
-    n = items.count()
-    blocks = max(1, math.ceil(n / block))
-    home = F.pmod(F.xxhash64(idx), F.lit(blocks)).cast("int")
-    dealt = items.select(F.col(idx).cast("long").alias("idx"), F.col(vector).cast("array<double>").alias("v"), home.alias("b"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("idx", "v", "b", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"))
+    All pairs are the result, so their number is what bounds it: beyond some
+    100,000 items use scoped_vector_pairs."""
+    one = items.select(F.lit(0).alias("scope_id"), F.col(idx).alias("idx"), F.col(vector).alias("v"))
+    return scoped_vector_pairs(one, block).select("i", "j", "d")
+
+
+def scoped_vector_pairs(items: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(scope_id, idx long, v array<double>) -> (scope_id, i, j, d): Euclidean
+    distances of the pairs within each scope; no other pair is made.
+
+    Items of a scope are dealt into blocks of about `block`; a row goes once to
+    every pair of blocks that it takes part in, and each pair of blocks is one
+    vectorised kernel call. A null vector, one with a null component, a null
+    idx or scope takes part in no pair; vectors of unequal length are not
+    compared; rows with one idx are at no distance of each other."""
+    kept = _usable(items, "v").where("idx is not null and scope_id is not null")
+    blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int")
+    dealt = kept.join(kept.groupBy("scope_id").agg(blocks.alias("blocks")), "scope_id").withColumn("b", F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("scope_id", F.col("idx").cast("long").alias("idx"), "v", "b", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"))
 
     def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        b1, b2 = key
-        one, two = pdf[pdf.b == b1], pdf[pdf.b == b2]
-        if not len(one) or not len(two):
-            return pd.DataFrame({"i": [], "j": [], "d": []})
-        x, y = np.stack(one.v.to_numpy()), np.stack(two.v.to_numpy())
-        out = np.empty((len(x), len(y)))
-        for at in range(len(x)):
-            out[at] = np.sqrt(((x[at] - y) ** 2).sum(axis=1))
-        a, c = np.meshgrid(one.idx.to_numpy(), two.idx.to_numpy(), indexing="ij")
-        keep = a < c if b1 == b2 else a != c
-        return pd.DataFrame({"i": np.minimum(a, c)[keep], "j": np.maximum(a, c)[keep], "d": out[keep]})
-
-    return dealt.groupBy("b1", "b2").applyInPandas(kernel, "i long, j long, d double")
+        scope, b1, b2 = key
+        parts = []
+        for size in pdf.v.map(len).unique():
+            same = pdf[pdf.v.map(len) == size]
+            one, two = same[same.b == b1], same[same.b == b2]
+            if not len(one) or not len(two):
+                continue
+            x, y = np.stack(one.v.to_numpy()), np.stack(two.v.to_numpy())
+            out = np.empty((len(x), len(y)))
+            for at in range(len(x)):
+                out[at] = np.sqrt(((x[at] - y) ** 2).sum(axis=1))
+            a, c = np.meshgrid(one.idx.to_numpy(), two.idx.to_numpy(), indexing="ij")
+            keep = a < c if b1 == b2 else a != c
+            parts.append(pd.DataFrame({"scope_id": scope, "i": np.minimum(a, c)[keep], "j": np.maximum(a, c)[keep], "d": out[keep]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"scope_id": [], "i": [], "j": [], "d": []})
+
+    kind = dict(items.dtypes)["scope_id"]
+    return dealt.groupBy("scope_id", "b1", "b2").applyInPandas(kernel, f"scope_id {kind}, i long, j long, d double")
 
 
 def scoped_pairs(sequences: DataFrame) -> DataFrame:

@@ -17,6 +17,17 @@ def fan_out(edges: DataFrame, medoids: DataFrame) -> DataFrame:
     return apart.unionByName(equal)
 
 
+def joined_through(edges: DataFrame, medoids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same graph without a row for each pair of clusters: each distinct
+    medoid sequence is stood for by its smallest cluster_id. Returns (members:
+    cluster_id, representative, at distance 0; edges between representatives:
+    src, dst, distance)."""
+    first = medoids.groupBy("seq").agg(F.min("cluster_id").alias("representative"))
+    members = medoids.join(first, "seq").select("cluster_id", "representative")
+    a, b = first.select(F.col("representative").alias("src"), F.col("seq").alias("src_seq")), first.select(F.col("representative").alias("dst"), F.col("seq").alias("dst_seq"))
+    return members, edges.where("src_seq <> dst_seq").join(a, "src_seq").join(b, "dst_seq").select("src", "dst", "distance")
+
+
 def knn(edges: DataFrame, k: int, close: float | None = None) -> DataFrame:
     """The nearest neighbours of each src, ranked: k of them, or all within
     `close` where those are at least k."""

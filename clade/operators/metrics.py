@@ -22,9 +22,12 @@ def nearest_rank(d: Column, p: Column | float) -> Column:
 
 
 def percentile_vector(pairs: DataFrame, ps=(5, 10, 25, 50, 75, 90, 95, 99, 100)) -> DataFrame:
-    """side (intra, inter), percentile, value: one row a side and percentile."""
-    side = pairs.where(known()).groupBy(F.when(same(), "intra").otherwise("inter").alias("side")).agg(F.percentile("d", F.array(*[F.lit(p / 100) for p in ps])).alias("v"))
-    return side.select("side", F.posexplode("v").alias("at", "value")).select("side", F.element_at(F.array(*[F.lit(p) for p in ps]), F.col("at") + 1).alias("percentile"), "value")
+    """side (intra, inter), percentile, value: one row a side and percentile;
+    NaN for a side without distances."""
+    every = F.array(*[F.lit(p / 100) for p in ps])
+    both = pairs.where(known()).agg(F.percentile(F.when(same(), F.col("d")), every).alias("intra"), F.percentile(F.when(~same(), F.col("d")), every).alias("inter"))
+    rows = F.array(*[F.struct(F.lit(n).alias("side"), F.lit(p).alias("percentile"), F.coalesce(F.get(n, F.lit(k)), F.lit(float("nan"))).alias("value")) for n in ("intra", "inter") for k, p in enumerate(ps)])
+    return both.select(F.inline(rows))
 
 
 def gap_metrics(pairs: DataFrame, ps=(90, 95)) -> DataFrame:
@@ -108,7 +111,8 @@ def local_score(gaps: DataFrame, alpha: float = 0.0) -> DataFrame:
 def medoids(pairs: DataFrame, assign: DataFrame, skip_missing: bool = False) -> DataFrame:
     """Per cluster the member with the smallest sum of distances to the others,
     the first on ties. A missing distance rules a candidate out, or counts as 0
-    (skip_missing). A cluster of one is its own."""
+    (skip_missing). Where all are ruled out, the first member it is, without a
+    total; a cluster of one is its own."""
     inside = pairs.where(same())
     d = F.when(known(), F.col("d"))
     sides = inside.select(F.col("ci").alias("cluster_id"), F.col("i").alias("idx"), d.alias("d")).unionByName(inside.select(F.col("ci").alias("cluster_id"), F.col("j").alias("idx"), d.alias("d")))
@@ -117,7 +121,7 @@ def medoids(pairs: DataFrame, assign: DataFrame, skip_missing: bool = False) ->
         total = total.where("gone = 0")
     members = assign.groupBy("cluster_id").agg(F.min("idx").alias("first"), F.count("*").alias("size"))
     best = total.groupBy("cluster_id").agg(F.min(F.struct("total", "idx")).alias("b"))
-    return members.join(best, "cluster_id", "left").select("cluster_id", F.coalesce("b.idx", F.when(F.col("size") == 1, F.col("first"))).alias("medoid"), F.coalesce("b.total", F.when(F.col("size") == 1, 0.0)).alias("total"), "size")
+    return members.join(best, "cluster_id", "left").select("cluster_id", F.coalesce("b.idx", "first").alias("medoid"), F.coalesce("b.total", F.when(F.col("size") == 1, 0.0)).alias("total"), "size")
 
 
 def nearest_outside(pairs: DataFrame) -> DataFrame:
@@ -225,9 +229,14 @@ def size_distribution(sizes: DataFrame, col: str = "size") -> DataFrame:
 
 
 def size_summary(sizes: DataFrame, col: str = "size") -> DataFrame:
-    """Largest, smallest, upper median (value at n // 2 in order), mean."""
-    xs = F.sort_array(F.collect_list(col))
-    return sizes.agg(F.max(col).alias("largest"), F.min(col).alias("smallest"), F.get(xs, F.floor(F.size(xs) / 2).cast("int")).alias("median"), F.avg(col).alias("mean"))
+    """Largest, smallest, upper median (value at n // 2 in order), mean. The
+    median comes from how often each size occurs, so what is put in order is
+    the distinct sizes."""
+    each = sizes.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("n"))
+    row = each.agg(F.max("v").alias("largest"), F.min("v").alias("smallest"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("total"))
+    upto = each.withColumn("upto", F.sum("n").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
+    median = upto.crossJoin(row.select("total")).where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("v").alias("median"))
+    return row.crossJoin(median).select("largest", "smallest", "median", "mean")
 
 
 def conflicts(assign: DataFrame) -> DataFrame:
@@ -266,10 +275,15 @@ def renumbered(sizes: DataFrame) -> DataFrame:
 
 
 def signature(assign: DataFrame) -> DataFrame:
-    """A digest of a partition (seq_id, cluster_id) that names of clusters and
-    order don't change."""
-    parts = assign.groupBy("cluster_id").agg(F.concat_ws(",", F.sort_array(F.collect_set(F.col("seq_id").cast("string")))).alias("m"))
-    return parts.agg(F.sha2(F.concat_ws("|", F.sort_array(F.collect_list("m"))), 256).alias("signature"), F.count("*").alias("clusters"))
+    """A digest of a partition (seq_id, cluster_id) that names of clusters,
+    order and repeated rows don't change: sums of two 64-bit hashes of the
+    clusters, each of which is known by the sum of its members' hashes. No
+    cluster's members, and no list of clusters, come together in one row."""
+    wide = "decimal(38,0)"
+    member = lambda salt: F.sum(F.xxhash64(F.lit(salt), F.col("seq_id").cast("string")).cast(wide))
+    parts = assign.select("cluster_id", "seq_id").distinct().groupBy("cluster_id").agg(member(1).alias("p"), member(2).alias("q"), F.count("*").alias("n"))
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), "p", "q", "n").cast(wide)).cast("string")
+    return parts.agg(F.sha2(F.concat_ws("|", F.coalesce(total(1), F.lit("")), F.coalesce(total(2), F.lit("")), F.count("*").cast("string")), 256).alias("signature"), F.count("*").alias("clusters"))
 
 
 def priority(assign: DataFrame, counts: DataFrame) -> DataFrame:

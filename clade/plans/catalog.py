@@ -45,6 +45,12 @@ def _assign(spark, d):
     return _t(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("label").alias("cluster_id"))
 
 
+def _inner_pairs(spark, d):
+    """Pairs within a label only: none across labels is made."""
+    e = _t(spark, d, "embeddings").select(F.col("label").alias("scope_id"), F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("v"))
+    return distance.scoped_vector_pairs(e).select("i", "j", "d", F.col("scope_id").alias("ci"), F.col("scope_id").alias("cj"))
+
+
 def _pairs(spark, d):
     return distance.labelled(distance.vector_pairs(_items(spark, d)), _assign(spark, d))
 
@@ -62,7 +68,7 @@ def _r(df: DataFrame, places: int = 6) -> DataFrame:
 
 @query(f"WITH {_P} SELECT i, j, round(d, 6) AS d FROM p WHERE ci = cj")
 def intra_pairs(spark, d):
-    return _r(_pairs(spark, d).where(metrics.same()).select("i", "j", "d"))
+    return _r(_inner_pairs(spark, d).select("i", "j", "d"))
 
 
 @query(
@@ -93,7 +99,7 @@ def percentile_vector(spark, d):
     + " FROM embeddings LEFT JOIN s ON label = s.cluster_id GROUP BY label"
 )
 def cluster_summary(spark, d):
-    return _r(metrics.cluster_summary(_pairs(spark, d), _assign(spark, d)))
+    return _r(metrics.cluster_summary(_inner_pairs(spark, d), _assign(spark, d)))
 
 
 @query(f"WITH {_K} SELECT c1, c2, round(quantile_cont(d, 0.95), 6) AS linkage, count(*) AS n FROM k WHERE c1 < c2 GROUP BY c1, c2")
@@ -144,7 +150,7 @@ t AS (SELECT c, idx, sum(d) AS total FROM s GROUP BY c, idx)
 SELECT c AS cluster_id, arg_min(idx, total) AS medoid, round(min(total), 6) AS total, count(*) AS size FROM t GROUP BY c"""
 )
 def medoids(spark, d):
-    return _r(metrics.medoids(_pairs(spark, d), _assign(spark, d)))
+    return _r(metrics.medoids(_inner_pairs(spark, d), _assign(spark, d)))
 
 
 @query(f"WITH {_P}, o AS (SELECT i AS idx, d FROM p WHERE ci <> cj UNION ALL SELECT j, d FROM p WHERE ci <> cj) SELECT idx, round(min(d), 6) AS nearest FROM o GROUP BY idx")
@@ -154,7 +160,7 @@ def nearest_outside(spark, d):
 
 @query(f"WITH {_P}, h AS (SELECT floor(d / 0.05) * 0.05 AS b, count(*) AS n FROM p WHERE ci = cj GROUP BY 1) SELECT round(b, 6) AS bin_start, n AS count, round(n / sum(n) OVER (), 6) AS frequency FROM h")
 def distance_histogram(spark, d):
-    return _r(metrics.histogram(_pairs(spark, d).where(metrics.same()), "d", 0.05))
+    return _r(metrics.histogram(_inner_pairs(spark, d), "d", 0.05))
 
 
 @query(
@@ -216,16 +222,17 @@ def refinement_scopes(spark, d):
 
 
 @query(
-    """WITH m AS (SELECT doc_id AS cluster_id, source || '/' || lang AS s FROM documents WHERE doc_id % 10 = 0),
-e AS (SELECT DISTINCT a.s AS x, b.s AS y FROM m a JOIN m b ON split_part(a.s, '/', 1) = split_part(b.s, '/', 1) AND a.s <> b.s)
-SELECT a.cluster_id AS src, b.cluster_id AS dst, 0.5 AS distance FROM e JOIN m a ON a.s = x JOIN m b ON b.s = y
-UNION ALL SELECT a.cluster_id, b.cluster_id, 0.0 FROM m a JOIN m b ON a.s = b.s AND a.cluster_id <> b.cluster_id"""
+    """WITH m AS (SELECT doc_id AS cluster_id, concat_ws('/', source, lang) AS s, source FROM documents),
+f AS (SELECT s, source, min(cluster_id) AS r FROM m GROUP BY s, source)
+SELECT a.r AS src, b.r AS dst, 0.5 AS distance FROM f a JOIN f b ON a.source = b.source AND a.s <> b.s
+UNION ALL SELECT m.cluster_id, min(m.cluster_id) OVER (PARTITION BY s), 0.0 FROM m"""
 )
 def medoid_fan_out(spark, d):
-    m = _t(spark, d, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("cluster_id"), F.concat_ws("/", "source", "lang").alias("seq"), "source")
+    m = _t(spark, d, "documents").select(F.col("doc_id").alias("cluster_id"), F.concat_ws("/", "source", "lang").alias("seq"), "source")
     x = m.select(F.col("seq").alias("src_seq"), "source").distinct()
     e = x.join(x.withColumnRenamed("src_seq", "dst_seq"), "source").where("src_seq <> dst_seq").select("src_seq", "dst_seq", F.lit(0.5).alias("distance"))
-    return graph.fan_out(e, m.select("cluster_id", "seq"))
+    members, edges = graph.joined_through(e, m.select("cluster_id", "seq"))
+    return edges.unionByName(members.select(F.col("cluster_id").alias("src"), F.col("representative").alias("dst"), F.lit(0.0).alias("distance")))
 
 
 @query(
@@ -238,14 +245,14 @@ def kmer_similarity(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT item_id AS id, upper(trim(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), ' ')) AS t FROM benchmark),
+    """WITH s AS (SELECT item_id AS id, translate(trim(text, ' '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS t FROM benchmark),
 e AS (SELECT id, t, len(g) AS n, unnest(g) AS g FROM (SELECT id, t, list_distinct(list_transform(range(1, greatest(length(t) - 7, 1) + 1), lambda p: substr(t, p, 8))) AS g FROM s)),
-h AS (SELECT b.t FROM e a JOIN e b ON a.g = b.g WHERE a.id % 4 = 0 GROUP BY a.id, b.id, a.n, b.n, b.t HAVING count(*) / least(a.n, b.n) >= 0.02)
-SELECT id AS seq_id FROM s WHERE id % 4 = 0 OR t IN (SELECT t FROM h) OR t IN (SELECT t FROM s WHERE id % 4 = 0)"""
+h AS (SELECT b.t FROM e a JOIN e b ON a.g = b.g WHERE a.id % 20 = 0 GROUP BY a.id, b.id, a.n, b.n, b.t HAVING count(*) / least(a.n, b.n) >= 0.02)
+SELECT id AS seq_id FROM s WHERE id % 20 = 0 OR t IN (SELECT t FROM h) OR t IN (SELECT t FROM s WHERE id % 20 = 0)"""
 )
 def neighbourhood(spark, d):
-    s = _t(spark, d, "benchmark").select(F.col("item_id").alias("seq_id"), _ascii("text").alias("seq"))
-    return search.neighbourhood(s, s.where("seq_id % 4 = 0"), 8, 0.02)
+    s = _t(spark, d, "benchmark").select(F.col("item_id").alias("seq_id"), F.col("text").alias("seq"))
+    return search.neighbourhood(s, s.where("seq_id % 20 = 0"), 8, 0.02)
 
 
 # ---- partitions, conflicts, mappings ----------------------------------------------------------
@@ -322,12 +329,13 @@ def cluster_mapping(spark, d):
     return _r(metrics.mapping(before, after))
 
 
-@query(
-    """WITH m AS (SELECT source, array_to_string(list_sort(list(DISTINCT CAST(doc_id AS VARCHAR))), ',') AS m FROM documents GROUP BY source)
-SELECT sha256(array_to_string(list_sort(list(m)), '|')) AS signature, count(*) AS clusters FROM m"""
-)
+@query("WITH s AS (SELECT DISTINCT source FROM documents) SELECT true AS same_under_new_names, true AS differs_from_merged, count(*) AS clusters FROM s")
 def partition_signature(spark, d):
-    return metrics.signature(_t(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.col("source").alias("cluster_id")))
+    a = _t(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.col("source").alias("cluster_id"))
+    one, named = metrics.signature(a), metrics.signature(a.unionByName(a).withColumn("cluster_id", F.concat(F.lit("x"), F.sha2("cluster_id", 256))))
+    merged = metrics.signature(a.withColumn("cluster_id", F.when(F.col("cluster_id") != "src0", F.col("cluster_id")).otherwise("src1")))
+    n, m = named.select(F.col("signature").alias("named")), merged.select(F.col("signature").alias("merged"))
+    return one.crossJoin(n).crossJoin(m).select((F.col("signature") == F.col("named")).alias("same_under_new_names"), (F.col("signature") != F.col("merged")).alias("differs_from_merged"), "clusters")
 
 
 @query(
@@ -343,34 +351,29 @@ def seed_priority(spark, d):
 # ---- sequences -----------------------------------------------------------------------------------
 
 
-#: Sequences are ASCII; engines differ in the capitals of other letters.
-def _ascii(c):
-    return F.regexp_replace(c, r"[^\x00-\x7F]", "")
-
-
 def _texts(spark, d):
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("idx"), _ascii("text").alias("seq"), F.col("source").alias("description"))
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("seq"), F.col("source").alias("description"))
 
 
 @query(
-    r"""WITH u AS (SELECT upper(trim(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), ' ')) AS seq, min(doc_id) AS idx, count(*) AS n FROM documents GROUP BY 1)
+    r"""WITH u AS (SELECT translate(trim(text, ' '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS seq, min(doc_id) AS idx, count(*) AS n FROM documents GROUP BY 1)
 SELECT idx, 'seq_' || substr(sha256(seq), 1, 16) AS seq_id, sha256(seq) AS seq_sha, n AS copies FROM u"""
 )
 def sequence_dedup(spark, d):
     return seqs.deduplicated(_texts(spark, d)).select("idx", "seq_id", F.sha2("seq", 256).alias("seq_sha"), F.size("descriptions").cast("long").alias("copies"))
 
 
-@query("SELECT substr(sha256(array_to_string(list_sort(list(substr(sha256(upper(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'))), 1, 16))), '')), 1, 12) AS db_key FROM benchmark")
+@query("SELECT substr(sha256(array_to_string(list_sort(list(substr(sha256(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')), 1, 16))), '')), 1, 12) AS db_key FROM benchmark")
 def database_key(spark, d):
-    return seqs.database_key(_t(spark, d, "benchmark").select(_ascii("text").alias("seq")))
+    return seqs.database_key(_t(spark, d, "benchmark").select(F.col("text").alias("seq")))
 
 
 @query(
-    """WITH x AS (SELECT p_partkey AS idx, upper(substr(p_name, 1, 12)) AS s FROM part)
+    """WITH x AS (SELECT p_partkey AS idx, upper(p_name) AS s FROM part)
 SELECT idx, array_to_string(list_sort(list_filter(list_distinct(string_split(s, '')), lambda c: NOT contains('ATCGNRYKMSWBDHV-', c) AND c <> '')), '') AS bad FROM x"""
 )
 def invalid_letters(spark, d):
-    return _t(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.array_join(seqs.invalid_letters(F.substring("p_name", 1, 12)), "").alias("bad"))
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.array_join(seqs.invalid_letters(F.col("p_name")), "").alias("bad"))
 
 
 _ALN = "SELECT p_partkey AS idx, p_size % 5 AS scope_id, rpad(repeat('-', CAST(p_partkey % 7 AS INTEGER)) || replace(substr(p_name, 1, CAST(20 - p_partkey % 9 AS INTEGER)), ' ', '-'), 30, '-') AS aln FROM part"
@@ -425,10 +428,10 @@ def cluster_ids(spark, d):
     return ids.select("cluster_id", seqs.id_number(F.col("cluster_id")).alias("number"), seqs.id_suffix(F.col("cluster_id")).alias("suffix"))
 
 
-@query("WITH f AS (SELECT upper(trim(text, ' ')) AS k, min(doc_id) AS idx FROM documents GROUP BY 1) SELECT doc_id AS target_id, f.idx FROM documents d JOIN f ON upper(trim(d.text, ' ')) = f.k WHERE doc_id % 3 = 0 UNION ALL SELECT -1 - item_id, f.idx FROM benchmark b LEFT JOIN f ON upper(trim(b.text, ' ')) = f.k")
+@query("WITH f AS (SELECT translate(trim(text, ' '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS k, min(doc_id) AS idx FROM documents GROUP BY 1) SELECT doc_id AS target_id, f.idx FROM documents d JOIN f ON translate(trim(d.text, ' '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') = f.k WHERE doc_id % 20 = 0 UNION ALL SELECT -1 - item_id, f.idx FROM benchmark b LEFT JOIN f ON translate(trim(b.text, ' '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') = f.k")
 def first_match(spark, d):
     docs = _t(spark, d, "documents")
-    targets = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("target_id"), F.col("text").alias("seq")).unionByName(_t(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("target_id"), F.col("text").alias("seq")))
+    targets = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("target_id"), F.col("text").alias("seq")).unionByName(_t(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("target_id"), F.col("text").alias("seq")))
     return seqs.first_match(targets, docs.select(F.col("doc_id").alias("idx"), F.col("text").alias("seq")))
 
 
@@ -443,7 +446,7 @@ def header_description(spark, d):
 def _scoped(spark, d):
     e = _t(spark, d, "embeddings").where("label is not null")
     items = e.select(F.col("label").alias("scope_id"), F.col("vec_id").alias("idx"))
-    pairs = _pairs(spark, d).where(metrics.same()).select(F.col("ci").alias("scope_id"), "i", "j", "d")
+    pairs = _inner_pairs(spark, d).select(F.col("ci").alias("scope_id"), "i", "j", "d")
     return items, pairs
 
 
