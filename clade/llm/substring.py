@@ -1,7 +1,7 @@
 """Substring dedup by collinear chaining.
 
 Texts become blocks of word hashes, about half a megabyte of text, or one long
-document. Seeds are pairs of three-word grams a few words apart (near pairs
+document. Seeds are pairs of four-word grams a few words apart (near pairs
 find passages with many changed words; far pairs tell passages from lines that
 many documents share). A block sends each distinct seed once, dealt by hash;
 where they meet, the first holder of each seed (smallest doc_id) is found and
@@ -33,7 +33,7 @@ from .common import WordHashes, free_names, kgrams, mixed, release, stored, tidy
 
 #: Words of a gram; of a seed's two grams, how far the second starts behind the
 #: first, and the window of which the smallest first gram is a seed.
-GRAM, NEAR, FAR = 3, (4, 7, 5), (20, 31, 16)
+GRAM, NEAR, FAR = 4, (5, 8, 5), (20, 31, 15)
 #: Bytes of text in a block, entries that meet in one task.
 BLOCK_BYTES, BUCKET = 1 << 19, 1 << 19
 #: Bits of a word's hash; bits of a key beyond those that count the words there are.
@@ -283,7 +283,7 @@ def unsettled(p: np.ndarray, y: np.ndarray, holder: np.ndarray, n: int, size: in
         return np.zeros(0, np.int64)
     good = holder >= 0
     s = np.arange(n - size + 1)
-    a, b = np.searchsorted(p, s), np.searchsorted(p, s + size - reach, "right") - 1
+    a, b = np.searchsorted(p, s + NEAR[2] - 1), np.searchsorted(p, s + size - reach, "right") - 1  # whether these are seeds is up to the window's words alone
     bad = np.concatenate([[0], np.cumsum(~good)])
     ok = (a <= b) & (bad[np.minimum(b, len(p) - 1) + 1] == bad[np.minimum(a, len(p))])
     if not ok.any():
@@ -291,7 +291,7 @@ def unsettled(p: np.ndarray, y: np.ndarray, holder: np.ndarray, n: int, size: in
     run = np.cumsum(np.concatenate([[0], ~(good[1:] & good[:-1] & (holder[1:] == holder[:-1]) & (np.diff(y) == np.diff(p)))]))
     first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     last = np.concatenate([first[1:], [len(p)]]) - 1
-    begin, end = p[first], p[last] + reach
+    begin, end = p[first], p[last] + NEAR[0] + GRAM  # at least so far
     for r in np.flatnonzero((end - begin >= size) & good[first]):  # one holder shows min_words and nearly all of these
         ok[max(0, begin[r] - reach) : max(0, end[r] - size + reach) + 1] = False
     return s[ok]
@@ -629,8 +629,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
     other; each has its own passages, equal rows the same ones once. Of several
     equal holders the one with the smallest doc_id counts, then the first block.
 
-    Equal passages are always found. One that differs is found if one of its
-    seeds, as it stands, was first held by the document that has the passage.
+    Equal passages are always found, but for up to NEAR[1] + GRAM words at either
+    end where another holder has the rest. One that differs is found if one of
+    its seeds, as it stands, was first held by a document that has the passage.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("string"))).alias("key"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     blocks = stored(texts.mapInArrow(tidy(_blocks(BLOCK_BYTES)), BLOCK).withColumn("block", F.monotonically_increasing_id()).select("block", "ids", "texts", "counts", "n", "words"), "blocks")
@@ -662,7 +663,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
         part = part.select("own_block", F.struct("own_place", "block", "place", "first_id", "m", "matches").alias("asked"))
         if part.take(1):
             asked = part.groupBy(F.col("own_block").alias("block")).agg(F.collect_list("asked").alias("asked"))
-            found.append(compared(blocks.join(asked, "block").select(*block_columns, "asked").mapInArrow(tidy(_whole), _ddl(WORK)), work, k))
+            found.append(compared(blocks.join(asked.hint("merge"), "block").select(*block_columns, "asked").mapInArrow(tidy(_whole), _ddl(WORK)), work, k))
         return [df.where("m is null").select("doc_id", "text", "s", "e", "first_id", "fs", "fe", "agree") for df in found]
 
     seeds = blocks.select(*block_columns).mapInArrow(tidy(_seed_entries(buckets, bits)), _ddl(ENTRIES))
@@ -722,9 +723,10 @@ def deduplicated(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8
     name. An empty table comes back empty.
     """
     who, what, cut = free_names(docs, 3)
+    # merge joins, here and above, at every size: spans grow with the documents
     spans = repeated_passages(docs, min_words, min_identity).groupBy(F.col("doc_id").alias(who), F.col("text_md5").alias(what))
     spans = spans.agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias(cut))
-    out = docs.withColumns({who: F.col("doc_id").cast("long"), what: F.md5(F.col("text").cast("string"))}).join(spans, [who, what], "left").select(*docs.columns, cut).mapInArrow(tidy(_cut(cut)), docs.schema)
+    out = docs.withColumns({who: F.col("doc_id").cast("long"), what: F.md5(F.col("text").cast("string"))}).join(spans.hint("merge"), [who, what], "left").select(*docs.columns, cut).mapInArrow(tidy(_cut(cut)), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
