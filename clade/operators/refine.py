@@ -8,6 +8,7 @@ that cuts the lineage. It ends when the partition no longer changes."""
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass, field
@@ -46,6 +47,8 @@ class Result:
 
 def _folder(spark) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (root.rstrip("/") if root else "file://" + tempfile.mkdtemp(prefix="clade-")) + f"/refine-{uuid.uuid4().hex}"
 
 

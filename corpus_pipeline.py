@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 it kept; run() writes each stage's rows as Parquet in the shared folder and
 reads them again as the next one's docs. All but the last return the columns
-of documents. A table without rows goes through as one.
+of documents. A table without rows goes through as one. Null and empty texts,
+null and repeated ids, ties and other columns are as each stage's operator says.
 """
 
 from __future__ import annotations
