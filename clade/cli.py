@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from clade.operators import metrics, refine, workflows
+from clade.operators import metrics, query_analysis, refine, workflows
 from clade.sources import readers, writers
 
 
@@ -52,6 +52,10 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--renumber", action="store_true", default=True)
     r.add_argument("--preserve-ids", dest="renumber", action="store_false")
     r.add_argument("--no-timestamp", action="store_true")
+    r.add_argument("--checkpoint-frequency", type=int, default=0, help="write the state after each so many iterations")
+    r.add_argument("--checkpoint-dir", help="a folder that all executors share (OUTPUT_DIR/checkpoints)")
+    r.add_argument("--resume", help="a written iteration, or the folder of several (INPUT_DIR/checkpoints if it is there)")
+    r.add_argument("--log-level", default="ERROR", choices=["DEBUG", "INFO", "WARN", "ERROR"])
     a = sub.add_parser("analyze", help="distances within and between given clusters")
     a.add_argument("files", nargs="+")
     a.add_argument("-o", "--output", default="cluster_analysis")
@@ -114,7 +118,9 @@ def run_refine(spark, a) -> None:
     if assign.select("cluster_id").distinct().count() < 2:
         sys.exit("refinement needs two clusters")
     conf = refine.Config(min_split=a.min_split, max_lump=a.max_lump, percentile=a.target_percentile, method=a.gap_method, alpha=a.alpha, close_threshold=a.close_threshold, max_scope_size=a.max_scope_size, neighbours=a.knn_neighbors, max_iterations=a.max_iterations)
-    out = workflows.refinement(sequences, assign, conf)
+    spark.sparkContext.setLogLevel(a.log_level)
+    resume = readers.latest_checkpoint(spark, a.resume or f"{a.input_dir}/checkpoints") or a.resume
+    out = workflows.refinement(sequences, assign, conf, every=a.checkpoint_frequency, checkpoints=a.checkpoint_dir or f"{a.output_dir}/checkpoints", resume=resume)
     final = out["result"].assign
     check = out["verification"].first()
     if check.conflicts:
@@ -123,19 +129,14 @@ def run_refine(spark, a) -> None:
     folder = Path(a.output_dir) if a.no_timestamp else writers.stamped_folder(a.output_dir)
     sizes = final.groupBy("cluster_id").agg(F.count("*").alias("size"))
     names = metrics.renumbered(sizes) if a.renumber else sizes.withColumn("new_id", F.col("cluster_id"))
-    rows = final.join(names.select("cluster_id", "new_id"), "cluster_id").join(sequences, "seq_id").orderBy("new_id", "seq_id")
-    at, f = None, None
-    for r in rows.toLocalIterator():
-        if r.new_id != at:
-            if f:
-                f.close()
-            at, f = r.new_id, open(folder / f"{r.new_id}.fasta", "w")
-        f.write(f">{r.description} {r.new_id}\n{r.seq}\n")
-    if f:
-        f.close()
-    (folder / "cluster_mapping.txt").write_text(writers.mapping_text(out["mapping"]))
+    named = final.join(names.select("cluster_id", "new_id"), "cluster_id").select("seq_id", F.col("new_id").alias("cluster_id")).cache()
+    writers.refined_fasta(named, sequences, folder)
+    (folder / "cluster_mapping.txt").write_text(writers.mapping_text(metrics.mapping(assign, named)))
     s = metrics.size_summary(sizes).first()
+    before = metrics.conflicts(assign).count()
     lines = [f"iterations: {out['result'].iterations}", f"converged: {out['result'].converged}", f"clusters: {sizes.count()}", f"sequences: {check.unique_sequences}", f"sizes: largest {s.largest}, smallest {s.smallest}, median {s.median}, mean {s['mean']:.2f}"]
+    lines += [f"conflicts: {before} given, {check.resolved_conflicts} resolved, {check.unresolved_conflicts} unresolved, {check.new_conflicts} new", "parameters: " + ", ".join(f"{k} {v}" for k, v in conf.__dict__.items())]
+    lines += [f"clusters of {r.bucket}: {r['count']} ({r.pct:.1f}%)" for r in metrics.size_distribution(sizes).collect()]
     (folder / "refine_summary.txt").write_text("\n".join(lines + [str(h) for h in out["result"].history]) + "\n")
 
 
@@ -163,7 +164,7 @@ def run_query(spark, a) -> None:
     if not records:
         sys.exit("no sequences")
     rows = spark.createDataFrame([(0, i, s) for i, _, _, s in records], "scope_id int, idx long, seq string")
-    classes, summary = workflows.query_hits(rows, a.min_split, a.max_lump)
+    classes, summary, pairs = workflows.query_hits(rows, a.min_split, a.max_lump)
     if a.format == "tsv":
         writers.query_tsv(classes, a.output or "/dev/stdout")
         return
@@ -171,8 +172,12 @@ def run_query(spark, a) -> None:
     s = summary.first().asDict()
     if a.format == "json":
         value = {"summary": {k: round(v, 2) if isinstance(v, float) else v for k, v in s.items()}, "sequences": [{"id": names[r.idx]} | {k: round(v, 2) if isinstance(v, float) else v for k, v in r.asDict().items() if k != "scope_id"} for r in classes.orderBy("idx").collect()]}
-        h = metrics.histogram(classes.where("member and not is_query"), "identity")
-        value["histogram"] = [r.asDict() | {"frequency": round(r.frequency, 4)} for r in h.orderBy("bin_start").collect()]
+        sides = query_analysis.identities(classes, pairs)
+        for side in ("intra", "inter"):
+            h = metrics.histogram(sides.where(F.col("side") == side), "identity")
+            value[f"{side}_histogram"] = [r.asDict() | {"frequency": round(r.frequency, 4)} for r in h.orderBy("bin_start").collect()]
+        value["warnings"] = [r.warning for r in query_analysis.warnings(classes).collect()]
+        value["parameters"] = {"min_split": a.min_split, "max_lump": a.max_lump}
         writers.to_json(value, a.output or "/dev/stdout")
     else:
         lines = [f"{k:20} {v}" for k, v in s.items()] + [f"{names[r.idx]:40} {'member' if r.member else '-':8} {r.identity if r.identity is not None else float('nan'):8.2f}" for r in classes.orderBy("idx").collect()]

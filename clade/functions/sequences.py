@@ -135,7 +135,7 @@ def parse_id(cluster_id: str) -> tuple[int, str | None]:
 
 
 def id_number(cluster_id: Column) -> Column:
-    return F.regexp_extract(cluster_id, r"^cluster_(\d+)", 1).cast("int")
+    return F.regexp_extract(cluster_id, r"^cluster_(\d+)", 1).try_cast("int")
 
 
 def id_suffix(cluster_id: Column) -> Column:

@@ -100,6 +100,11 @@ def directed(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
 
 
+def from_item(pairs: DataFrame, item: int) -> DataFrame:
+    """idx, d: the distances of one item to the others."""
+    return pairs.where((F.col("i") == item) | (F.col("j") == item)).select(F.when(F.col("i") == item, F.col("j")).otherwise(F.col("i")).alias("idx"), "d")
+
+
 def shingle_jaccard(texts: DataFrame, k: int, least: float) -> DataFrame:
     """Candidate generation (inverted index): pairs of (idx, text) that share
     at least `least` of the smaller's distinct k-character grams, with that

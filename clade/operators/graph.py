@@ -7,11 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def fan_out(edges: DataFrame, medoids: DataFrame) -> DataFrame:
+def fan_out(edges: DataFrame, medoids: DataFrame, most: int | None = None) -> DataFrame:
     """Edges between distinct medoid sequences (src_seq, dst_seq, distance) to
     edges between all clusters that have them (medoids: cluster_id, seq);
-    clusters with one medoid sequence are at distance 0."""
+    clusters with one medoid sequence are at distance 0. most: of the clusters
+    with one medoid sequence lead only to the first ones by id, which is all
+    that a reader takes who wants less than `most` neighbours of a cluster by
+    distance, then id; the edges then grow with the clusters, not their pairs."""
     a, b = medoids.select(F.col("cluster_id").alias("src"), F.col("seq").alias("src_seq")), medoids.select(F.col("cluster_id").alias("dst"), F.col("seq").alias("dst_seq"))
+    if most is not None:
+        b = b.withColumn("r", F.row_number().over(W.partitionBy("dst_seq").orderBy("dst"))).where(F.col("r") <= most).drop("r")
     apart = edges.where("src_seq <> dst_seq").join(a, "src_seq").join(b, "dst_seq").select("src", "dst", "distance")
     equal = a.join(b, F.col("src_seq") == F.col("dst_seq")).where("src <> dst").select("src", "dst", F.lit(0.0).alias("distance"))
     return apart.unionByName(equal)

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -188,12 +190,21 @@ def aggregate_metrics(per_cluster: DataFrame) -> DataFrame:
     )
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n! by Stirling's series at n + 9, less the log of the eight factors too many."""
+    z = n.cast("double") + 9
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7) + 1 / (1188 * z**9) - 691 / (360360 * z**11)
+    over = F.lit(1.0)
+    for k in range(1, 9):
+        over = over * (n + k)
+    return series - F.log(over)
+
+
 def adjusted_mutual_information(labels: DataFrame) -> DataFrame:
     """ami of two labellings (a, b) of the same rows: mutual information less
     its expectation under random labels, over the mean entropy less it. Under
     two rows, or where both agree on one class, it is 1. The expectation is
-    summed per pair of classes over possible overlaps; logs of factorials come
-    from one running sum."""
+    summed per pair of sizes of classes over possible overlaps."""
     rows = labels.where("a is not null and b is not null")
     cont = rows.groupBy("a", "b").agg(F.count("*").alias("n"))
     ra, rb = cont.groupBy("a").agg(F.sum("n").alias("x")), cont.groupBy("b").agg(F.sum("n").alias("y"))
@@ -202,15 +213,11 @@ def adjusted_mutual_information(labels: DataFrame) -> DataFrame:
     mi = with_n.agg(F.sum(F.col("n") / F.col("total") * F.log(F.col("total") * F.col("n") / (F.col("x") * F.col("y")))).alias("mi"))
     ent = lambda t, c: t.crossJoin(F.broadcast(total)).agg(F.sum(-(F.col(c) / F.col("total")) * F.log(F.col(c) / F.col("total"))))
     ha, hb = ent(ra, "x").toDF("ha"), ent(rb, "y").toDF("hb")
-    facts = total.select(F.explode(F.sequence(F.lit(0), F.col("total"))).alias("k")).withColumn("lf", F.sum(F.when(F.col("k") > 1, F.log("k")).otherwise(0.0)).over(W.orderBy("k")))
     sizes = ra.groupBy("x").agg(F.count("*").alias("mx")).crossJoin(F.broadcast(rb.groupBy("y").agg(F.count("*").alias("my")))).crossJoin(F.broadcast(total))
     lo, hi = F.greatest(F.lit(1), F.col("x") + F.col("y") - F.col("total")), F.least("x", "y")
     over = sizes.where(lo <= hi).withColumn("k", F.explode(F.sequence(lo, hi)))
-    lf = lambda name: facts.select(F.col("k").alias(f"k_{name}"), F.col("lf").alias(name))
-    parts = {"fx": F.col("x"), "fy": F.col("y"), "fnx": F.col("total") - F.col("x"), "fny": F.col("total") - F.col("y"), "fn": F.col("total"), "fk": F.col("k"), "fxk": F.col("x") - F.col("k"), "fyk": F.col("y") - F.col("k"), "frest": F.col("total") - F.col("x") - F.col("y") + F.col("k")}
-    for name, c in parts.items():
-        over = over.join(lf(name), c == F.col(f"k_{name}")).drop(f"k_{name}")
-    logp = F.col("fx") + F.col("fy") + F.col("fnx") + F.col("fny") - F.col("fn") - F.col("fk") - F.col("fxk") - F.col("fyk") - F.col("frest")
+    x, y, k, n = (F.col(c) for c in ("x", "y", "k", "total"))
+    logp = sum((log_factorial(c) for c in (x, y, n - x, n - y)), F.lit(0.0)) - sum((log_factorial(c) for c in (n, k, x - k, y - k, n - x - y + k)), F.lit(0.0))
     term = F.col("mx") * F.col("my") * F.col("k") / F.col("total") * F.log(F.col("total") * F.col("k") / (F.col("x") * F.col("y"))) * F.exp(logp)
     emi = over.agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("emi"))
     all_ = total.crossJoin(mi).crossJoin(ha).crossJoin(hb).crossJoin(emi)
@@ -274,16 +281,24 @@ def renumbered(sizes: DataFrame) -> DataFrame:
     return sizes.select("cluster_id", "size", F.format_string("cluster_%05d", n).alias("new_id"))
 
 
+def cluster_marks(assign: DataFrame) -> DataFrame:
+    """cluster_id, p, q, n: a cluster is known by two sums of its members' 64-bit
+    hashes and by its size. Order and repeated rows don't matter."""
+    member = lambda salt: F.sum(F.xxhash64(F.lit(salt), F.col("seq_id").cast("string")).cast("decimal(38,0)"))
+    return assign.select("cluster_id", "seq_id").distinct().groupBy("cluster_id").agg(member(1).alias("p"), member(2).alias("q"), F.count("*").alias("n"))
+
+
+def marks_signature() -> Column:
+    """The digest of a set of cluster_marks (an aggregate)."""
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), "p", "q", "n").cast("decimal(38,0)")).cast("string")
+    return F.sha2(F.concat_ws("|", F.coalesce(total(1), F.lit("")), F.coalesce(total(2), F.lit("")), F.count("*").cast("string")), 256)
+
+
 def signature(assign: DataFrame) -> DataFrame:
     """A digest of a partition (seq_id, cluster_id) that names of clusters,
-    order and repeated rows don't change: sums of two 64-bit hashes of the
-    clusters, each of which is known by the sum of its members' hashes. No
-    cluster's members, and no list of clusters, come together in one row."""
-    wide = "decimal(38,0)"
-    member = lambda salt: F.sum(F.xxhash64(F.lit(salt), F.col("seq_id").cast("string")).cast(wide))
-    parts = assign.select("cluster_id", "seq_id").distinct().groupBy("cluster_id").agg(member(1).alias("p"), member(2).alias("q"), F.count("*").alias("n"))
-    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), "p", "q", "n").cast(wide)).cast("string")
-    return parts.agg(F.sha2(F.concat_ws("|", F.coalesce(total(1), F.lit("")), F.coalesce(total(2), F.lit("")), F.count("*").cast("string")), 256).alias("signature"), F.count("*").alias("clusters"))
+    order and repeated rows don't change. No cluster's members, and no list of
+    clusters, come together in one row."""
+    return cluster_marks(assign).agg(marks_signature().alias("signature"), F.count("*").alias("clusters"))
 
 
 def priority(assign: DataFrame, counts: DataFrame) -> DataFrame:

@@ -50,4 +50,22 @@ def summary(classes: DataFrame) -> DataFrame:
     return row.withColumn("gap_size", gap).withColumn("gap_exists", F.coalesce(gap > 0, F.lit(False)))
 
 
-__all__ = ["check_thresholds", "classified", "directed", "summary"]
+def identities(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """scope_id, side, identity of the pairs within the query's cluster (intra)
+    and of its members with non-members (inter); unknown distances are left out."""
+    side = classes.select("scope_id", "idx", "member")
+    both = pairs.where(known()).join(side.select("scope_id", F.col("idx").alias("i"), F.col("member").alias("mi")), ["scope_id", "i"]).join(side.select("scope_id", F.col("idx").alias("j"), F.col("member").alias("mj")), ["scope_id", "j"])
+    return both.where("mi or mj").select("scope_id", F.when(F.col("mi") & F.col("mj"), "intra").otherwise("inter").alias("side"), metrics.identity(F.col("d")).alias("identity"))
+
+
+def warnings(classes: DataFrame) -> DataFrame:
+    """scope_id, warning: what makes a query's result weak."""
+    row = classes.groupBy("scope_id").agg(F.count("*").alias("n"), F.sum(F.col("member").cast("int")).alias("members"), F.sum((~F.col("is_query") & F.col("identity").isNull()).cast("int")).alias("gone"))
+    texts = F.array_compact(F.array(
+        F.when(F.col("n") < 2, F.lit("insufficient data: no other sequence")), F.when((F.col("n") > 1) & (F.col("members") == 1), F.lit("the query is alone in its cluster")),
+        F.when((F.col("n") > 1) & (F.col("members") == F.col("n")), F.lit("no sequence is outside the query's cluster")), F.when(F.col("gone") > 0, F.format_string("%d sequences have no distance to the query", "gone")),
+    ))
+    return row.select("scope_id", F.explode(texts).alias("warning"))
+
+
+__all__ = ["check_thresholds", "classified", "directed", "identities", "summary", "warnings"]

@@ -1,13 +1,13 @@
 """Iterative refinement of given clusters over their neighbourhood graph.
 
-Each iteration: medoids, nearest clusters, disjoint scopes chosen on the
-driver from the cluster-level edge list (by priority), one grouped map that
-realigns and reclusters all chosen scopes at once, and a written assignment
-that cuts the lineage. It ends when the partition no longer changes."""
+Each iteration: medoids, nearest clusters, disjoint scopes by priority, one
+grouped map that realigns and reclusters all chosen scopes at once, and a
+written state that cuts the lineage. The driver sees counts only. It ends when
+the partition no longer changes."""
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
 import tempfile
 import uuid
@@ -15,12 +15,19 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clade.functions import kernels
+from clade.functions import sequences as seqs
+from clade.sources import readers, writers
 
 from . import graph, metrics
 
+#: Columns of the state: a row a member, with how often it was reclustered and
+#: its cluster's gap.
+STATE = ("cluster_id", "seq_id", "times", "gap")
+
 
 @dataclass
 class Config:
@@ -80,85 +87,168 @@ def cluster_edges(medoids: DataFrame, conf: Config) -> DataFrame:
 
     measured = near.select("seq", "seq2").mapInPandas(measure, "seq string, seq2 string, distance double").where("not isnan(distance)")
     both = measured.select(F.col("seq").alias("src_seq"), F.col("seq2").alias("dst_seq"), "distance").unionByName(measured.select(F.col("seq2").alias("src_seq"), F.col("seq").alias("dst_seq"), "distance"))
-    return graph.fan_out(both, medoids)
-
-
-def _signature(clusters) -> str:
-    return hashlib.sha256("|".join(sorted(",".join(sorted(c)) for c in clusters)).encode()).hexdigest()
-
-
-def refine(sequences: DataFrame, assign: DataFrame, conf: Config | None = None) -> Result:
-    """sequences (seq_id, seq), assign (cluster_id, seq_id; strings; a sequence
-    in several clusters is a conflict that the first scope to take it in
-    resolves). Clusters and their edges are small against the sequences and
-    are what the driver holds; members of the chosen scopes stay in Spark,
-    except for the scope's partition signature."""
+    return graph.fan_out(both, medoids, max(conf.max_scope_size, conf.neighbours) + 1)
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _remove(spark, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def chosen_scopes(scopes: DataFrame, order: DataFrame, root: str) -> DataFrame:
+    """Of scopes (src, cluster_id) those that a walk over the seeds in order
+    takes when it passes over each one that meets a scope taken before.
+    order: cluster_id, key (a struct that sorts as the walk goes).
+
+    No walk is made: in each round a seed wins if it comes first among the
+    undecided seeds of every cluster in its scope, and those that meet a winner
+    are out. The first seed of all always wins, so the rounds end."""
+    left = scopes.select("src", "cluster_id").distinct().join(order.select(F.col("cluster_id").alias("src"), "key"), "src")
+    taken, n = None, 0
+    while True:
+        first = left.groupBy("cluster_id").agg(F.min("key").alias("first"))
+        won = left.join(first, "cluster_id").groupBy("src").agg(F.min((F.col("key") == F.col("first")).cast("int")).alias("won"))
+        marked = left.join(won, "src")
+        met = marked.where("won = 1").select("cluster_id").distinct()
+        out = left.join(met, "cluster_id").select("src").distinct().withColumn("out", F.lit(1))
+        n += 1
+        rows = _write(marked.join(out, "src", "left").where("won = 1 or out is null"), f"{root}/round{n:03d}")
+        now = rows.where("won = 1").select("src", "cluster_id", "key")
+        taken = now if taken is None else taken.unionByName(now)
+        left = rows.where("won = 0").select("src", "cluster_id", "key")
+        if not left.take(1):
+            return taken
+
+
+def numbered_scopes(counts: DataFrame, start: int) -> DataFrame:
+    """(scope_id, n) -> scope_id, base: each scope's n numbers follow those of
+    the scopes before it, from `start`. Sums are run within 1,024 buckets of
+    scopes and over the buckets' totals, so no task sees all scopes."""
+    dealt = counts.withColumn("bucket", F.pmod(F.xxhash64("scope_id"), F.lit(1024)))
+    totals = dealt.groupBy("bucket").agg(F.sum("n").alias("t"))
+    before = totals.select("bucket", (F.sum("t").over(W.orderBy("bucket")) - F.col("t")).alias("before"))
+    inside = F.sum("n").over(W.partitionBy("bucket").orderBy("scope_id")) - F.col("n")
+    return dealt.withColumn("inside", inside).join(F.broadcast(before), "bucket").select("scope_id", (F.lit(start) + F.col("before") + F.col("inside")).alias("base"))
+
+
+def refine(sequences: DataFrame, assign: DataFrame, conf: Config | None = None, every: int = 0, checkpoints: str | None = None, resume: str | None = None) -> Result:
+    """sequences (seq_id, seq) and assign (cluster_id, seq_id; strings) to a
+    refined assignment.
+
+    Seeds go by the least number of times that a member was reclustered, then
+    largest first, then by id. A scope whose partition reclustering gives back
+    keeps its clusters' ids; the others' new clusters are numbered on from the
+    highest number that is there. A partition that reclustering gave is not
+    tried again. It ends when an iteration changes nothing (its adjusted mutual
+    information is 1) or at conf.max_iterations.
+
+    A sequence in several clusters goes to the first scope that takes one of
+    them in, and leaves the others. Members without a sequence (none given, null
+    or empty) stay where they are; repeated rows count once; of a seq_id's
+    several sequences the smallest is taken; a null cluster_id or seq_id is left out.
+
+    every, checkpoints: write state to checkpoints/iter=NNN after each
+    every-th iteration; resume: such a folder to go on from (`assign` is then
+    what the mapping and verification start from, and is not read)."""
     conf = conf or Config()
     spark = sequences.sparkSession
-    sequences = sequences.select("seq_id", F.upper("seq").alias("seq")).dropDuplicates(["seq_id"]).cache()
     root = _folder(spark)
-    assign = assign.select("cluster_id", "seq_id").distinct()
-    assign.write.parquet(f"{root}/iter0")
-    assign = spark.read.parquet(f"{root}/iter0")
-    times: dict[str, int] = {}
-    settled: set[str] = set()
-    history, number, done = [], 0, False
-    for it in range(1, conf.max_iterations + 1):
-        medoids = _medoid_rows(sequences, assign).cache()
-        edges = graph.knn(cluster_edges(medoids, conf), conf.neighbours, conf.close_threshold)
-        zones = graph.scopes(edges, medoids.select("cluster_id", "size"), conf.max_lump, conf.close_threshold, conf.max_scope_size)
-        sizes = {r.cluster_id: r["size"] for r in medoids.select("cluster_id", "size").collect()}
-        scope: dict[str, set] = {}
-        for r in zones.select("src", "cluster_id").collect():
-            scope.setdefault(r.src, set()).add(r.cluster_id)
-        marks = {r.cluster_id: r.m for r in assign.groupBy("cluster_id").agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_set("seq_id"))), 256).alias("m")).collect()}
-        taken, chosen = set(), []
-        for c in sorted(sizes, key=lambda c: (times.get(c, 0), -sizes[c], c)):
-            parts = scope.get(c, {c})
-            if parts & taken or (len(parts) == 1 and sizes[c] == 1):
-                continue
-            before = _signature([[marks[p]] for p in parts])
-            if before in settled:
-                continue
-            taken |= parts
-            chosen.append((c, parts, before))
-        if not chosen:
-            done = True
-            break
-        scope_rows = spark.createDataFrame([(c, p) for c, parts, _ in chosen for p in sorted(parts)], "scope_id string, cluster_id string")
-        members = scope_rows.join(assign, "cluster_id").select("scope_id", "seq_id").distinct().join(sequences, "seq_id")
-        new = members.groupBy("scope_id").applyInPandas(_recluster(conf), "scope_id string, num long, seq_id string")
-        ids = F.concat(F.format_string("cluster_%03d_", F.lit(it)), F.substring(F.sha2("scope_id", 256), 1, 12), F.format_string("_%05dR%d", F.col("num"), F.lit(it)))
-        fresh = new.select(ids.alias("cluster_id"), "seq_id")
-        kept = assign.join(scope_rows.select("cluster_id"), "cluster_id", "left_anti").join(fresh.select("seq_id"), "seq_id", "left_anti").select("cluster_id", "seq_id")
-        kept.unionByName(fresh).write.parquet(f"{root}/iter{it}")
-        before_assign, assign = assign, spark.read.parquet(f"{root}/iter{it}")
-        old_sig, new_sig = metrics.signature(before_assign).first().signature, metrics.signature(assign).first()
-        after = {r.cluster_id: r.m for r in assign.groupBy("cluster_id").agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_set("seq_id"))), 256).alias("m")).collect()}
-        # a scope's outcome is settled: the same partition met again as a scope is left alone
-        outcome: dict[str, list] = {}
-        for cid, m in after.items():
-            if cid not in sizes:
-                outcome.setdefault(cid.split("_")[2], []).append([m])
-        for c, _, _ in chosen:
-            settled.add(_signature(outcome.get(hashlib.sha256(c.encode()).hexdigest()[:12], [])))
-        times.update({cid: it for cid in after if cid not in sizes})
-        number = it
-        history.append({"iteration": it, "scopes": len(chosen), "clusters": new_sig.clusters})
-        medoids.unpersist()
-        if new_sig.signature == old_sig:
-            done = True
-            break
-    return Result(assign, number, done, history)
+    texts = sequences.where("seq_id is not null and length(seq) > 0").groupBy("seq_id").agg(F.min(F.upper("seq")).alias("seq"))
+    sequences = _write(texts, f"{root}/sequences")
+    start = 0
+    if resume:
+        saved = readers.checkpoint(spark, resume)
+        if saved is None:
+            raise FileNotFoundError(resume)
+        start, given = saved[0]["iteration"], saved[1]
+    else:
+        given = assign.where("cluster_id is not null and seq_id is not null").select("cluster_id", "seq_id").distinct()
+    for name, kind in (("times", "long"), ("gap", "double")):
+        if name not in given.columns:
+            given = given.withColumn(name, F.lit(0 if name == "times" else None).cast(kind))
+    given = _write(given.select(*STATE), f"{root}/given")
+    state = _write(given.join(sequences.select("seq_id"), "seq_id", "left_semi").select(*STATE), f"{root}/state{start}")
+    absent = given.join(sequences.select("seq_id"), "seq_id", "left_anti").select(*STATE)
+    torn = _write(metrics.conflicts(state).select("seq_id"), f"{root}/torn")
+    any_torn = bool(torn.take(1))
+    number = seqs.next_number(given).first().next_number
+    settled: DataFrame | None = None
+    history, it, done = [], start, False
+    while it < conf.max_iterations and not done:
+        it += 1
+        at = f"{root}/work{it}"
+        medoids = _write(_medoid_rows(sequences, state), f"{at}/medoids")
+        edges = _write(graph.knn(cluster_edges(medoids, conf), conf.neighbours, conf.close_threshold), f"{at}/edges")
+        zones = graph.scopes(edges, medoids.select("cluster_id", "size"), conf.max_lump, conf.close_threshold, conf.max_scope_size).select("src", "cluster_id").distinct()
+        zones = _write(zones, f"{at}/zones")
+        if settled is not None:
+            known = zones.join(metrics.cluster_marks(state), "cluster_id").groupBy("src").agg(metrics.marks_signature().alias("signature")).join(settled, "signature", "left_semi")
+            zones = zones.join(known, "src", "left_anti")
+        order = state.groupBy("cluster_id").agg(F.min("times").alias("t"), F.count("*").alias("n")).select("cluster_id", F.struct(F.col("t"), -F.col("n"), "cluster_id").alias("key"))
+        taken = chosen_scopes(zones, order, at)
+        rows = taken.join(state, "cluster_id").groupBy("seq_id").agg(F.min(F.struct("key", "src")).alias("first"), F.array_sort(F.collect_set("cluster_id")).alias("olds"), F.max("times").alias("times"))
+        members = rows.select(F.col("first.src").alias("scope_id"), "seq_id", "olds", "times").join(sequences, "seq_id")
+        fresh = _write(members.groupBy("scope_id").applyInPandas(_recluster(conf), "scope_id string, num long, seq_id string, old_id string, times long, gap double"), f"{at}/fresh")
+        counts = fresh.where("old_id is null").groupBy("scope_id").agg(F.max("num").alias("n"))
+        bases = numbered_scopes(counts, number - 1)
+        named = fresh.join(bases, "scope_id", "left").withColumn("cluster_id", F.coalesce("old_id", F.format_string("cluster_%05dR%d", F.col("base") + F.col("num"), F.lit(it))))
+        kept = state.join(taken.select("cluster_id").distinct(), "cluster_id", "left_anti")
+        if any_torn:
+            kept = kept.join(torn.join(fresh.select("seq_id"), "seq_id", "left_semi"), "seq_id", "left_anti")
+        before = state
+        state = _write(kept.select(*STATE).unionByName(named.select(*STATE)), f"{root}/state{it}")
+        outcome = metrics.cluster_marks(fresh.select("scope_id", F.struct("scope_id", "num").alias("cluster_id"), "seq_id"))
+        reached = outcome.groupBy(F.col("cluster_id.scope_id").alias("scope_id")).agg(metrics.marks_signature().alias("signature")).select("signature")
+        reached = _write(reached, f"{root}/settled/iter={it}")
+        settled = reached if settled is None else settled.unionByName(reached)
+        stats = fresh.agg(F.countDistinct("scope_id").alias("scopes"), F.countDistinct(F.when(F.col("old_id").isNull(), F.col("scope_id"))).alias("changed"), F.count("*").alias("sequences")).first()
+        number += counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+        moved = any_torn and bool(before.join(torn, "seq_id").select("seq_id").exceptAll(state.join(torn, "seq_id").select("seq_id")).take(1))
+        done = not stats.changed and not moved
+        label = lambda df, name: df.groupBy("seq_id").agg(F.min("cluster_id").alias(name))
+        ami = 1.0 if done else metrics.adjusted_mutual_information(label(before, "a").join(label(state, "b"), "seq_id")).first().ami
+        per_cluster = state.groupBy("cluster_id").agg(F.min("gap").alias("gap"), F.count("*").alias("cluster_size"))
+        sizes = per_cluster.agg(F.count("*").alias("n")).first()
+        converge = metrics.aggregate_metrics(per_cluster.where("gap is not null")).first().asDict()
+        entry = {"iteration": it, "scopes": stats.scopes, "changed": stats.changed, "sequences": stats.sequences, "clusters": sizes.n, "ami": ami, **{k: v for k, v in converge.items() if k != "num_clusters"}, "clusters_with_metrics": converge["num_clusters"]}
+        history.append(entry)
+        if every and checkpoints and it % every == 0:
+            writers.checkpoint(state.unionByName(absent), checkpoints, it, entry)
+        _remove(spark, at)
+        _remove(spark, f"{root}/state{it - 1}")
+    result = _write(state.unionByName(absent).select("cluster_id", "seq_id"), f"{root}/final")
+    for name in ("sequences", "given", f"state{it}", "torn", "settled"):
+        _remove(spark, f"{root}/{name}")
+    return Result(result, it, done, history)
 
 
 def _recluster(conf: Config):
+    """One scope: its members' new clusters, numbered from 1, with each one's
+    gap to its nearest clusters. old_id is set where the partition came back
+    as it was. A scope that can't be aligned stays as it is."""
+
     def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq_id")
-        ids = pdf.seq_id.tolist()
-        d = kernels.sequence_distances(pdf.seq.tolist())
-        clusters, single, _ = kernels.gap_cluster(d, conf.min_split, conf.max_lump, conf.percentile, conf.method, conf.alpha)
-        groups = clusters + [[s] for s in single]
-        return pd.DataFrame([(key[0], n, ids[m]) for n, c in enumerate(groups, 1) for m in c], columns=["scope_id", "num", "seq_id"])
+        pdf = pdf.sort_values("seq_id").reset_index(drop=True)
+        ids, olds = pdf.seq_id.tolist(), [list(o) for o in pdf.olds]
+        was: dict[str, list] = {}
+        for k, o in enumerate(olds):
+            was.setdefault(o[0], []).append(k)
+        whole = all(len(o) == 1 for o in olds)
+        try:
+            d = kernels.sequence_distances(pdf.seq.tolist())
+            clusters, single, _ = kernels.gap_cluster(d, conf.min_split, conf.max_lump, conf.percentile, conf.method, conf.alpha)
+            groups = [sorted(int(m) for m in c) for c in clusters] + [[int(s)] for s in single]
+            gaps = kernels.scope_gaps(d, groups, conf.percentile, conf.max_lump)
+        except ValueError:
+            groups = list(was.values())
+            gaps = [math.nan] * len(groups)
+        stays = whole and sorted(groups) == sorted(was.values())
+        rows = [(key[0], n, ids[m], olds[m][0] if stays else None, int(pdf.times[m]) + 1, None if g != g else g) for n, (c, g) in enumerate(zip(groups, gaps, strict=True), 1) for m in c]
+        return pd.DataFrame(rows, columns=["scope_id", "num", "seq_id", "old_id", "times", "gap"])
 
     return kernel

@@ -56,16 +56,16 @@ def analysis(sequences: DataFrame, assign: DataFrame, percentiles=(90, 95)) -> d
     return {"pairs": pairs, "summary": metrics.cluster_summary(pairs, assign), "percentiles": metrics.percentile_vector(pairs), "gaps": metrics.gap_metrics(pairs, percentiles)}
 
 
-def query_hits(sequences: DataFrame, min_split: float = 0.005, max_lump: float = 0.02) -> tuple[DataFrame, DataFrame]:
-    """(classes, summary) of sequences (scope_id, idx, seq), one query a scope, the first record."""
-    pairs = distance.scoped_pairs(sequences)
+def query_hits(sequences: DataFrame, min_split: float = 0.005, max_lump: float = 0.02) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, summary, pairs) of sequences (scope_id, idx, seq), one query a scope, the first record."""
+    pairs = distance.scoped_pairs(sequences).cache()
     classes = query_analysis.classified(sequences.select("scope_id", "idx"), pairs, min_split, max_lump).cache()
-    return classes, query_analysis.summary(classes)
+    return classes, query_analysis.summary(classes), pairs
 
 
-def refinement(sequences: DataFrame, assign: DataFrame, conf: refine.Config | None = None) -> dict:
+def refinement(sequences: DataFrame, assign: DataFrame, conf: refine.Config | None = None, **checkpoints) -> dict:
     """Refined assignment, its verification against the input, and the mapping."""
-    result = refine.refine(sequences, assign, conf)
+    result = refine.refine(sequences, assign, conf, **checkpoints)
     return {"result": result, "verification": metrics.verification(result.assign, assign), "mapping": metrics.mapping(assign, result.assign)}
 
 

@@ -40,7 +40,8 @@ def text_fasta(text: str) -> list[tuple[int, str, str, str]]:
 def cluster_directory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(sequences, assign) of a folder with one .fasta or .fa a cluster: the
     cluster's id is the file's stem; `unassigned` files give sequences only.
-    Empty files are skipped; no folder or no cluster is an error."""
+    Empty files are skipped; of a seq_id's records the last one counts; no
+    folder or no cluster is an error."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -53,7 +54,17 @@ def cluster_directory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     rows = fasta(spark, *files, upper=False)
     stem = F.regexp_extract("file", r"([^/]+)\.(?:fasta|fa)$", 1)
     rows = rows.withColumn("cluster_id", stem)
-    return rows.select("seq_id", "description", "seq").dropDuplicates(["seq_id"]), rows.where("cluster_id <> 'unassigned'").select("cluster_id", "seq_id", F.col("idx").alias("ord"))
+    last = rows.groupBy("seq_id").agg(F.max(F.struct("idx", "description", "seq")).alias("r")).select("seq_id", "r.description", "r.seq")
+    return last, rows.where("cluster_id <> 'unassigned'").select("cluster_id", "seq_id", F.col("idx").alias("ord"))
+
+
+def aligned_fasta(spark: SparkSession, path: str, order: DataFrame) -> DataFrame:
+    """An outside alignment of order (idx, seq_id): idx, seq_id, aln, null where
+    the alignment has no such record; of repeated records the last counts.
+    Records whose name starts with Consensus are the aligner's own."""
+    rows = fasta(spark, path).where(~F.col("seq_id").startswith("Consensus"))
+    last = rows.groupBy("seq_id").agg(F.max(F.struct("idx", "seq")).alias("r")).select("seq_id", F.col("r.seq").alias("aln"))
+    return order.select("idx", "seq_id").join(last, "seq_id", "left").select("idx", "seq_id", "aln")
 
 
 def distance_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -104,3 +115,14 @@ def checkpoint(spark: SparkSession, path: str):
     if not state.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(state):
         return None
     return spark.read.json(f"{path}/state").first().asDict(), spark.read.parquet(f"{path}/assign")
+
+
+def latest_checkpoint(spark: SparkSession, path: str) -> str | None:
+    """The folder of the last whole iteration under path, or None."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    done = [s.getPath().toString() for s in fs.listStatus(folder) if s.getPath().getName().startswith("iter=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "state"))]
+    return max(done, key=lambda at: int(at.rsplit("=", 1)[1]), default=None)

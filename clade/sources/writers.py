@@ -101,6 +101,22 @@ def query_tsv(classes: DataFrame, path: str) -> None:
             f.write("\t".join([str(r.scope_id), *(show(r[c]) for c in cols)]) + "\n")
 
 
+def refined_fasta(assign: DataFrame, sequences: DataFrame, folder: Path) -> None:
+    """A file a cluster, its id after each record's description; sequences in
+    no cluster in unassigned.fasta, if there are any. Rows are streamed."""
+    rows = sequences.join(assign, "seq_id", "left").orderBy("cluster_id", "seq_id")
+    at, f = None, None
+    for r in rows.toLocalIterator():
+        name = r.cluster_id if r.cluster_id is not None else "unassigned"
+        if name != at:
+            if f:
+                f.close()
+            at, f = name, open(folder / f"{name}.fasta", "w")
+        f.write(f">{r.description} {r.cluster_id}\n{r.seq}\n" if r.cluster_id is not None else f">{r.description}\n{r.seq}\n")
+    if f:
+        f.close()
+
+
 def mapping_text(mapping: DataFrame) -> str:
     lines, last = [], None
     for r in mapping.orderBy("old_id", "rank").toLocalIterator():

@@ -4,7 +4,7 @@ import pytest
 
 from clade import cli
 from clade.functions import sequences as seqs
-from clade.operators import graph, metrics, query_analysis, refine
+from clade.operators import distance, graph, metrics, query_analysis, refine
 from clade.sources import readers, writers
 
 
@@ -63,6 +63,12 @@ def test_matrix_and_hits(spark, tmp_path):
     assert [(r.subject, r.score) for r in readers.user_hits(spark, str(tmp_path / "u.tsv")).collect()] == [("a", 97.5)]
 
 
+def test_outside_alignment(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text(">s2 x\nAC-\nGT\n>Consensus_1\nACCGT\n>s1\nACCGT\n")
+    order = spark.createDataFrame([(0, "s1"), (1, "s2"), (2, "s3")], "idx long, seq_id string")
+    assert [tuple(r) for r in readers.aligned_fasta(spark, str(tmp_path / "a.fasta"), order).orderBy("idx").collect()] == [(0, "s1", "ACCGT"), (1, "s2", "AC-GT"), (2, "s3", None)]
+
+
 def test_validation(spark):
     df = spark.createDataFrame([(0, "ACGT"), (1, ""), (2, "ACXZ-n")], "idx long, seq string")
     assert seqs.validate(df) == ["Sequence 2 is empty", "Sequence 3 has invalid characters: X, Z"]
@@ -74,15 +80,15 @@ def test_validation(spark):
 
 
 def test_graph(spark):
-    e = spark.createDataFrame([("1", "2", 0.05), ("1", "3", 0.15), ("2", "1", 0.05), ("2", "4", 0.08), ("3", "1", 0.15), ("4", "2", 0.08)], "src string, dst string, distance double")
-    assert {(r.a, r.b, r.distance) for r in graph.close_pairs(e, 0.1).collect()} == {("1", "2", 0.05), ("2", "4", 0.08)}
+    e = spark.createDataFrame([("1", "2", 0.03), ("1", "3", 0.21), ("2", "1", 0.03), ("2", "4", 0.07), ("3", "1", 0.21), ("4", "2", 0.07)], "src string, dst string, distance double")
+    assert {(r.a, r.b, r.distance) for r in graph.close_pairs(e, 0.1).collect()} == {("1", "2", 0.03), ("2", "4", 0.07)}
     assert {(r.src, r.dst) for r in graph.knn(e, 1, 0.1).collect()} == {("1", "2"), ("2", "1"), ("2", "4"), ("3", "1"), ("4", "2")}
     assert {(r.src, r.dst) for r in graph.knn(e, 1).collect()} == {("1", "2"), ("2", "1"), ("3", "1"), ("4", "2")}
 
 
 def test_histogram(spark):
-    df = spark.createDataFrame([(99.0,), (99.2,), (99.5,), (99.7,), (100.0,), (None,), (float("nan"),)], "v double")
-    assert {r.bin_start: r["count"] for r in metrics.histogram(df, "v").collect()} == {99.0: 2, 99.5: 2, 100.0: 1}
+    df = spark.createDataFrame([(87.6,), (87.9,), (88.0,), (88.4,), (88.4,), (91.5,), (None,), (float("nan"),)], "v double")
+    assert {r.bin_start: r["count"] for r in metrics.histogram(df, "v").collect()} == {87.5: 2, 88.0: 3, 91.5: 1}
     assert metrics.histogram(df.limit(0), "v").count() == 0
 
 
@@ -112,7 +118,11 @@ def test_query(spark, barcodes):
     rows = spark.createDataFrame([(0, k, s) for k, (_, s) in enumerate(barcodes)] + [(1, 0, barcodes[0][1])], "scope_id int, idx long, seq string")
     from clade.operators import workflows
 
-    classes, summary = workflows.query_hits(rows, 0.005, 0.03)
+    classes, summary, pairs = workflows.query_hits(rows, 0.005, 0.03)
+    sides = {(r.scope_id, r.side): r["count"] for r in query_analysis.identities(classes, pairs).groupBy("scope_id", "side").count().collect()}
+    assert sides == {(0, "intra"): 10, (0, "inter"): 50}
+    assert [(r.scope_id, r.warning) for r in query_analysis.warnings(classes).collect()] == [(1, "insufficient data: no other sequence")]
+    assert distance.from_item(pairs.where("scope_id = 0"), 3).count() == 14
     assert {r.idx for r in classes.where("member and scope_id = 0").collect()} == set(range(5))
     s = {r.scope_id: r for r in summary.collect()}
     assert s[0].gap_exists and s[0].members == 5 and s[1].members == 1 and s[1].intra_min == 100.0 and not s[1].gap_exists
@@ -134,6 +144,16 @@ def test_command_line(spark, tmp_path, barcodes, monkeypatch):
     assert (tmp_path / "an.tsv").read_text().count("\n") == 4
     cli.main(["query", str(src), "-o", str(tmp_path / "q.json"), "--max-lump", "0.03"])
     assert '"members": 5' in (tmp_path / "q.json").read_text()
+    folder = tmp_path / "clusters"
+    folder.mkdir()
+    for f in files:
+        (tmp_path / f).rename(folder / f.removeprefix("out."))
+    write(folder / "unassigned.fasta", [("loose", barcodes[0][1])])
+    cli.main(["refine", "--input-dir", str(folder), "--output-dir", str(tmp_path / "ref"), "--close-threshold", "0.2", "--min-split", "0.02", "--max-lump", "0.03", "--no-timestamp", "--checkpoint-frequency", "1"])
+    made = tmp_path / "ref"
+    assert sorted(p.name for p in made.glob("*.fasta")) == ["cluster_00001.fasta", "cluster_00002.fasta", "cluster_00003.fasta", "unassigned.fasta"]
+    assert "loose" in (made / "unassigned.fasta").read_text() and (made / "checkpoints" / "iter=001").is_dir()
+    assert all("cluster_0000" in line.split(" -> ")[1] for line in (made / "cluster_mapping.txt").read_text().splitlines())
     for bad in (["--alpha", "1", "--gap-method", "global"], ["--target-percentile", "90"]):
         with pytest.raises(SystemExit):
             cli.main(["cluster", str(src), *bad])
