@@ -8,10 +8,11 @@ Targets come from weights by water-filling. The rates are the solution of
 
 whose dual has one multiplier a source: r_d = min(most, exp(lambda_source)).
 (The entropy is taken over words, so that a rate does not favour short or long
-documents of a source.) Newton steps on the convex dual each cost one
-aggregate over the documents. Rates are then rounded into whole copies by a
-hash of the document, and what rounding leaves of a source's target is worked
-off over documents whose size fits into the rest.
+documents of a source.) The dual is convex and parts by source: its Newton
+steps are arithmetic on a source's row. Rates are then rounded into whole copies
+by a hash of the document, and what rounding leaves of a source's target is
+worked off, an aggregate over the documents a round, over documents whose size
+fits into the rest.
 
 All that a document's copies depend on is its size, its hash and one row of its
 source: the multiplier, and of each round of correction the rest and the last
@@ -88,41 +89,46 @@ def _balanced(rows: DataFrame, cycle: int, most: int) -> DataFrame:
     and rounds, an array of salt, rest and last cell."""
     sums = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sums")
     small = _small(sums)
-    state = stored(targets(sums, cycle, most).withColumn("lam", F.lit(0.0)), "targets")
-
-    # Newton on the dual: f(lam) = sum size * min(most, exp(lam)) - target
-    for _ in range(NEWTON):
-        rate = F.least(F.exp("lam"), F.lit(float(most)))
-        slope = F.when(F.exp(F.col("lam")) <= most, F.exp("lam")).otherwise(0.0)
-        # the documents of a source have one rate: sizes are summed before the rate is known
-        at = _with(sums, state.select("source", "lam"), small).groupBy("source").agg(F.sum(F.col("source_size") * rate).alias("got"), F.sum(F.col("source_size") * slope).alias("slope"))
-        off = F.col("got") - F.col("target")
-        step = _with(state, at, small).withColumn("off", F.when(F.col("target") > 0, F.abs(off) / F.col("target")).otherwise(0.0))
-        step = step.withColumn("lam", F.when(F.col("off") <= CLOSE, F.col("lam")).when(F.col("slope") > 0, F.col("lam") - F.greatest(F.lit(-2.0), F.least(F.lit(2.0), off / F.col("slope")))).otherwise(F.log(F.lit(float(most)))))
-        new = stored(step.select("source", "source_size", "target", "lam", "off"), "dual")
-        release(state)
-        state = new
-        if (state.agg(F.max("off")).first()[0] or 0.0) <= CLOSE:
-            break
-
-    kind = "array<struct<salt:int,rest:bigint,last:int>>"
-    new = stored(state.select("source", "source_size", "target", "lam", F.from_json(F.lit("[]"), kind).alias("rounds")), "rounds")
-    release(state, sums)
+    names = ["source", "source_size", "target", "lam", "rounds"]
+    none = F.from_json(F.lit("[]"), "array<struct<salt:int,rest:bigint,last:int>>")
+    state = stored(targets(sums, cycle, most).withColumn("lam", _multiplier(most)).withColumn("rounds", none).select(*names), "targets")
+    release(sums)
+    got = _taken(rows, state, most, small).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
+    new = stored(_with(state, got, small).select(*names, "got"), "rounds")
+    release(state)
     state = new
     for salt in range(1, ROUNDS + 1):
-        at = _taken(rows, state, most, small).select("source", "size", "h", "target", "copies")
-        rest = at.groupBy("source").agg(F.round(F.first("target") - F.sum(F.col("copies") * F.col("size"))).cast("long").alias("rest"))
+        now = state.withColumn("rest", F.round(F.col("target") - F.col("got")).cast("long"))
+        at = _taken(rows, now, most, small)
         cell = F.when(_fits(F.col("size"), F.col("copies"), F.col("rest"), most), _cell(F.col("h"), F.lit(salt)))
-        cells = _with(at, rest, small).withColumn("cell", cell).where("cell is not null").groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+        cells = at.withColumn("cell", cell).where("cell is not null").groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
         # as many whole cells as the rest has room for
         so_far = F.sum("words").over(W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, 0))
-        last = cells.withColumn("so_far", so_far).where("so_far <= abs(rest)").groupBy("source").agg(F.max("cell").alias("last"))
-        side = rest.join(last.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").select("source", "rest", F.coalesce("last", F.lit(-1)).alias("last"))
-        step = F.array(F.struct(F.lit(salt).alias("salt"), "rest", "last"))
-        new = stored(_with(state, side, small).select("source", "source_size", "target", "lam", F.concat("rounds", step).alias("rounds")), "rounds")
+        last = cells.withColumn("so_far", so_far).where("so_far <= abs(rest)").groupBy(F.col("source").alias("__s")).agg(F.max("cell").alias("last"), F.max("so_far").alias("moved"))
+        side = now.join(F.broadcast(last) if small else last, F.col("source").eqNullSafe(F.col("__s")), "left")
+        step = F.array(F.struct(F.lit(salt).alias("salt"), "rest", F.coalesce("last", F.lit(-1)).alias("last")))
+        # what those cells give or take is what the next round finds taken: no documents are read to sum it
+        moved = F.coalesce("moved", F.lit(0)) * F.signum("rest").cast("long")
+        new = stored(side.select("source", "source_size", "target", "lam", F.concat("rounds", step).alias("rounds"), (F.col("got") + moved).alias("got")), "rounds")
         release(state)
         state = new
-    return state
+    return state.select(*names)
+
+
+def _multiplier(most: int):
+    """lambda of a source from source_size and target, by Newton steps on the
+    dual: f(lam) = source_size * min(most, exp(lam)) - target. The documents of
+    a source have one rate, so the dual parts by source and a step needs no
+    other row. A source that is close enough keeps its lambda."""
+
+    def step(lam, _):
+        rate = F.least(F.exp(lam), F.lit(float(most)))
+        slope = F.col("source_size") * F.when(F.exp(lam) <= most, F.exp(lam)).otherwise(0.0)
+        off = F.col("source_size") * rate - F.col("target")
+        far = F.when(F.col("target") > 0, F.abs(off) / F.col("target")).otherwise(0.0)
+        return F.when(far <= CLOSE, lam).when(slope > 0, lam - F.greatest(F.lit(-2.0), F.least(F.lit(2.0), off / slope))).otherwise(F.log(F.lit(float(most))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON)), F.lit(0.0), step)
 
 
 def _cell(h, salt):

@@ -176,3 +176,14 @@ def test_held_out_urls(spark):
 
 def test_queries_say_what_they_do():
     assert all(f.__doc__ for f in registry.queries().values())
+
+
+def test_mixing_asks_little_of_the_driver(spark):
+    """Each job, its plan and its broadcasts stay in the driver's memory for a while: a mix took over 100 of them."""
+    df = spark.createDataFrame([(i, "w " * (i % 17), f"s{i % 5}") for i in range(200)], "doc_id long, text string, source string")
+    spark.sparkContext.setJobGroup("mix", "")
+    try:
+        got = mixing.mixed(df).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 200 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("mix")) <= 60
