@@ -86,10 +86,17 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     refers_to, payload_bytes, payload_digest, payload (of a revisit, the
     payload it refers to) and record (the exact bytes of the WARC record).
     Fails if a stored payload doesn't hash to its address or to the digest in
-    the header, or if a header's length isn't that of its block."""
+    the header, or if a header's length isn't that of its block. Length and
+    digest are taken from the stored bytes before they are joined, so bytes
+    are shuffled only for those who select payload or record."""
     headers = spark.read.schema("page_id long, address string, header string").parquet(f"{path}/headers")
     payloads = spark.read.schema("address string, payload binary").parquet(f"{path}/payloads")
-    sound = payloads.select(F.when(F.sha2("payload", 256) == F.col("address"), F.col("address")).otherwise(F.raise_error(F.lit("a stored payload is damaged"))).alias("address"), "payload")
+    sound = payloads.select(
+        F.when(F.sha2("payload", 256) == F.col("address"), F.col("address")).otherwise(F.raise_error(F.lit("a stored payload is damaged"))).alias("address"),
+        "payload",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        base32_sha1(F.col("payload")).alias("payload_digest"),
+    )
     both = headers.join(sound, "address", "left")
 
     def field(name):
@@ -97,18 +104,20 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         return F.when(found != "", found)
 
     hex_id = F.regexp_replace(F.regexp_extract(field("WARC-Refers-To"), "0000-4000-([0-9a-f-]+)>", 1), "-", "")
-    block = F.when(field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    response = field("WARC-Type") == "response"
+    block = F.when(response, F.col("payload")).otherwise(F.lit(b""))
+    size = F.when(response, F.col("payload_bytes")).otherwise(F.lit(0))
     out = both.select(
         "page_id",
         field("WARC-Target-URI").alias("url"),
         field("WARC-Type").alias("record_type"),
         F.when(field("WARC-Type") == "revisit", F.conv(hex_id, 16, -10).cast("long")).alias("refers_to"),
-        F.length("payload").cast("long").alias("payload_bytes"),
-        base32_sha1(F.col("payload")).alias("payload_digest"),
+        "payload_bytes",
+        "payload_digest",
         "payload",
         F.concat(F.encode("header", "UTF-8"), block, F.lit(b"\r\n\r\n")).alias("record"),
         field("WARC-Payload-Digest").alias("said"),
-        (field("Content-Length").cast("long") - F.length(F.substring_index("header", CRLF * 2, -2)) - F.length(block)).alias("off"),
+        (field("Content-Length").cast("long") - F.length(F.substring_index("header", CRLF * 2, -2)) - size).alias("off"),
     )
     sure = (F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & (F.col("off") == 0)
     return out.withColumn("record_type", F.when(sure, F.col("record_type")).otherwise(F.raise_error(F.lit("a record does not match its header")))).drop("said", "off")

@@ -51,6 +51,37 @@ def test_warc_damage_and_small_payloads(spark, tmp_path):
     assert warc.archived(df.limit(0), str(tmp_path / "z")).count() == 0
 
 
+def test_warc_reading_shuffles_no_payloads(spark, tmp_path):
+    rows = [(k, f"http://a/{k}", base64.b64encode(random.Random(k // 2).randbytes(20000)).decode()) for k in range(200)]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "a"))
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a large archive's join is never a broadcast
+    try:
+        before = shuffled()
+        got = warc.read_archive(spark, str(tmp_path / "a")).select(columns).collect()
+        sent = shuffled() - before
+        whole = warc.read_archive(spark, str(tmp_path / "a")).collect()
+        headers = spark.read.parquet(str(tmp_path / "a/headers"))
+        headers.withColumn("header", F.regexp_replace("header", "sha1:.", "sha1:_")).write.parquet(str(tmp_path / "b/headers"))
+        spark.read.parquet(str(tmp_path / "a/payloads")).write.parquet(str(tmp_path / "b/payloads"))
+        with pytest.raises(Exception, match="does not match its header"):
+            warc.read_archive(spark, str(tmp_path / "b")).select(columns).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    raw = {k: html.encode() for k, _, html in rows}
+    want = [(k, len(raw[k]), base64.b32encode(hashlib.sha1(raw[k]).digest()).decode(), "response" if k % 2 else "revisit", None if k % 2 else k + 1) for k in raw]
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+    assert all(bytes(r.payload) == raw[r.page_id] for r in whole) and len(whole) == len(raw)
+    assert 0 < sent < 300000 < sum(len(x) for x in set(raw.values())) / 8
+
+
 # ---- 5
 
 
