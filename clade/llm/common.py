@@ -49,6 +49,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def relieve(spark: SparkSession) -> None:
+    """Have the executors' JVMs give back the heap that earlier joins and sorts
+    grew into: they keep it until they collect all of it, and the memory of
+    Python workers comes on top. A task a core, outside of Spark SQL's log."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')"))._jdf.queryExecution().toRdd().count()
+
+
 def release(*tables: DataFrame) -> None:
     """Delete stored tables that nothing will read again."""
     for df in tables:

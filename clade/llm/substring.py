@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, free_names, kgrams, mixed, release, stored, tidy
+from .common import WordHashes, free_names, kgrams, mixed, release, relieve, stored, tidy
 
 #: Words of a gram; of a seed's two grams, how far the second starts behind the
 #: first, and the window of which the smallest first gram is a seed.
@@ -244,34 +244,58 @@ def runs(batches):
 
 def _first_holders(batches):
     """Of the entries that meet in a bucket: for each block, the first holder of
-    its keys that another document has; and the holders' places (n < 0)."""
+    its keys that another document has; and the holders' places (n < 0). A
+    bucket's entries are held once, and places among them as 32-bit numbers."""
     for rows in runs(batches):
         blocks, ns = rows.column(1).to_numpy(), rows.column(2).to_numpy()
-        parts = [unpacked(d, int(n), *ENTRY) for d, n in zip(rows.column(3).to_pylist(), ns, strict=True)]
-        key, doc, place, word, many = (np.concatenate(c) for c in zip(*parts, strict=True))
-        owner = np.repeat(np.arange(len(blocks)), ns)
-        order = np.lexsort((blocks[owner], doc, key))
-        k = key[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        size = np.diff(np.concatenate([first, [len(k)]]))
-        f = np.repeat(order[first], size)
+        key, doc, place, word, many = (np.empty(int(ns.sum()), kind) for kind in ENTRY)
+        owner = np.repeat(np.arange(len(blocks), dtype=np.int32), ns)
+        at = 0
+        for d, n in zip(rows.column(3), ns.tolist(), strict=True):
+            for whole, part in zip((key, doc, place, word, many), unpacked(d.as_buffer(), n, *ENTRY), strict=True):
+                whole[at : at + n] = part
+            at += n
+        del rows
+        order = _sorted(key, doc, blocks[owner])
+        new = np.ones(len(order), bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        f = order[np.flatnonzero(new)][np.cumsum(new, dtype=np.int32) - 1]
         hit = (doc[f] != doc[order]) | (many[order] > 0)
         o, f = order[hit], f[hit]
+        del order, new, hit
         by = np.argsort(owner[o], kind="stable")
         o, f = o[by], f[by]
+        del by
         out = {"block": [], "n": [], "data": []}
-        for part in np.split(np.arange(len(o)), np.flatnonzero(np.diff(owner[o])) + 1) if len(o) else []:
-            out["block"].append(int(blocks[owner[o[part[0]]]]))
-            out["n"].append(len(part))
-            out["data"].append(packed(key[o[part]], doc[f[part]], blocks[owner[f[part]]], place[f[part]], word[f[part]]))
-        held = np.unique(np.stack([owner[f], place[f].astype(np.int64)], axis=1), axis=0) if len(f) else np.zeros((0, 2), np.int64)
-        for part in np.split(held, np.flatnonzero(np.diff(held[:, 0])) + 1) if len(held) else []:
-            out["block"].append(int(blocks[part[0, 0]]))
-            out["n"].append(-len(part))
-            out["data"].append(packed(part[:, 1].astype(np.uint32)))
+        for a, z in _stretches(owner[o]):
+            mine, first = o[a:z], f[a:z]
+            out["block"].append(int(blocks[owner[mine[0]]]))
+            out["n"].append(z - a)
+            out["data"].append(packed(key[mine], doc[first], blocks[owner[first]], place[first], word[first]))
+        del o, key, doc, word, many
+        held = owner[f].astype(np.int64) << 32 | place[f]
+        del f, owner, place
+        held.sort()
+        held = held[np.concatenate([[True], held[1:] != held[:-1]])] if len(held) else held
+        for a, z in _stretches(held >> 32):
+            out["block"].append(int(blocks[held[a] >> 32]))
+            out["n"].append(a - z)
+            out["data"].append(packed(held[a:z].astype(np.uint32)))
+        del held
         yield pa.RecordBatch.from_pydict(out, pa.schema([("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]))
 
 
+def _sorted(*by: np.ndarray) -> np.ndarray:
+    """The order of rows by columns, the first one foremost, in 32 bits."""
+    return np.lexsort(by[::-1]).astype(np.int32)
+
+
+def _stretches(x: np.ndarray) -> list[tuple[int, int]]:
+    """From and to of each run of equal values."""
+    cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True)) if len(x) else []
+
+
 def unsettled(p: np.ndarray, y: np.ndarray, holder: np.ndarray, n: int, size: int) -> np.ndarray:
     """Starts of the windows of size words of a document of n words that may be
     equal to an earlier one which the first holders of its seeds don't show.
@@ -634,6 +658,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
     its seeds, as it stands, was first held by a document that has the passage.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("string"))).alias("key"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    relieve(docs.sparkSession)
     blocks = stored(texts.mapInArrow(tidy(_blocks(BLOCK_BYTES)), BLOCK).withColumn("block", F.monotonically_increasing_id()).select("block", "ids", "texts", "counts", "n", "words"), "blocks")
     words = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, words // (2 * BUCKET))
@@ -647,12 +672,14 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, min_identity: float
         rest = {"ids": "array<long>", "texts": "array<binary>", "counts": "array<int>"}
         answers = answers.select("block", F.lit(1).alias("part"), *[F.lit(None).cast(t).alias(c) for c, t in rest.items()], "n", F.col("data").alias("words"))
         at = blocks.select("block", F.lit(0).alias("part"), *block_columns[1:]).unionByName(answers).repartition("block").sortWithinPartitions("block", "part")
+        relieve(docs.sparkSession)
         return stored(at.mapInArrow(tidy(_matched(buckets, bits, min_words, MARGIN, again)), _ddl(WORK)), "work")
 
     def compared(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
         holders = held.where("m is null and bucket is null").select("block", "place", F.col("n").alias("hn"), F.col("data").alias("hdata"))
         # a merge join puts a shuffle between two Python steps, so that a task has one worker
         both = asked.where("m is not null").drop("bucket").join(holders.hint("merge"), ["block", "place"])
+        relieve(docs.sparkSession)
         return stored(both.mapInArrow(tidy(_passages(k, min_words, min_identity)), _ddl(FOUND)), "passages")
 
     def passages(work: DataFrame, k: int) -> list[DataFrame]:

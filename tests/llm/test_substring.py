@@ -1,9 +1,12 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from clade.llm import substring
+from clade.llm.common import relieve
 
 
 def words(r, n):
@@ -142,6 +145,55 @@ def brute_common(a, c):
     return row[-1]
 
 
+def test_first_holders_of_a_bucket_in_little_memory():
+    r = np.random.default_rng(3)
+    rows, held = [], {}
+    for block in range(200):
+        keys = np.unique(r.integers(0, 120_000, 600, dtype=np.uint64) << np.uint64(20))
+        place = r.integers(0, 20, len(keys)).astype(np.uint32)
+        doc, word = (place.astype(np.int64) * 7919 + block * 31) % 1009 - 5, r.integers(0, 4000, len(keys)).astype(np.uint32)
+        many = (r.random(len(keys)) < 0.1).astype(np.uint8)
+        rows.append((0, block, len(keys), substring.packed(keys, doc, place, word, many)))
+        for k, d, p, w, m in zip(keys.tolist(), doc.tolist(), place.tolist(), word.tolist(), many.tolist(), strict=True):
+            held.setdefault(k, []).append((d, block, p, w, m))
+    batches = pa.table([list(c) for c in zip(*rows, strict=True)], schema=substring.ENTRIES).to_batches(max_chunksize=64)
+    tracemalloc.start()
+    try:
+        out = list(substring._first_holders(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 90 * sum(n for *_, n, _ in rows)  # it was 150 bytes an entry
+
+    answers, places = set(), set()
+    for key, entries in held.items():
+        first = min(entries)
+        for d, block, _, _, m in entries:
+            if d != first[0] or m:
+                answers.add((block, key, *first[:4]))
+                places.add((first[1], first[2]))
+    got, seen = [], []
+    for b in out:
+        for block, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if n > 0:
+                got += [(block, *row) for row in zip(*(a.tolist() for a in substring.unpacked(data, n, *substring.ANSWER)), strict=True)]
+            else:
+                seen += [(block, p) for p in substring.unpacked(data, -n, np.uint32)[0].tolist()]
+    assert len(got) == len(answers) and set(got) == answers
+    assert len(seen) == len(places) and set(seen) == places
+
+
+def test_executors_collect_their_heap(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+
+    def collections():
+        return sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+
+    before = collections()
+    relieve(spark)
+    assert collections() > before
+
+
 def test_common_words():
     r = np.random.default_rng(10)
     for _ in range(60):
