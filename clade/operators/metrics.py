@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .allpairs import Pairs
 from .distance import known
 
 def same() -> Column:
@@ -23,34 +24,49 @@ def nearest_rank(d: Column, p: Column | float) -> Column:
     return F.when(F.size(xs) == 0, 0.0).otherwise(F.get(xs, at))
 
 
-def percentile_vector(pairs: DataFrame, ps=(5, 10, 25, 50, 75, 90, 95, 99, 100)) -> DataFrame:
+def percentile_vector(pairs: DataFrame | Pairs, ps=(5, 10, 25, 50, 75, 90, 95, 99, 100)) -> DataFrame:
     """side (intra, inter), percentile, value: one row a side and percentile;
     NaN for a side without distances."""
+    if isinstance(pairs, Pairs):
+        both = pairs.sides(ps, ps)
+        both = both.select(F.array(*[f"u{k}" for k in range(len(ps))]).alias("intra"), F.array(*[f"l{k}" for k in range(len(ps))]).alias("inter"))
+        return both.select(F.inline(_side_rows(ps)))
     every = F.array(*[F.lit(p / 100) for p in ps])
     both = pairs.where(known()).agg(F.percentile(F.when(same(), F.col("d")), every).alias("intra"), F.percentile(F.when(~same(), F.col("d")), every).alias("inter"))
-    rows = F.array(*[F.struct(F.lit(n).alias("side"), F.lit(p).alias("percentile"), F.coalesce(F.get(n, F.lit(k)), F.lit(float("nan"))).alias("value")) for n in ("intra", "inter") for k, p in enumerate(ps)])
-    return both.select(F.inline(rows))
+    return both.select(F.inline(_side_rows(ps)))
 
 
-def gap_metrics(pairs: DataFrame, ps=(90, 95)) -> DataFrame:
+def _side_rows(ps) -> Column:
+    return F.array(*[F.struct(F.lit(n).alias("side"), F.lit(p).alias("percentile"), F.coalesce(F.get(n, F.lit(k)), F.lit(float("nan"))).alias("value")) for n in ("intra", "inter") for k, p in enumerate(ps)])
+
+
+def gap_metrics(pairs: DataFrame | Pairs, ps=(90, 95)) -> DataFrame:
     """percentile, intra_upper, inter_lower, gap_size, gap_exists. A side
     without distances gives null bounds and no gap."""
+    if isinstance(pairs, Pairs):
+        row = pairs.sides(ps, [100 - p for p in ps]).toDF(*[f"u{p}" for p in ps], *[f"l{p}" for p in ps])
+        return _gap_rows(row, ps)
     k = pairs.where(known())
     cols = []
     for p in ps:
         cols += [F.percentile(F.when(same(), F.col("d")), p / 100).alias(f"u{p}"), F.percentile(F.when(~same(), F.col("d")), (100 - p) / 100).alias(f"l{p}")]
-    row = k.agg(*cols)
+    return _gap_rows(k.agg(*cols), ps)
+
+
+def _gap_rows(row: DataFrame, ps) -> DataFrame:
     each = F.array(*[F.struct(F.lit(p).alias("percentile"), F.col(f"u{p}").alias("intra_upper"), F.col(f"l{p}").alias("inter_lower")) for p in ps])
     out = row.select(F.inline(each))
     gap = F.col("inter_lower") - F.col("intra_upper")
     return out.withColumn("gap_size", gap).withColumn("gap_exists", F.coalesce(gap > 0, F.lit(False)))
 
 
-def cluster_summary(pairs: DataFrame, assign: DataFrame) -> DataFrame:
+def cluster_summary(pairs: DataFrame | Pairs, assign: DataFrame) -> DataFrame:
     """Per cluster: n_sequences, n_distances, P5 P25 P50 P75 P95, mean, std (population)."""
-    inside = pairs.where(known() & same()).groupBy(F.col("ci").alias("cluster_id")).agg(
-        F.count("*").alias("n_distances"), *[F.percentile("d", p / 100).alias(f"p{p}") for p in (5, 25, 50, 75, 95)], F.avg("d").alias("mean"), F.stddev_pop("d").alias("std")
-    )
+    ps = (5, 25, 50, 75, 95)
+    if isinstance(pairs, Pairs):
+        inside = pairs.inside([(f"p{p}", p, None, "linear") for p in ps]).withColumnsRenamed({"c": "cluster_id", "n": "n_distances"})
+    else:
+        inside = pairs.where(known() & same()).groupBy(F.col("ci").alias("cluster_id")).agg(F.count("*").alias("n_distances"), *[F.percentile("d", p / 100).alias(f"p{p}") for p in ps], F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"))
     sizes = assign.groupBy("cluster_id").agg(F.count("*").alias("n_sequences"))
     return sizes.join(inside, "cluster_id", "left").withColumn("n_distances", F.coalesce("n_distances", F.lit(0)))
 
@@ -60,13 +76,17 @@ def cluster_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where(known()).withColumns({"c1": F.least("ci", "cj"), "c2": F.greatest("ci", "cj")})
 
 
-def linkage(pairs: DataFrame, p: float) -> DataFrame:
+def linkage(pairs: DataFrame | Pairs, p: float) -> DataFrame:
     """Interpolated percentile of the distances between each two clusters."""
+    if isinstance(pairs, Pairs):
+        return pairs.groups([("linkage", p, F.col("t1") < F.col("t2"), "linear")]).select("c1", "c2", "linkage", "n")
     return cluster_pairs(pairs).where("c1 < c2").groupBy("c1", "c2").agg(F.percentile("d", p / 100).alias("linkage"), F.count("*").alias("n"))
 
 
-def merged_spread(pairs: DataFrame, p: float) -> DataFrame:
+def merged_spread(pairs: DataFrame | Pairs, p: float) -> DataFrame:
     """Nearest-rank percentile of all distances within the union of each two clusters."""
+    if isinstance(pairs, Pairs):
+        return pairs.unions([("spread", p, None, "nearest")]).select("c1", "c2", "spread", "n")
     by = cluster_pairs(pairs)
     across = by.where("c1 < c2").select("c1", "c2", "d")
     both = across.select("c1", "c2").distinct()
@@ -76,9 +96,12 @@ def merged_spread(pairs: DataFrame, p: float) -> DataFrame:
     return across.unionByName(inner).groupBy("c1", "c2").agg(nearest_rank(F.col("d"), p).alias("spread"), F.count("*").alias("n"))
 
 
-def gap_after_merge(pairs: DataFrame, p: int) -> DataFrame:
+def gap_after_merge(pairs: DataFrame | Pairs, p: int) -> DataFrame:
     """Global gap if each two clusters were one, for all pairs of clusters in
     one pass: their distances change sides, the rest stay."""
+    if isinstance(pairs, Pairs):
+        out = pairs.moved(p, 100 - p)
+        return out.select("c1", "c2", F.coalesce(F.col("inter_lower") - F.col("intra_upper"), F.lit(0.0)).alias("gap_size"))
     k = cluster_pairs(pairs)
     two = k.where("c1 < c2").select(F.col("c1").alias("m1"), F.col("c2").alias("m2")).distinct()
     # per pair of clusters the distances are few; the relabelled relation is clusters^2 times the pairs
@@ -91,16 +114,24 @@ def gap_after_merge(pairs: DataFrame, p: int) -> DataFrame:
 LOCAL = (90, 95, 100)
 
 
-def local_gaps(pairs: DataFrame, assign: DataFrame, max_lump: float) -> DataFrame:
+def local_gaps(pairs: DataFrame | Pairs, assign: DataFrame, max_lump: float) -> DataFrame:
     """Per cluster: sum over the percentiles of the nearest other cluster's
     lower distance less the own upper one; a single item spreads 0, no other
     cluster counts max_lump."""
-    by = cluster_pairs(pairs)
-    low = by.where("c1 < c2").groupBy("c1", "c2").agg(*[F.percentile("d", (100 - p) / 100).alias(f"l{p}") for p in LOCAL])
-    both = low.unionByName(low.select(F.col("c2").alias("c1"), F.col("c1").alias("c2"), *[f"l{p}" for p in LOCAL]))
-    near = both.groupBy(F.col("c1").alias("cluster_id")).agg(*[F.min(f"l{p}").alias(f"n{p}") for p in LOCAL])
-    own = by.where("c1 = c2").groupBy(F.col("c1").alias("cluster_id")).agg(*[F.percentile("d", p / 100).alias(f"u{p}") for p in LOCAL])
-    all_ = assign.select("cluster_id").distinct().join(near, "cluster_id", "left").join(own, "cluster_id", "left")
+    if isinstance(pairs, Pairs):
+        inside, across = F.col("t1") == F.col("t2"), F.col("t1") < F.col("t2")
+        g = pairs.groups([(f"l{p}", 100 - p, across, "linear") for p in LOCAL] + [(f"u{p}", p, inside, "linear") for p in LOCAL])
+        # within: one row of its upper ones; between two: a row for each with the lower ones
+        each = g.withColumn("cluster_id", F.explode(F.array_distinct(F.array("c1", "c2")))).groupBy("cluster_id").agg(*[F.min(f"l{p}").alias(f"n{p}") for p in LOCAL], *[F.max(f"u{p}").alias(f"u{p}") for p in LOCAL])
+        near, own = each, None
+    else:
+        by = cluster_pairs(pairs)
+        low = by.where("c1 < c2").groupBy("c1", "c2").agg(*[F.percentile("d", (100 - p) / 100).alias(f"l{p}") for p in LOCAL])
+        both = low.unionByName(low.select(F.col("c2").alias("c1"), F.col("c1").alias("c2"), *[f"l{p}" for p in LOCAL]))
+        near = both.groupBy(F.col("c1").alias("cluster_id")).agg(*[F.min(f"l{p}").alias(f"n{p}") for p in LOCAL])
+        own = by.where("c1 = c2").groupBy(F.col("c1").alias("cluster_id")).agg(*[F.percentile("d", p / 100).alias(f"u{p}") for p in LOCAL])
+    all_ = assign.select("cluster_id").distinct().join(near, "cluster_id", "left")
+    all_ = all_ if own is None else all_.join(own, "cluster_id", "left")
     gap = sum((F.coalesce(F.col(f"n{p}") - F.coalesce(f"u{p}", F.lit(0.0)), F.lit(max_lump)) for p in LOCAL), F.lit(0.0))
     return all_.select("cluster_id", gap.alias("local_gap"))
 
@@ -164,18 +195,22 @@ def equal_bins(values: DataFrame, col: str, bins: int = 50) -> DataFrame:
     return edges.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "lo", "hi").join(counts, "bin", "left").select("bin", (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).alias("bin_start"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def neighbourhood_metrics(pairs: DataFrame, assign: DataFrame, p: int, max_lump: float, k: int = 3) -> DataFrame:
+def neighbourhood_metrics(pairs: DataFrame | Pairs, assign: DataFrame, p: int, max_lump: float, k: int = 3) -> DataFrame:
     """Per cluster: gap against its k nearest clusters (by smallest distance),
     whose distances are pooled. Columns gap, intra_upper, inter_lower,
     cluster_size, num_neighbors."""
-    by = cluster_pairs(pairs).select("c1", "c2", "d")
-    out = by.where("c1 < c2")
-    out = out.unionByName(out.select(F.col("c2").alias("c1"), F.col("c1").alias("c2"), "d"))
-    near = out.groupBy("c1", "c2").agg(F.min("d").alias("m")).withColumn("r", F.row_number().over(W.partitionBy("c1").orderBy("m", "c2"))).where(F.col("r") <= k)
-    pooled = out.join(near, ["c1", "c2"]).groupBy(F.col("c1").alias("cluster_id")).agg(F.percentile("d", (100 - p) / 100).alias("inter_lower"), F.countDistinct("c2").alias("num_neighbors"))
-    own = by.where("c1 = c2").groupBy(F.col("c1").alias("cluster_id")).agg(F.percentile("d", p / 100).alias("intra_upper"))
+    if isinstance(pairs, Pairs):
+        pooled, own = pairs.nearest(p, 100 - p, k).withColumnRenamed("c", "cluster_id"), None
+    else:
+        by = cluster_pairs(pairs).select("c1", "c2", "d")
+        out = by.where("c1 < c2")
+        out = out.unionByName(out.select(F.col("c2").alias("c1"), F.col("c1").alias("c2"), "d"))
+        near = out.groupBy("c1", "c2").agg(F.min("d").alias("m")).withColumn("r", F.row_number().over(W.partitionBy("c1").orderBy("m", "c2"))).where(F.col("r") <= k)
+        pooled = out.join(near, ["c1", "c2"]).groupBy(F.col("c1").alias("cluster_id")).agg(F.percentile("d", (100 - p) / 100).alias("inter_lower"), F.countDistinct("c2").alias("num_neighbors"))
+        own = by.where("c1 = c2").groupBy(F.col("c1").alias("cluster_id")).agg(F.percentile("d", p / 100).alias("intra_upper"))
     sizes = assign.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"))
-    all_ = sizes.join(own, "cluster_id", "left").join(pooled, "cluster_id", "left")
+    all_ = sizes.join(pooled, "cluster_id", "left")
+    all_ = all_ if own is None else all_.join(own, "cluster_id", "left")
     upper = F.coalesce("intra_upper", F.lit(0.0))
     return all_.select("cluster_id", F.coalesce(F.col("inter_lower") - upper, F.lit(max_lump)).alias("gap"), upper.alias("intra_upper"), F.coalesce("inter_lower", F.lit(max_lump)).alias("inter_lower"), "cluster_size", F.coalesce("num_neighbors", F.lit(0)).alias("num_neighbors"))
 
