@@ -157,8 +157,10 @@ def medoids(pairs: DataFrame, assign: DataFrame, skip_missing: bool = False) ->
     return members.join(best, "cluster_id", "left").select("cluster_id", F.coalesce("b.idx", "first").alias("medoid"), F.coalesce("b.total", F.when(F.col("size") == 1, 0.0)).alias("total"), "size")
 
 
-def nearest_outside(pairs: DataFrame) -> DataFrame:
+def nearest_outside(pairs: DataFrame | Pairs) -> DataFrame:
     """Per item the smallest distance to an item of another cluster."""
+    if isinstance(pairs, Pairs):
+        return pairs.outside().groupBy("idx").agg(F.min("d").alias("nearest"))
     out = pairs.where(known() & ~same())
     return out.select(F.col("i").alias("idx"), "d").unionByName(out.select(F.col("j").alias("idx"), "d")).groupBy("idx").agg(F.min("d").alias("nearest"))
 
