@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clade.functions import kernels
+
 from . import cluster, metrics
 from .distance import directed, known
 
@@ -31,7 +35,32 @@ def classified(items: DataFrame, pairs: DataFrame, min_split: float = 0.005, max
     side = grown.select("scope_id", F.col("idx").alias("j"), F.col("member").alias("mj"))
     mine = both.where(known()).join(grown.where("member").select("scope_id", F.col("idx").alias("i")), ["scope_id", "i"]).join(side, ["scope_id", "j"])
     sums = mine.groupBy("scope_id", F.col("i").alias("idx")).agg(F.coalesce(F.sum(F.when(F.col("mj"), F.col("d"))), F.lit(0.0)).alias("total"), F.min(F.when(~F.col("mj"), F.col("d"))).alias("out"))
-    out = grown.join(to_query, ["scope_id", "idx"], "left").join(sums, ["scope_id", "idx"], "left")
+    return _classes(grown.join(to_query, ["scope_id", "idx"], "left").join(sums, ["scope_id", "idx"], "left"))
+
+
+def classified_vectors(items: DataFrame, min_split: float = 0.005, max_lump: float = 0.02, percentile: int = 100) -> DataFrame:
+    """classified of vectors (scope_id, idx, v): a task has the vectors of a
+    scope and makes the distances of the members only."""
+    check_thresholds(min_split, max_lump)
+
+    def kernel(idx, d, _) -> pd.DataFrame:
+        members, others, _, _ = kernels.grow_target(d, [0], min_split, max_lump, percentile)
+        member = np.zeros(len(idx), bool)
+        member[members] = True
+        total, out = np.zeros(len(idx)), np.full(len(idx), np.nan)
+        for k in members:
+            row = d.rows([k])[0]
+            row[k] = np.nan
+            total[k] = np.sort(row[members])[: np.count_nonzero(~np.isnan(row[members]))].sum()  # equal distances, equal sums
+            if others:
+                out[k] = np.fmin.reduce(row[others])
+        return pd.DataFrame({"idx": idx, "is_query": np.arange(len(idx)) == 0, "member": member, "d": d.rows([0])[0], "total": total, "out": out})
+
+    rows = cluster.by_scope(items, kernel, "idx long, is_query boolean, member boolean, d double, total double, out double")
+    return _classes(rows.withColumn("identity", metrics.identity(F.col("d"))))
+
+
+def _classes(out: DataFrame) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("scope_id").orderBy(F.col("member").desc(), F.coalesce("total", F.lit(0.0)), "idx"))
     return out.select("scope_id", "idx", "is_query", "member", F.when(F.col("is_query"), 100.0).otherwise(F.col("identity")).alias("identity"), (F.col("member") & (rank == 1)).alias("is_medoid"), metrics.identity(F.col("out")).alias("nearest"))
 
